@@ -13,6 +13,7 @@ from orderlab.operators import demand as D
 from orderlab.operators import forecast as FC
 from orderlab.operators import scenarios as S
 from orderlab.plans.common import MOQ, TRAIN, Y1, Y2, lines, yrs
+from orderlab.session import cut_lineage
 from orderlab.sources.config import COST_ALIASES, ProblemConfig
 
 CONFIG = ProblemConfig()
@@ -22,7 +23,13 @@ TEST = [Y1, Y2]
 
 
 def groups(spark, sf_dir) -> DataFrame:
-    return D.demand_price_groups(lines(spark, sf_dir))
+    """Demand groups, materialised once per query in the checkpoint folder.
+
+    The groups are aggregated (one row per item and year), so the write is
+    small; every later use (train/test split, baselines, residuals, costs)
+    starts from it instead of re-running the line scan and joins, and the
+    short lineage keeps plan analysis cheap."""
+    return cut_lineage(D.demand_price_groups(lines(spark, sf_dir)))
 
 
 def train_test(spark, sf_dir):
@@ -111,3 +118,110 @@ def scenario_cte() -> str:
     return f"""scen AS (SELECT year, {KEYS_SQL}, scenario_id,
                     greatest(greatest(pred, {float(MOQ)}) + sigma * z, 0.0) AS demand
              FROM pr CROSS JOIN (VALUES {zs}) AS zt(scenario_id, z))"""
+
+
+# ---------------------------------------------------------------- Model A items
+
+def model_a_items(spark, sf_dir):
+    """Test items (both test years) with J6 costs and their scenario array."""
+    from orderlab.operators.scenarios import normal_scenarios, scenario_arrays
+    pred, _, _ = baseline_preds(spark, sf_dir)
+    ik = ["year", *KEYS]
+    arr = scenario_arrays(normal_scenarios(pred, ik, MOQ), ik)
+    items = pred.select(*ik, "lifecycle_year", "pred").join(arr, ik)
+    items = K.with_costs(items, cost_table(spark), "optimizer")
+    # items are reused by every step of an allocation (intervals, MOQ spend, join back)
+    return cut_lineage(items.withColumnRenamed("overage_cost", "co").withColumnRenamed("underage_cost", "cu"))
+
+
+def season_budgets(items, budget: float | None = None):
+    b = CONFIG.budget if budget is None else budget
+    return items.select("season").distinct().withColumn("budget", F.lit(float(b)))
+
+
+IK_SQL = "year, " + KEYS_SQL
+
+
+def model_a_ctes(budget: float | None = None, sfx: str = "", base: bool = True) -> str:
+    """ai (items with costs), scenario intervals (ivr) and, per budget level
+    (CTE names suffixed ``sfx``): bud, avail, cut, alloc (q) and prices."""
+    moq = float(MOQ)
+    b = CONFIG.budget if budget is None else budget
+    head = scenario_cte() + f""",
+    ai AS (SELECT pr.year, {", ".join("pr." + k for k in KEYS)}, pr.lifecycle_year, pr.pred,
+                  j6.unit_cost, j6.overage_cost AS co, j6.underage_cost AS cu
+           FROM pr LEFT JOIN j6 ON pr.product_category IS NOT DISTINCT FROM j6.product_category
+                              AND pr.lifecycle_year IS NOT DISTINCT FROM j6.period),
+    nsc AS (SELECT {IK_SQL}, count(*) AS n FROM scen GROUP BY ALL),
+    pts AS (SELECT {IK_SQL}, {moq} AS a FROM ai UNION SELECT {IK_SQL}, demand FROM scen WHERE demand > {moq}),
+    iv AS (SELECT *, lead(a) OVER (PARTITION BY {IK_SQL} ORDER BY a) AS b FROM pts),
+    ivk AS (SELECT iv.{IK_SQL.replace(', ', ', iv.')}, iv.a, iv.b, count(s.demand) AS k
+            FROM iv LEFT JOIN scen s ON s.year = iv.year AND {" AND ".join(f"s.{k} = iv.{k}" for k in KEYS)}
+                                    AND s.demand <= iv.a
+            WHERE iv.b IS NOT NULL GROUP BY ALL),
+    ivr AS (SELECT * FROM (SELECT ivk.*, ai.unit_cost, ai.co, ai.cu, nsc.n, ivk.b - ivk.a AS length,
+                   round(-((ai.co * ivk.k - ai.cu * (nsc.n - ivk.k)) / nsc.n) / ai.unit_cost, 10) AS ratio
+            FROM ivk JOIN ai USING ({IK_SQL}) JOIN nsc USING ({IK_SQL})) WHERE ratio > 0),
+    bk AS (SELECT season, ratio, sum(length * unit_cost) AS spend FROM ivr GROUP BY ALL)"""
+    cut = f""",
+    bud{sfx} AS (SELECT DISTINCT season, {float(b)!r} AS budget FROM ai),
+    avail{sfx} AS (SELECT season, budget, sum(unit_cost * {moq}) AS moq_spend, budget - sum(unit_cost * {moq}) AS avail
+              FROM ai JOIN bud{sfx} USING (season) GROUP BY season, budget),
+    cutw{sfx} AS (SELECT bk.*, a.avail, sum(spend) OVER (PARTITION BY season ORDER BY ratio DESC
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM bk JOIN avail{sfx} a USING (season)),
+    cut{sfx} AS (SELECT season, ratio, spend, CASE WHEN avail < 0 THEN 0.0 WHEN cum <= avail THEN 1.0
+                   WHEN cum - spend >= avail THEN 0.0 ELSE (avail - (cum - spend)) / spend END AS frac FROM cutw{sfx}),
+    alloc{sfx} AS (SELECT ai.*, {moq} + coalesce(x.extra, 0.0) AS q FROM ai LEFT JOIN
+              (SELECT {IK_SQL}, sum(length * frac) AS extra FROM ivr JOIN cut{sfx} USING (season, ratio) GROUP BY ALL) x
+              USING ({IK_SQL})),
+    prices{sfx} AS (SELECT a.season, a.budget, a.moq_spend, a.avail < 0 AS infeasible,
+                      CASE WHEN a.avail < 0 THEN NULL ELSE coalesce(m.sp, 0.0) END AS shadow_price
+               FROM avail{sfx} a LEFT JOIN (SELECT season, max(ratio) AS sp FROM cut{sfx} WHERE frac < 1.0 GROUP BY 1) m
+               USING (season))"""
+    return (head if base else "") + cut
+
+
+def saa_sql(q: str, src_alias: str = "p") -> str:
+    """Exact SAA cost of the plan column ``q`` of ``src_alias`` (joined to scen as s)."""
+    return f"avg({src_alias}.co * greatest({q} - s.demand, 0) + {src_alias}.cu * greatest(s.demand - {q}, 0))"
+
+
+def item_join(a: str, b: str) -> str:
+    return " AND ".join(f"{a}.{k} = {b}.{k}" for k in ["year", *KEYS])
+
+
+def units_ctes() -> str:
+    """Integer runs (runs), their cut (ucut) and the integer plan (ualloc)."""
+    moq = float(MOQ)
+    key_text = "concat_ws('|', " + ", ".join(f"r.{k}" for k in ["year", *KEYS]) + ")"
+    return f""",
+    upts AS (SELECT {IK_SQL}, {moq} AS a FROM ai
+             UNION SELECT {IK_SQL}, CAST(floor(demand) AS DOUBLE) FROM scen WHERE demand > {moq}
+             UNION SELECT {IK_SQL}, CAST(ceil(demand) AS DOUBLE) FROM scen WHERE demand > {moq}),
+    uiv AS (SELECT *, lead(a) OVER (PARTITION BY {IK_SQL} ORDER BY a) AS b FROM upts),
+    udel AS (SELECT uiv.{IK_SQL.replace(', ', ', uiv.')}, uiv.a, uiv.b,
+                    sum(ai.co * (greatest(uiv.a + 1 - s.demand, 0) - greatest(uiv.a - s.demand, 0))
+                        + ai.cu * (greatest(s.demand - uiv.a - 1, 0) - greatest(s.demand - uiv.a, 0))) AS dsum,
+                    count(*) AS n, any_value(ai.unit_cost) AS unit_cost
+             FROM uiv JOIN ai USING ({IK_SQL})
+                  JOIN scen s ON s.year = uiv.year AND {" AND ".join(f"s.{k} = uiv.{k}" for k in KEYS)}
+             WHERE uiv.b IS NOT NULL GROUP BY ALL),
+    runs AS (SELECT * FROM (SELECT *, b - a AS length, round(-(dsum / n) / unit_cost, 10) AS ratio FROM udel)
+             WHERE ratio > 0),
+    ubk AS (SELECT season, ratio, sum(length * unit_cost) AS spend FROM runs GROUP BY ALL),
+    ucutw AS (SELECT ubk.*, avail.avail, sum(spend) OVER (PARTITION BY season ORDER BY ratio DESC
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM ubk JOIN avail USING (season)),
+    ucut AS (SELECT season, ratio, CASE WHEN avail < 0 THEN 0.0 WHEN cum <= avail THEN 1.0
+                    WHEN cum - spend >= avail THEN 0.0 ELSE (avail - (cum - spend)) / spend END AS frac FROM ucutw),
+    ur AS (SELECT runs.*, ucut.frac, CAST(floor(ucut.frac * runs.length + 1e-9) AS DOUBLE) AS units
+           FROM runs JOIN ucut USING (season, ratio)),
+    uslack AS (SELECT avail.season, avail.avail - coalesce(sp.s, 0.0) AS slack FROM avail
+               LEFT JOIN (SELECT season, sum(units * unit_cost) AS s FROM ur GROUP BY 1) sp USING (season)),
+    ucand AS (SELECT r.*, md5({key_text}) AS h FROM ur r WHERE frac > 0 AND frac < 1 AND units < length),
+    uplus AS (SELECT * FROM (SELECT ucand.*, sum(unit_cost) OVER (PARTITION BY season ORDER BY h, {KEYS_SQL.replace('season, ', '')}, year
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM ucand) c
+              JOIN uslack USING (season) WHERE cum <= slack + 1e-9),
+    ualloc AS (SELECT ai.*, CAST({moq} + coalesce(x.extra, 0.0) AS BIGINT) AS q FROM ai LEFT JOIN
+               (SELECT {IK_SQL}, sum(units + CASE WHEN p.a IS NOT NULL THEN 1 ELSE 0 END) AS extra
+                FROM ur LEFT JOIN (SELECT {IK_SQL}, a FROM uplus) p USING ({IK_SQL}, a) GROUP BY ALL) x
+               USING ({IK_SQL}))"""
