@@ -35,22 +35,29 @@ BISECTION_ROUNDS = 60
 HASH_PREFIX = 3          # md5 hex prefix length: 4096 first-level buckets for the unit tie-break
 
 
-def saa_cost(q: Column, d: Column = F.col("d"), co: Column = F.col("co"), cu: Column = F.col("cu")) -> Column:
+def _cols(c: Column | None, name: str) -> Column:
+    return F.col(name) if c is None else c
+
+
+def saa_cost(q: Column, d: Column | None = None, co: Column | None = None, cu: Column | None = None) -> Column:
     """N3 per item: mean over the item's scenarios of co*(q-D)+ + cu*(D-q)+."""
+    d, co, cu = _cols(d, "d"), _cols(co, "co"), _cols(cu, "cu")
     tot = F.aggregate(d, F.lit(0.0), lambda acc, x: acc + nv_cost(q, x, co, cu))
     return tot / F.size(d)
 
 
-def smooth_saa(q: Column, k: float, d: Column = F.col("d"), co: Column = F.col("co"),
-               cu: Column = F.col("cu")):
+def smooth_saa(q: Column, k: float, d: Column | None = None, co: Column | None = None,
+               cu: Column | None = None):
     """N4 per item: softplus-smoothed cost and its derivative in q."""
+    d, co, cu = _cols(d, "d"), _cols(co, "co"), _cols(cu, "cu")
     from orderlab.functions.newsvendor import sigmoid, softplus
     obj = F.aggregate(d, F.lit(0.0), lambda acc, x: acc + co * softplus(q - x, k) + cu * softplus(x - q, k))
     grad = F.aggregate(d, F.lit(0.0), lambda acc, x: acc + co * sigmoid(q - x, k) - cu * sigmoid(x - q, k))
     return obj / F.size(d), grad / F.size(d)
 
 
-def expected_mean(d: Column = F.col("d")) -> Column:
+def expected_mean(d: Column | None = None) -> Column:
+    d = _cols(d, "d")
     return F.aggregate(d, F.lit(0.0), lambda acc, x: acc + x) / F.size(d)
 
 
