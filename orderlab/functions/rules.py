@@ -150,24 +150,37 @@ def _map_lit(d: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
 
 
-def classify_product_col(name: Column, rules: CategoryRules = REFERENCE_CATEGORY_RULES) -> Column:
-    """Product name -> category or NULL (case-insensitive substring cascade)."""
-    low = F.lower(name)
-    expr = F.when(_any_contains(low, rules.exclude), F.lit(None).cast("string"))
+def classify_product_col(name: Column, rules: CategoryRules = REFERENCE_CATEGORY_RULES,
+                         low: Column | None = None) -> Column:
+    """Product name -> category or NULL (case-insensitive substring cascade).
+
+    Pass ``low`` = lower(name) when it is already projected: the cascade tests
+    it dozens of times and Spark does not share subexpressions across CASE
+    branches."""
+    low = F.lower(name) if low is None else low
+    # one quoted-literal alternation per class: when Catalyst pushes the
+    # "category is not null" filter below the projection it inlines ``low``
+    # once per class instead of once per keyword
+    expr = F.when(low.rlike(_literal_alternation(rules.exclude)), F.lit(None).cast("string"))
     for label, words in rules.ordered:
-        expr = expr.when(_any_contains(low, words), F.lit(label))
+        expr = expr.when(low.rlike(_literal_alternation(words)), F.lit(label))
     return expr.otherwise(F.lit(None).cast("string"))
 
 
+def _literal_alternation(words) -> str:
+    """Java regex matching any of the words as a literal substring."""
+    return "(?:" + "|".join(r"\Q" + w + r"\E" for w in words) + ")"
+
+
 def season_col(month: Column) -> Column:
     """7-10 fall, 11-2 winter, anything else (NULL included) spring."""
     return (F.when(month.isin(*FALL_MONTHS), "fall")
             .when(month.isin(*WINTER_MONTHS), "winter").otherwise("spring"))
 
 
-def uniform_set_col(name: Column, month: Column) -> Column:
+def uniform_set_col(name: Column, month: Column, low: Column | None = None) -> Column:
     """Season word in the name, else 'cfa' prefix, else month, else unknown."""
-    low = F.lower(name)
+    low = F.lower(name) if low is None else low
     return (F.when(low.contains("fall"), "fall")
             .when(low.contains("winter"), "winter")
             .when(low.contains("spring"), "spring")
@@ -178,19 +191,26 @@ def uniform_set_col(name: Column, month: Column) -> Column:
             .otherwise("unknown"))
 
 
-def gender_age_col(name: Column) -> Column:
+def gender_age_col(name: Column, low: Column | None = None) -> Column:
     """Womens when any women pattern occurs, else mens_youth."""
-    return F.when(_any_contains(F.lower(name), WOMEN_PATTERNS), "womens").otherwise("mens_youth")
+    low = F.lower(name) if low is None else low
+    return F.when(_any_contains(low, WOMEN_PATTERNS), "womens").otherwise("mens_youth")
+
 
+def size_col(variant: Column, phrases: list | None = None, low: Column | None = None) -> Column:
+    """T4: variant text -> size code, seven ordered steps, UNKNOWN at the end.
 
-def size_col(variant: Column, phrases: list | None = None) -> Column:
-    """T4: variant text -> size code, seven ordered steps, UNKNOWN at the end."""
+    ``low`` = lower(trim(variant)) when already projected."""
     phrases = SIZE_PHRASES if phrases is None else phrases
-    low = F.lower(F.trim(variant))
+    low = F.lower(F.trim(variant)) if low is None else low
     codes = _map_lit(DIRECT_SIZE_CODES)
-    parts = F.transform(F.split(low, "[/,]"), lambda p: F.trim(p))
-    first_code_part = F.try_element_at(F.filter(parts, lambda p: F.map_contains_key(codes, p)),
-                                       F.lit(1))
+    # step 2: first '/'- or ','-separated part that is, once stripped, a size
+    # code; array_intersect keeps the order of the parts.  Only strings with a
+    # separator need it.
+    parts = F.split(low, r"\s*[/,]\s*")
+    first_code_part = F.try_element_at(
+        F.array_intersect(parts, F.array(*[F.lit(k) for k in DIRECT_SIZE_CODES])), F.lit(1))
+    step2 = F.when(low.contains("/") | low.contains(","), F.try_element_at(codes, first_code_part))
     phrase = None
     for pat, out in phrases:
         phrase = (F.when(low.contains(pat), out) if phrase is None
@@ -198,17 +218,16 @@ def size_col(variant: Column, phrases: list | None = None) -> Column:
     code_tok = F.regexp_extract(low, SIZE_CODE_REGEX, 1)
     word_tok = F.regexp_extract(low, SIZE_WORD_REGEX, 1)
     letter_tok = F.upper(F.regexp_extract(low, SIZE_LETTER_REGEX, 1))
-    return (F.when(variant.isNull(), UNKNOWN_SIZE)
-            .when(F.map_contains_key(codes, low), F.try_element_at(codes, low))
-            .when(first_code_part.isNotNull(), F.try_element_at(codes, first_code_part))
-            .otherwise(F.coalesce(
-                phrase.otherwise(F.lit(None).cast("string")),
-                F.try_element_at(codes, code_tok),
-                F.when(word_tok != "", F.coalesce(F.try_element_at(_map_lit(SIZE_WORDS), word_tok),
-                                                  F.lit(UNKNOWN_SIZE))),
-                F.when(letter_tok != "", F.coalesce(F.try_element_at(_map_lit(SIZE_LETTERS), letter_tok),
-                                                    F.lit(UNKNOWN_SIZE))),
-                F.lit(UNKNOWN_SIZE))))
+    # coalesce evaluates the steps lazily and each at most once (a CASE would
+    # evaluate a step in its condition and again for its value)
+    return F.when(variant.isNull(), F.lit(UNKNOWN_SIZE)).otherwise(F.coalesce(
+        F.try_element_at(codes, low),
+        step2,
+        phrase.otherwise(F.lit(None).cast("string")),
+        F.try_element_at(codes, code_tok),
+        F.try_element_at(_map_lit(SIZE_WORDS), word_tok),
+        F.try_element_at(_map_lit(SIZE_LETTERS), letter_tok),
+        F.lit(UNKNOWN_SIZE)))
 
 
 def _colors_by_length():
@@ -216,18 +235,18 @@ def _colors_by_length():
     return sorted(COLORS, key=len, reverse=True)
 
 
-def color_col(name: Column) -> Column:
+def color_col(name: Column, low: Column | None = None) -> Column:
     """T5: longest colour phrase contained in the name, title case, else Unknown."""
-    low = F.lower(name)
+    low = F.lower(name) if low is None else low
     expr = None
     for c in _colors_by_length():
         expr = F.when(low.contains(c), c.title()) if expr is None else expr.when(low.contains(c), c.title())
     return expr.otherwise("Unknown")
 
 
-def number_col(variant: Column) -> Column:
+def number_col(variant: Column, low: Column | None = None) -> Column:
     """Jersey number from the variant: NULL, 'custom' or the digits after '#'."""
-    low = F.lower(variant)
+    low = F.lower(variant) if low is None else low
     digits = F.regexp_extract(variant, NUMBER_DIGITS_REGEX, 1)
     null = F.lit(None).cast("string")
     return (F.when(variant.isNull(), null)

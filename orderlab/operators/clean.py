@@ -56,12 +56,13 @@ def with_line_fields(raw: DataFrame, category_rules: R.CategoryRules = R.REFEREN
     """Adds the parsed fields to raw lines without filtering (shared by clean and audit)."""
     require_columns(raw, RAW.values())
     ts = parsed_timestamp(raw, RAW["created_at"])
-    return raw.select(
-        "*",
-        ts.alias("_ts"),
-        F.month(ts).alias("_month"),
-        R.classify_product_col(F.col(RAW["name"]), category_rules).alias("_category"),
-    )
+    # lowered texts projected once; the rule cascades test them many times
+    x = raw.select("*", ts.alias("_ts"),
+                   F.lower(F.col(RAW["name"])).alias("_name_low"),
+                   F.lower(F.col(RAW["variant"])).alias("_var_low"),
+                   F.lower(F.trim(F.col(RAW["variant"]))).alias("_var_lt"))
+    return x.select("*", F.month("_ts").alias("_month"),
+                    R.classify_product_col(F.col(RAW["name"]), category_rules, F.col("_name_low")).alias("_category"))
 
 
 def clean_order_lines(raw: DataFrame, category_rules: R.CategoryRules = R.REFERENCE_CATEGORY_RULES,
@@ -84,12 +85,12 @@ def clean_order_lines(raw: DataFrame, category_rules: R.CategoryRules = R.REFERE
         F.to_date(F.col("_ts")).alias("order_date"),
         R.season_col(month).alias("season"),                            # P12
         F.year(F.col("_ts")).alias("year"),
-        R.uniform_set_col(name, month).alias("uniform_set"),            # T2
+        R.uniform_set_col(name, month, F.col("_name_low")).alias("uniform_set"),            # T2
         F.col("_category").alias("product_category"),                   # T1
-        R.gender_age_col(name).alias("gender_age"),                     # T3
-        R.size_col(variant, size_phrases).alias("size"),                # T4
-        F.when(is_top, R.color_col(name)).alias("color"),               # T5 / P13
-        F.when(is_top, R.number_col(variant)).alias("number"),          # T6 / P13
+        R.gender_age_col(name, F.col("_name_low")).alias("gender_age"),                     # T3
+        R.size_col(variant, size_phrases, F.col("_var_lt")).alias("size"),                # T4
+        F.when(is_top, R.color_col(name, F.col("_name_low"))).alias("color"),               # T5 / P13
+        F.when(is_top, R.number_col(variant, F.col("_var_low"))).alias("number"),          # T6 / P13
         coerce_quantity(x, RAW["quantity"]).alias("quantity"),          # P10
         coerce_price(x, RAW["price"]).alias("unit_price"),              # P10
     )
