@@ -202,7 +202,9 @@ def key_redundancy(df: DataFrame, keys) -> DataFrame:
     combos = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     pairs = [(a, b) for a in keys for b in keys if a != b]
     agg = combos.agg(*[F.count_distinct(F.col(a)).alias(f"d_{a}") for a in keys],
-                     *[F.count_distinct(F.col(a), F.col(b)).alias(f"d_{a}__{b}") for a, b in pairs])
+                     # NULL is a value of b: pairs count whenever a is present
+                     *[F.count_distinct(F.when(F.col(a).isNotNull(), F.struct(F.col(a), F.col(b))))
+                       .alias(f"d_{a}__{b}") for a, b in pairs])
     return agg.select(F.explode(F.array(*[
         F.struct(F.lit(a).alias("key_a"), F.lit(b).alias("key_b"), F.col(f"d_{a}").alias("distinct_a"),
                  F.col(f"d_{a}__{b}").alias("distinct_ab"))

@@ -263,8 +263,8 @@ RED_KEYS = ["season", "uniform_set", "product_category", "gender_age", "size"]
           lambda: with_lines() + ", combos AS (SELECT DISTINCT " + ", ".join(RED_KEYS) + " FROM lines) "
           + " UNION ALL ".join(
               f"SELECT '{a}' AS key_a, '{b}' AS key_b, count(DISTINCT {a}) AS distinct_a, "
-              f"count(DISTINCT ({a}, {b})) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS distinct_ab, "
-              f"count(DISTINCT {a}) = count(DISTINCT ({a}, {b})) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) "
+              f"count(DISTINCT ({a}, {b})) FILTER (WHERE {a} IS NOT NULL) AS distinct_ab, "
+              f"count(DISTINCT {a}) = count(DISTINCT ({a}, {b})) FILTER (WHERE {a} IS NOT NULL) "
               f"AS a_determines_b FROM combos"
               for a in RED_KEYS for b in RED_KEYS if a != b),
           ops="D14")
