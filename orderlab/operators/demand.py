@@ -67,22 +67,37 @@ def with_year_index(groups: DataFrame) -> DataFrame:
 def label_encode(groups: DataFrame, cols) -> DataFrame:
     """code = rank of the value among the sorted distinct values, NULL -> -1.
 
-    The rank is computed over the distinct values only (a small table), then
-    joined back; the encoding never sorts the groups themselves.
-    """
+    The rank is computed over the distinct values only and without a global
+    window: a range-partitioned sort plus per-partition offsets (``ordinal``),
+    then joined back."""
     out = groups
     for c in cols:
-        codes = (groups.select(c).where(F.col(c).isNotNull()).distinct()
-                 .select(c, (F.dense_rank().over(_by(c)) - 1).alias(f"{c}_encoded")))
+        vals = groups.select(c).where(F.col(c).isNotNull()).distinct()
+        codes = ordinal(vals, [c]).withColumnRenamed("_idx", f"{c}_encoded")
         out = out.join(codes, c, "left").withColumn(
             f"{c}_encoded", F.coalesce(F.col(f"{c}_encoded"), F.lit(-1)))
     return out
 
 
-def _by(c):
+def ordinal(df: DataFrame, order_cols) -> DataFrame:
+    """0-based position of every row in ``order_cols`` order (ties must be broken
+    by the caller), without a global window: rows are range-partitioned and
+    sorted, tagged with partition id and a per-partition increasing id, and a
+    small per-partition count table gives each partition's offset.  The tagged
+    rows are checkpointed so both uses see the same partitioning."""
     from pyspark.sql import Window
-    # distinct values of one key column: bounded by the key's domain
-    return Window.orderBy(c)
+
+    from orderlab.session import cut_lineage
+    tagged = cut_lineage(df.orderBy(*order_cols)
+                         .withColumn("_pos", F.monotonically_increasing_id())
+                         .withColumn("_pid", F.spark_partition_id()))
+    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_p0"))
+    # one row per partition
+    offs = counts.select("_pid", "_p0", F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)).alias("_off"))
+    return (tagged.join(F.broadcast(offs), "_pid")
+            .withColumn("_idx", F.coalesce(F.col("_off"), F.lit(0)) + F.col("_pos") - F.col("_p0"))
+            .drop("_pos", "_pid", "_p0", "_off"))
 
 
 def split_by_years(groups: DataFrame, train_years, test_years):
@@ -92,32 +107,15 @@ def split_by_years(groups: DataFrame, train_years, test_years):
 
 
 def positional_split(df: DataFrame, order_cols, train_share: float = 0.8):
-    """First ``train_share`` of rows in the given order -> train, rest -> test.
-
-    The split row index is found without a global window: rows are ranked by a
-    range-partitioned sort (``monotonically_increasing_id`` after ``orderBy``
-    follows the sort order partition by partition), and the cut is the
-    ``int(n * share)``-th row.  Ties in ``order_cols`` must be broken by the
-    caller for a deterministic split.
-    """
-    from orderlab.session import cut_lineage
-    # monotonically_increasing_id is increasing but not dense: rank it by
-    # partition offsets computed from per-partition counts (one small aggregate).
-    # The tagged rows are checkpointed so both uses see the same partitioning.
-    tagged = cut_lineage(df.orderBy(*order_cols)
-                         .withColumn("_pos", F.monotonically_increasing_id())
-                         .withColumn("_pid", F.spark_partition_id()))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_p0"))
-    from pyspark.sql import Window
-    offs = counts.select("_pid", "_p0",
-                         (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-                         .alias("_off"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    idx = (tagged.join(F.broadcast(offs), "_pid")
-           .withColumn("_idx", F.coalesce(F.col("_off"), F.lit(0)) + F.col("_pos") - F.col("_p0"))
-           .crossJoin(F.broadcast(total))
-           .withColumn("is_train", F.col("_idx") < (F.col("_total") * train_share).cast("bigint")))
-    return idx.drop("_pos", "_pid", "_p0", "_off", "_total")
+    """First ``int(n * train_share)`` rows in ``order_cols`` order -> train.
+
+    Positions come from ``ordinal`` (no global window); ties in ``order_cols``
+    must be broken by the caller for a deterministic split."""
+    idx = ordinal(df, order_cols)
+    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    return (idx.crossJoin(F.broadcast(total))
+            .withColumn("is_train", F.col("_idx") < (F.col("_total") * train_share).cast("bigint"))
+            .drop("_idx", "_total"))
 
 
 def size_features(groups: DataFrame, first_period_years) -> DataFrame:

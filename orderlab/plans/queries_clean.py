@@ -110,7 +110,7 @@ CLEAN_SPEC = ("order_id:long, order_date:date, season:string, year:long, uniform
 
 
 @register("order_lines_clean", CLEAN_SPEC, lambda: with_lines() + " SELECT * FROM lines",
-          ops="S1 P1 P2 P3 P7 P10 P11 P12 P13 P16 T1-T6")
+          ops="P1 P2 P3 P6 P7 P10 P11 P12 P13 P16 T1 T2 T3 T4 T5 T6")
 def q_order_lines_clean(spark, sf_dir):
     return lines(spark, sf_dir)
 
@@ -228,9 +228,10 @@ GROUP_SPEC = "year:long, season:string, product_category:string, gender_age:stri
 
 @register("demand_groups", GROUP_SPEC,
           lambda: with_lines() + " SELECT year, season, product_category, gender_age, size, demand FROM groups",
-          ops="A1 P8 P15")
+          ops="A1 P8 P14 P15")
 def q_demand_groups(spark, sf_dir):
-    return D.demand_groups(lines(spark, sf_dir))
+    # Optional descriptive columns are dropped (absent names are ignored)
+    return D.demand_groups(lines(spark, sf_dir).drop("color", "number", "not_a_column"))
 
 
 @register("size_features",

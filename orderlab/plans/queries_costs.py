@@ -89,7 +89,7 @@ def q_residual_sigma(spark, sf_dir):
 
 
 @register("scenarios", ITEMY + ", scenario_id:long, demand:double",
-          lambda: W(scenario_cte()) + " SELECT * FROM scen", ops="M13")
+          lambda: W(scenario_cte()) + " SELECT * FROM scen", ops="M13 A3 J1")
 def q_scenarios(spark, sf_dir):
     return scenarios(spark, sf_dir)
 
@@ -221,7 +221,8 @@ ENC = ["season", "product_category", "gender_age", "size"]
           + " FROM groups g " + " ".join(f"LEFT JOIN e_{c} ON g.{c} = e_{c}.{c}" for c in ENC),
           ops="W2")
 def q_label_encode(spark, sf_dir):
-    return D.label_encode(D.demand_groups(lines(spark, sf_dir)), ENC)
+    from orderlab.session import cut_lineage
+    return D.label_encode(cut_lineage(D.demand_groups(lines(spark, sf_dir))), ENC)
 
 
 @register("year_split", ITEMY + ", demand:long, split:string",

@@ -82,7 +82,7 @@ def q_baseline_by_category(spark, sf_dir):
 
 @register("cost_sensitivity", "parameter:string, shift_pct:long, multiplier:double, total_cost:double, pct_change:double",
           lambda: _eval_sql() + " " + sensitivity_sql("evs", "agent_qty", "actual_demand", "unit_price", CO_MULT, CU_MULT),
-          ops="E3")
+          ops="E3 J9")
 def q_cost_sensitivity(spark, sf_dir):
     return E.sensitivity(_eval_rows(spark, sf_dir), "agent_qty", "actual_demand", "unit_price", CO_MULT, CU_MULT)
 

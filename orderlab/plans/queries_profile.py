@@ -164,7 +164,7 @@ def _transformed_sql() -> str:
           + ") AS s(\"column\", in_type, out_type, type_lost) LEFT JOIN (SELECT 'Lineitem price' AS \"column\", "
           "avg(CASE WHEN TRY_CAST(\"Lineitem price\" AS DOUBLE) IS NULL THEN 1.0 ELSE 0.0 END) AS unparsable_share "
           "FROM tr) u USING (\"column\")",
-          ops="D5")
+          ops="D5 P4 P9")
 def q_type_consistency(spark, sf_dir):
     raw = raw_order_lines(spark, sf_dir)
     return P.type_consistency(raw, user_transform(raw))
