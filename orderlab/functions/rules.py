@@ -211,10 +211,7 @@ def size_col(variant: Column, phrases: list | None = None, low: Column | None =
     first_code_part = F.try_element_at(
         F.array_intersect(parts, F.array(*[F.lit(k) for k in DIRECT_SIZE_CODES])), F.lit(1))
     step2 = F.when(low.contains("/") | low.contains(","), F.try_element_at(codes, first_code_part))
-    phrase = None
-    for pat, out in phrases:
-        phrase = (F.when(low.contains(pat), out) if phrase is None
-                  else phrase.when(low.contains(pat), out))
+    phrase = first_contained(low, phrases)
     code_tok = F.regexp_extract(low, SIZE_CODE_REGEX, 1)
     word_tok = F.regexp_extract(low, SIZE_WORD_REGEX, 1)
     letter_tok = F.upper(F.regexp_extract(low, SIZE_LETTER_REGEX, 1))
@@ -223,13 +220,26 @@ def size_col(variant: Column, phrases: list | None = None, low: Column | None =
     return F.when(variant.isNull(), F.lit(UNKNOWN_SIZE)).otherwise(F.coalesce(
         F.try_element_at(codes, low),
         step2,
-        phrase.otherwise(F.lit(None).cast("string")),
+        phrase,
         F.try_element_at(codes, code_tok),
         F.try_element_at(_map_lit(SIZE_WORDS), word_tok),
         F.try_element_at(_map_lit(SIZE_LETTERS), letter_tok),
         F.lit(UNKNOWN_SIZE)))
 
 
+def first_contained(low: Column, table: list) -> Column:
+    """Output of the first (pattern, output) pair whose pattern occurs in
+    ``low``, in table order; NULL when none does.
+
+    The table is one literal array scanned by ``filter``: long cascades
+    written as CASE chains are inlined into the fused stage and push the
+    generated method past the JVM's 64 KB limit (Spark then falls back to
+    interpreted evaluation for the whole stage)."""
+    arr = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(o).alias("o")) for p, o in table])
+    hit = F.try_element_at(F.filter(arr, lambda e: low.contains(e["p"])), F.lit(1))
+    return hit["o"]
+
+
 def _colors_by_length():
     # longest phrase first; Python's sort is stable, so ties keep list order
     return sorted(COLORS, key=len, reverse=True)
@@ -238,10 +248,7 @@ def _colors_by_length():
 def color_col(name: Column, low: Column | None = None) -> Column:
     """T5: longest colour phrase contained in the name, title case, else Unknown."""
     low = F.lower(name) if low is None else low
-    expr = None
-    for c in _colors_by_length():
-        expr = F.when(low.contains(c), c.title()) if expr is None else expr.when(low.contains(c), c.title())
-    return expr.otherwise("Unknown")
+    return F.coalesce(first_contained(low, [(c, c.title()) for c in _colors_by_length()]), F.lit("Unknown"))
 
 
 def number_col(variant: Column, low: Column | None = None) -> Column:
