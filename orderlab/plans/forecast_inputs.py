@@ -29,7 +29,8 @@ def groups(spark, sf_dir) -> DataFrame:
     small; every later use (train/test split, baselines, residuals, costs)
     starts from it instead of re-running the line scan and joins, and the
     short lineage keeps plan analysis cheap."""
-    return cut_lineage(D.demand_price_groups(lines(spark, sf_dir)))
+    from orderlab.plans.registry import memoized
+    return memoized(("groups", sf_dir), lambda: cut_lineage(D.demand_price_groups(lines(spark, sf_dir))))
 
 
 def train_test(spark, sf_dir):

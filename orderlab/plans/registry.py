@@ -9,6 +9,7 @@ hash alike.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -28,6 +29,19 @@ class Query:
 
 REGISTRY: dict[str, Query] = {}
 
+# Per-build memo: a query that reaches the same materialised input through
+# several helpers (e.g. the demand groups) computes it once.
+BUILD_MEMO: ContextVar[dict | None] = ContextVar("orderlab_build_memo", default=None)
+
+
+def memoized(key, make):
+    memo = BUILD_MEMO.get()
+    if memo is None:
+        return make()
+    if key not in memo:
+        memo[key] = make()
+    return memo[key]
+
 
 def spec(s: str) -> list:
     """'a:long, b:double' -> [(a, long), (b, double)]."""
@@ -75,7 +89,11 @@ def register(name: str, cols: str, sql: str | Callable | None = None, ops: str =
         c = spec(cols)
 
         def build(spark, sf_dir, _fn=fn, _c=c):
-            return conform(_fn(spark, sf_dir), _c)
+            token = BUILD_MEMO.set({})  # shared materialisations live for one query build
+            try:
+                return conform(_fn(spark, sf_dir), _c)
+            finally:
+                BUILD_MEMO.reset(token)
 
         s = sql() if callable(sql) else sql
         REGISTRY[name] = Query(name, build, c, wrap_sql(s, c) if s else None, ops)
