@@ -83,3 +83,17 @@ def test_projection_and_infeasible(spark):
     it, bud = frames(spark, items, 3.0)
     x = PL.project_budget(it.withColumn("q0", F.lit(10.0)), "q0", bud, ["season"], MOQ).collect()
     assert all(r.infeasible for r in x)
+
+
+def test_bisection_cut_matches_window(spark):
+    for seed in (4,):
+        items, budget = instance(seed)
+        it, bud = frames(spark, items, budget)
+        w, pw = PL.allocate(it, bud, ["season"], MOQ, ["item"], method="window")
+        b, pb = PL.allocate(it, bud, ["season"], MOQ, ["item"], method="bisection")
+        qw = {r.item: r.q for r in w.collect()}
+        qb = {r.item: r.q for r in b.collect()}
+        ow = sum(cost(qw[i[0]], i[5], i[3], i[4]) for i in items)
+        ob = sum(cost(qb[i[0]], i[5], i[3], i[4]) for i in items)
+        assert sum(qb[i[0]] * i[2] for i in items) <= budget + 1e-6
+        assert abs(ow - ob) < 1e-6
