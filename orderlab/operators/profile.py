@@ -99,12 +99,13 @@ def top_values(df: DataFrame, cols, k: int = 5) -> DataFrame:
     return top_k_per_group(vc, "column", [F.col("count").desc(), F.col("value")], k)
 
 
-def column_profile(df: DataFrame) -> DataFrame:
+def column_profile(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """Per column count, NULLs, distinct values, min/max/mean.
 
     Numeric min/max/mean are numbers; other columns report min/max as text.
-    Distinct counts come from the (column, value) table: one shuffle for all.
-    """
+    Distinct counts come from the (column, value) table: one shuffle for all;
+    ``approx_distinct=True`` uses HyperLogLog sketches in the same single
+    aggregate instead (no (column, value) shuffle)."""
     fields = df.schema.fields
     stats = df.agg(*[F.struct(
         F.lit(f.name).alias("column"), F.lit(type_family(f.dataType)).alias("dtype"),
@@ -117,6 +118,11 @@ def column_profile(df: DataFrame) -> DataFrame:
         (F.lit(None).cast("string") if is_numeric(f.dataType) else F.max(as_text(df, f.name))).alias("max_text"),
     ).alias(f"s{i}") for i, f in enumerate(fields)])
     long = stats.select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(fields))])).alias("s")).select("s.*")
+    if approx_distinct:
+        hll = df.agg(*[F.approx_count_distinct(as_text(df, f.name)).alias(f"h{i}") for i, f in enumerate(fields)])
+        d = hll.select(F.explode(F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f"h{i}").alias("distinct"))
+                                             for i, f in enumerate(fields)])).alias("d")).select("d.*")
+        return long.join(d, "column", "left")
     distinct = (long_values(df).filter(F.col("value").isNotNull()).distinct()
                 .groupBy("column").agg(F.count(F.lit(1)).alias("distinct")))
     return (long.join(distinct, "column", "left")

@@ -48,3 +48,11 @@ def test_quantile_backtest_rule(spark):
     # CR = 0.4/1.1 -> position 0.727 between 4 and 10 -> 8.36 -> ceil 9
     assert r.agent_qty == 9 and r.baseline_qty == 12 and r.demand == 9
     assert abs(r.agent_cost) < 1e-9 and abs(r.baseline_cost - 0.7 * 10 * 3) < 1e-9
+
+
+def test_quantile_backtest_approx(spark):
+    rows = [(y, "fall", "top", "womens", "WS", q, 10.0) for y, q in ((2001, 4), (2002, 10), (2003, 20), (2004, 9))]
+    lines = spark.createDataFrame(rows, "year int, season string, product_category string, gender_age string, "
+                                        "size string, quantity int, unit_price double")
+    r = quantile_backtest(lines, [2001, 2002, 2003], 2004, 0.7, 0.4, 6, approx=True).first()
+    assert r.agent_qty in (6, 10)  # the sketch returns an observed value, not an interpolation

@@ -47,3 +47,9 @@ def test_profiles(spark):
     assert [r.value for r in uv] == ["Alice", "Bob"] and uv[0].truncated
     red = {(r.key_a, r.key_b): r.a_determines_b for r in P.key_redundancy(df, ["id", "name"]).collect()}
     assert red[("id", "name")]
+
+
+def test_approx_flags(spark):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    prof = {r.column: r.distinct for r in P.column_profile(df, approx_distinct=True).collect()}
+    assert prof["id"] == 3 and prof["name"] == 3
