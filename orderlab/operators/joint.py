@@ -124,7 +124,8 @@ def joint_orders(items: DataFrame, budgets: DataFrame, bkey: str, moq: int, roun
     lower bound per key (valid for the feasible-side prices).
     """
     spark = items.sparkSession
-    cand = cut_lineage(with_candidates(items, moq))
+    # checkpointed (lineage cut, survives executor loss) and kept in memory for the rounds
+    cand = cut_lineage(with_candidates(items, moq)).persist()
     b = {r[bkey]: (float(r["budget1"]), float(r["budget2"])) for r in budgets.collect()}  # one row per key
     top = cand.agg(F.max((F.col("cu1") + F.col("co2") + F.col("cu2")) / F.col("unit_cost"))).first()[0] or 1.0
     lo1 = {k: 0.0 for k in b}
@@ -196,6 +197,7 @@ def joint_orders(items: DataFrame, budgets: DataFrame, bkey: str, moq: int, roun
              .join(F.broadcast(bud), bkey)
              .withColumn("dual_bound", F.col("_lag") - F.col("l1") * F.col("budget1") - F.col("l2") * F.col("budget2"))
              .drop("_lag"))
+    cand.unpersist()  # later evaluation of the plan reads the checkpoint
     return plan.drop("_v"), duals
 
 

@@ -149,7 +149,7 @@ def _cut_by_bisection(iv: DataFrame, avail: DataFrame, bkeys, rounds: int = BISE
     """Bisection on the cut ratio per budget key.  Each round is one aggregate
     of the checkpointed interval table; only (key, lo, hi) lives on the driver
     (one row per budget key)."""
-    ivc = cut_lineage(iv.select(*bkeys, "ratio", (F.col("length") * F.col("unit_cost")).alias("spend")))
+    ivc = cut_lineage(iv.select(*bkeys, "ratio", (F.col("length") * F.col("unit_cost")).alias("spend"))).persist()
     spark = iv.sparkSession
     keys = [tuple(r) for r in avail.select(*bkeys, "avail").collect()]  # one row per budget key
     hi = {k[:-1]: ivc.agg(F.max("ratio")).first()[0] or 0.0 for k in keys}
@@ -189,6 +189,7 @@ def _cut_by_bisection(iv: DataFrame, avail: DataFrame, bkeys, rounds: int = BISE
                    F.when(F.col("ratio") > F.col("cut_hi"), 1.0)
                    .when(F.col("ratio") > F.col("cut_lo"), F.coalesce("_share", F.lit(0.0)))
                    .otherwise(0.0).alias("frac"), "spend"))
+    ivc.unpersist()  # later evaluation reads the checkpoint
     return out
 
 
