@@ -7,16 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlab.llm import decontaminate, mixing, near_dup, quality, secret_scan
+from orderlab.llm import decontaminate, mixing, near_dup, quality, secret_scan, tool_calls, url_filter
 from orderlab.llm.common import read_table
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    out = url_filter.blocked(url_filter.page_captures(pages), url_filter.page_lists(pages))
+    return out.withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return hits.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
                        decontaminate.items_digest(F.col("item_ids")).alias("items_sha256"), "contaminated")
 
 
+def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = tool_calls.conversation_parts(read_table(spark, sf_dir, "conversations"))
+    return tool_calls.link(*parts, tool_calls.SCHEMAS)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
@@ -65,14 +76,18 @@ FROM w LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_tool_call_linking": op3_tool_call_linking,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing_sources": op5_mixing_sources,
     "op6_secret_scans": op6_secret_scans,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_url_filters": op9_url_filters,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_tool_call_linking": tool_calls.CONVERSATIONS_SQL,
     "op5_mixing_sources": mixing.sample_sql(),
+    "op9_url_filters": url_filter.PAGES_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
 }
