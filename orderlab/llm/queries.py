@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlab.llm import decontaminate, mixing, near_dup, quality, secret_scan, tool_calls, url_filter
+from orderlab.llm import (
+    decontaminate, hmm_lm, lang_id, mixing, near_dup, page_diff, quality, secret_scan, tool_calls, url_filter,
+)
 from orderlab.llm.common import read_table
 
 
@@ -23,6 +25,14 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
                        decontaminate.items_digest(F.col("item_ids")).alias("items_sha256"), "contaminated")
 
 
+def op1_hmm_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(read_table(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = tool_calls.conversation_parts(read_table(spark, sf_dir, "conversations"))
     return tool_calls.link(*parts, tool_calls.SCHEMAS)
@@ -44,6 +54,10 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(read_table(spark, sf_dir, "documents")).drop("found")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.groups(read_table(spark, sf_dir, "documents"), width=3, percent=85).select(
         "doc_id", "n_shingles", "component_id", "kept")
@@ -76,10 +90,13 @@ FROM w LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hmm_lm_scoring": op1_hmm_lm_scoring,
+    "op2_language_id": op2_language_id,
     "op3_tool_call_linking": op3_tool_call_linking,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing_sources": op5_mixing_sources,
     "op6_secret_scans": op6_secret_scans,
+    "op7_html_extraction": op7_html_extraction,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
