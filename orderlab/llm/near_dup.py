@@ -14,10 +14,13 @@ fewer words, the whole sequence).  Documents with Jaccard similarity >= ``percen
    the chance of a miss below ``MISS``.  The band key also holds a size class (each
    document is in two neighbouring ones), since linked sets have similar sizes.
 3. *Candidates.*  In each band bucket every member is paired with hubs only, never
-   with all others: first with the smallest id.  After the linked pairs are merged
-   into components, buckets whose members are still in different components get
-   more hubs (members outside the bucket's largest component, doubling in number
-   each round) until every pair of different components has been compared.  So no
+   with all others: first with the member that has the most company over all its
+   buckets.  After the linked pairs are merged into components, buckets whose members
+   are still in different components get more hubs (members outside the bucket's
+   largest component, four times as many each round) until every pair of different
+   components has been compared or excluded.  Excluded are pairs whose overlap cannot
+   reach the bound, because too many shingles of one occur in no other member of such
+   a bucket: this settles a variant that matches nothing without comparing it.  So no
    link between components is lost and nothing is capped; a bucket of mutual copies
    costs one comparison per member.
 4. *Estimate.*  Pairs whose collision-corrected Jaccard estimate is more than
@@ -45,8 +48,8 @@ from orderlab.llm.common import WORDS_LOWER, Words, materialize, rows, steps
 from orderlab.session import cut_lineage
 
 REGISTERS = 192
-MANTISSA = 10
-EMPTY = np.uint16(0xFFFF)
+MANTISSA = 4       # of 8 bits; the leading-zero count has the other 4
+EMPTY = np.uint8(0xFF)
 MISS = 1e-6
 SLACK = 0.14
 
@@ -97,7 +100,7 @@ def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 def sketch(bounds: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """HyperMinHash registers of each row's set: leading zeros, then mantissa."""
     n = len(bounds) - 1
-    out = np.full((n, REGISTERS), EMPTY, np.uint16)
+    out = np.full((n, REGISTERS), EMPTY, np.uint8)
     if not len(keys):
         return out
     with np.errstate(over="ignore"):
@@ -112,9 +115,9 @@ def sketch(bounds: np.ndarray, keys: np.ndarray) -> np.ndarray:
     first[1:] = cell[1:] != cell[:-1]
     cell, low = cell[first], np.maximum(rest[first], np.uint64(1))
     frac, exp = np.frexp(low.astype(np.float64))          # low = frac * 2^exp, 0.5 <= frac < 1
-    zeros = np.minimum(53 - exp, 62).astype(np.int64)
+    zeros = np.minimum(53 - exp, 14).astype(np.int64)
     mantissa = ((frac * 2 - 1) * (1 << MANTISSA)).astype(np.int64)
-    out.reshape(-1)[cell] = (zeros << MANTISSA | mantissa).astype(np.uint16)
+    out.reshape(-1)[cell] = (zeros << MANTISSA | mantissa).astype(np.uint8)
     return out
 
 
@@ -179,8 +182,8 @@ def estimate(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray) -> np
 
 def _registers(column: pa.Array) -> np.ndarray:
     if not len(column):
-        return np.zeros((0, REGISTERS), np.uint16)
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        return np.zeros((0, REGISTERS), np.uint8)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -281,49 +284,83 @@ def _confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, pe
     return materialize(_verified(near, texts, width, percent), "links")
 
 
+def _alone(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(id, alone): how many of the id's shingles occur in none of the other ``ids``;
+    the rest bounds its overlap with any of them."""
+    key_schema = pa.schema([("id", pa.int64()), ("key", pa.int64())])
+
+    def keys(batches):
+        for batch in steps(batches):
+            bounds, found = shingle_sets(batch.column("text"), width)
+            yield rows(key_schema, np.repeat(batch.column("id").to_numpy(), np.diff(bounds)), found.view(np.int64))
+
+    each = texts.join(ids, "id").select("id", "text").mapInArrow(keys, "id bigint, key bigint")
+    return (each.groupBy("key").agg(F.count("*").alias("df"), F.min("id").alias("id")).where("df = 1")
+             .groupBy("id").agg(F.count("*").alias("alone")))
+
+
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id,
     kept, one row per document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sk = materialize(sketches(docs, width), "sketches")
     classes = sk.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"))
-    reps = materialize(sk.join(classes, "fp").where("doc_id = id").dropDuplicates(["id", "fp"])
-                       .select("id", "n", "registers"), "representatives")
-    bands = _bands(reps, percent)
-    hubs = (bands.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("top"))
-            .where("hub.id <> top"))
-    shared = materialize(bands.join(hubs, "key").select("key", "id", "n", F.col("hub.id").alias("hub"),
-                                                        F.col("hub.n").alias("nh")), "bands")
-    texts = materialize(docs.withColumnRenamed("doc_id", "id").join(shared.select("id").distinct(), "id"), "texts")
+    all_reps = materialize(sk.join(classes, "fp").where("doc_id = id").dropDuplicates(["id", "fp"])
+                           .select("id", "n", "registers"), "representatives")
+    bands = _bands(all_reps, percent)
+    several = bands.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("top")).where("low <> top")
+    shared = materialize(bands.join(several, "key").select("key", "id", "n"), "bands")
+    members = shared.select("id").distinct()
+    texts = materialize(docs.withColumnRenamed("doc_id", "id").join(members, "id"), "texts")
+    reps = materialize(all_reps.join(members, "id"), "members")
+    # hub of a bucket: the member with the most company over all its buckets, so that a group
+    # of copies meets around the same few central texts
+    company = shared.join(shared.groupBy("key").agg(F.count("*").alias("mates")), "key").groupBy("id").agg(
+        F.sum("mates").alias("company"))
+    hubs = shared.join(company, "id").groupBy("key").agg(
+        F.max(F.struct("company", F.negative("id").alias("minus"), "n")).alias("h"))
+    hubs = hubs.select("key", F.negative("h.minus").alias("hub"), F.col("h.n").alias("nh"))
     sizes = f"100 * least(n, nh) >= {percent} * greatest(n, nh)"
-    pairs = shared.where("id <> hub").where(sizes).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    hubs = cut_lineage(hubs)
+    pairs = shared.join(hubs, "key").where("id <> hub").where(sizes).select(
+        F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     links = _confirm(pairs, reps, texts, width, percent)
     comp = components(links)
-    used, more = None, 8
+    used = hubs.select("key", F.col("hub").alias("id"))
+    reach, more = None, 8
     while True:
         # buckets whose members are still in several components
         at = shared.join(comp, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+        if reach is not None:
+            at = at.join(reach, "id").where(f"100 * reach >= {percent} * n")  # others can have no link
         parts = at.groupBy("key", "c").agg(F.count("*").alias("size"))
         split = (parts.groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("parts"))
                  .where("parts > 1").select("key", "main"))
         todo = cut_lineage(at.join(split, "key"))
-        left = todo.where("c <> main").select("key", "id", "n", "c")
-        if used is not None:
-            left = left.join(used, ["key", "id"], "left_anti")
-        # next hubs of each bucket: members outside its largest component, in a fixed order
-        order = Window.partitionBy("key").orderBy(F.xxhash64("key", "id"), "id")
+        if reach is None:
+            # first bound, for each member of a split bucket, its overlap with any other member
+            ids = todo.select("id").distinct()
+            alone = _alone(ids, texts, width)
+            reach = cut_lineage(todo.select("id", "n").distinct().join(alone, "id", "left").select(
+                "id", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("reach")))
+            continue
+        left = todo.where("c <> main").join(used, ["key", "id"], "left_anti")
+        # next hubs of each bucket: members outside its largest component, in one order for all
+        # buckets, so that a pair of several buckets comes up in one round
+        order = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
         hub = cut_lineage(left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= more)
-                          .select("key", F.col("id").alias("hub"), F.col("n").alias("nh"), F.col("c").alias("ch")))
+                          .select("key", F.col("id").alias("hub"), F.col("n").alias("nh"), F.col("c").alias("ch"),
+                                  F.col("reach").alias("rh")))
         if hub.isEmpty():
             break
         pairs = (todo.join(hub, "key").where("c <> ch").where(sizes)
+                 .where(f"{100 + percent} * least(reach, rh) >= {percent} * (n + nh)")
                  .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
         found = _confirm(pairs, reps, texts, width, percent)
         if not found.isEmpty():
             links = cut_lineage(links.union(found))
             comp = components(links)
-        now = hub.select("key", F.col("hub").alias("id"))
-        used = now if used is None else cut_lineage(used.union(now))
+        used = cut_lineage(used.union(hub.select("key", F.col("hub").alias("id"))))
         more *= 4
     return (sk.join(classes, "fp", "left").join(comp, "id", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("id", "doc_id").alias("class_id"),
