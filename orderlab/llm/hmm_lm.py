@@ -42,17 +42,18 @@ from pyspark.sql import functions as F
 
 from orderlab.llm.common import WORDS_LOWER, Words, materialize, rows, steps
 
-STATES, CLASSES, ITERATIONS, SEED = 6, 1 << 15, 6, 11
-BLOCK_BYTES = 6 << 20
-PIECE = 512        # training pieces; segments of the chained scoring
+STATES, CLASSES, ITERATIONS, SEED = 6, 1 << 14, 6, 11
+BLOCK_BYTES = 10 << 20
+PIECE = 256        # training pieces; segments of the chained scoring
+GROUP = 1 << 18    # tokens whose recursions run side by side
 PRIOR = 20.0       # weight of the corpus class distribution in a state's emissions
 END = ""
 
-_BLOCK_DDL = ("block bigint, vocab array<struct<w:string,c:bigint>>, tokens binary, doc_ids array<bigint>, "
-              "held array<boolean>, n_tokens array<int>")
+_BLOCK_DDL = ("block bigint, vocab array<struct<w:string,c:bigint>>, kinds binary, counts binary, tokens binary, "
+              "doc_ids array<bigint>, held array<boolean>, n_tokens array<int>")
 _BLOCK = pa.schema([("block", pa.int64()), ("vocab", pa.list_(pa.struct([("w", pa.string()), ("c", pa.int64())]))),
-                    ("tokens", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
-                    ("n_tokens", pa.list_(pa.int32()))])
+                    ("kinds", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()),
+                    ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int32()))])
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                     ("log_counts", pa.float64()), ("score", pa.float64())])
 SCORES_DDL = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, log_counts double, score double"
@@ -86,8 +87,18 @@ def _held(doc_id) -> bool:
     return doc_id is not None and crc32(str(doc_id).encode()) % 7 == 2
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """The tokenised documents, see above; token code len(vocab) - 1 is the end."""
+def pack(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as byte planes, whose high planes compress to almost nothing."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def blocks(docs: DataFrame, classes: int) -> DataFrame:
+    """The tokenised documents, see above; token code len(vocab) - 1 is the end.
+    ``kinds`` and ``counts`` hold the class and the block's training count per code."""
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                            F.spark_partition_id().cast("long").alias("part"))
 
@@ -101,12 +112,14 @@ def blocks(docs: DataFrame) -> DataFrame:
             counts = np.bincount(w.code[~held[w.doc]], minlength=end + 1) if len(w.code) else np.zeros(end + 1, np.int64)
             counts[end] = int((~held).sum())
             tokens = np.insert(w.code.astype(np.int32), w.bounds[1:], end)
+            kinds = class_of([*w.vocab.to_pylist(), END.encode()], classes)
             vocab = pa.concat_arrays([w.vocab.cast(pa.string()), pa.array([END], pa.string())])
             item = pa.StructArray.from_arrays([vocab, pa.array(counts, pa.int64())], names=["w", "c"])
             part = batch.column("part")[0].as_py()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([(part << 32) + n], pa.int64()), pa.ListArray.from_arrays([0, end + 1], item),
-                 pa.array([tokens.tobytes()], pa.binary()), pa.array([ids], pa.list_(pa.int64())),
+                 pa.array([pack(kinds)], pa.binary()), pa.array([pack(counts)], pa.binary()),
+                 pa.array([pack(tokens)], pa.binary()), pa.array([ids], pa.list_(pa.int64())),
                  pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([(w.counts + 1).tolist()], pa.list_(pa.int32()))],
                 schema=_BLOCK)
             n += 1
@@ -191,10 +204,20 @@ def first_model(counts: Counts, states: int) -> Hmm:
     return Hmm(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
 
-def _codes(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    tokens = np.frombuffer(row["tokens"], np.int32)
+def _codes(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token codes, class of each code, first token and number of tokens per document)."""
     sizes = np.array(row["n_tokens"], np.int64)
-    return tokens, np.cumsum(sizes) - sizes, sizes
+    return unpack(row["tokens"]), unpack(row["kinds"]), np.cumsum(sizes) - sizes, sizes
+
+
+def _groups(sizes: np.ndarray):
+    """Slices of pieces with about GROUP tokens each."""
+    ends = np.cumsum(sizes)
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + GROUP, side="right")))
+        yield slice(lo, hi)
+        lo = hi
 
 
 def train(table: DataFrame, counts: Counts, states: int = STATES, iterations: int = ITERATIONS) -> tuple[Hmm, list[float]]:
@@ -203,7 +226,7 @@ def train(table: DataFrame, counts: Counts, states: int = STATES, iterations: in
     sc = table.sparkSession.sparkContext
     classes = len(counts.class_tokens)
     model, history, share = first_model(counts, states), [], counts.class_share()
-    out = pa.schema([("row", pa.int32()), ("v", pa.list_(pa.float64()))])
+    out = pa.schema([("row", pa.int32()), ("v", pa.list_(pa.float32()))])
     # rows: one per class (emissions), then one per state (moves), starts, likelihood
     for _ in range(iterations):
         shared = sc.broadcast(model)
@@ -214,21 +237,21 @@ def train(table: DataFrame, counts: Counts, states: int = STATES, iterations: in
             for batch in batches:
                 for i in range(batch.num_rows):  # one block in memory at a time
                     row = batch.slice(i, 1).to_pylist()[0]
-                    tokens, first, sizes = _codes(row)
-                    kind = class_of([w.encode() for w in row["words"]], classes)
-                    use = ~np.array(row["held"], bool)
+                    tokens, kind, first, sizes = _codes(row)
+                    seen, use = kind[tokens], ~np.array(row["held"], bool)
                     at, n, _ = _pieces(first[use], sizes[use], PIECE)
-                    s, m, e, ll = expected_counts(hmm, kind[tokens], at, n)
-                    emit += e
-                    tail[:states] += m
-                    tail[states] += s
-                    tail[states + 1, 0] += ll
+                    for part in _groups(n):
+                        s, m, e, ll = expected_counts(hmm, seen, at[part], n[part])
+                        emit += e
+                        tail[:states] += m
+                        tail[states] += s
+                        tail[states + 1, 0] += ll
             some = np.flatnonzero(emit.any(axis=1))
             yield rows(out, np.concatenate([some, classes + np.arange(states + 2)]), [*emit[some], *tail])
 
-        sums = (table.select(F.col("vocab.w").alias("words"), "tokens", "held", "n_tokens")
-                .mapInArrow(estep, "row int, v array<double>")
-                .groupBy("row").agg(*[F.sum(F.col("v")[j]).alias(f"v{j}") for j in range(states)]))
+        sums = (table.select("kinds", "tokens", "held", "n_tokens")
+                .mapInArrow(estep, "row int, v array<float>")
+                .groupBy("row").agg(*[F.sum(F.col("v")[j].cast("double")).alias(f"v{j}") for j in range(states)]))
         emit, tail = np.zeros((classes, states)), np.zeros((states + 2, states))
         for r, *v in sums.collect():  # at most classes + states + 2 rows
             if r < classes:
@@ -284,32 +307,33 @@ def log10_forward(model: Hmm, seen: np.ndarray, starts: np.ndarray, sizes: np.nd
 
 def scores(table: DataFrame, counted: DataFrame, counts: Counts, model: Hmm) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, log_counts (sum of log10(c + 1)), score."""
-    classes = len(counts.class_tokens)
     shared = table.sparkSession.sparkContext.broadcast((model, np.log10(counts.class_tokens + counts.class_words + 1)))
-    word = table.select("block", F.posexplode("vocab").alias("code", "v")).select("block", "code", "v.w")
-    known = (word.join(counted, "w").groupBy("block")
-             .agg(F.collect_list(F.struct("code", "c")).alias("known")))  # a block's own vocabulary
-    joined = table.select("block", F.col("vocab.w").alias("words"), "tokens", "doc_ids", "held", "n_tokens").join(
-        known, "block", "left")
+    word = table.select("block", F.posexplode("vocab").alias("code", "v")).select("block", "code", "v.w", "v.c")
+    # a word whose training tokens all lie in the block needs no answer: the block has that count
+    more = word.join(counted.withColumnRenamed("c", "total"), "w").where("total > c")
+    known = more.groupBy("block").agg(  # at most a block's own vocabulary
+        F.collect_list("code").alias("at"), F.collect_list("total").alias("total"))
+    joined = table.select("block", "kinds", "counts", "tokens", "doc_ids", "held", "n_tokens").join(known, "block", "left")
 
     def run(batches):
         hmm, size = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                got = row.column("known")[0].values
-                one = row.drop_columns(["known"]).to_pylist()[0]
-                tokens, first, sizes = _codes(one)
-                kind = class_of([w.encode() for w in one["words"]], classes)
-                c = np.zeros(len(kind))
-                if got is not None and len(got):
-                    c[got.field("code").to_numpy()] = got.field("c").to_numpy()
+                at, total = row.column("at")[0].values, row.column("total")[0].values
+                one = row.select(["tokens", "kinds", "counts", "doc_ids", "held", "n_tokens"]).to_pylist()[0]
+                tokens, kind, first, sizes = _codes(one)
+                c = unpack(one["counts"])
+                if at is not None:
+                    c[at.to_numpy()] = total.to_numpy()
                 logs = np.log10(c + 1)
                 sums = np.add.reduceat(logs[tokens], first)
                 rest = np.add.reduceat((logs - size[kind])[tokens], first)
-                seen = np.add.reduceat((c > 0).astype(np.int64)[tokens], first)
-                yield rows(SCORES, one["doc_ids"], one["held"], sizes, seen, sums,
-                           rest + log10_forward(hmm, kind[tokens], first, sizes))
+                known_ = np.add.reduceat((c > 0).astype(np.int64)[tokens], first)
+                seen, own = kind[tokens], np.zeros(len(first))
+                for part in _groups(sizes):
+                    own[part] = log10_forward(hmm, seen, first[part], sizes[part])
+                yield rows(SCORES, one["doc_ids"], one["held"], sizes, known_, sums, rest + own)
 
     return joined.mapInArrow(run, SCORES_DDL)
 
@@ -317,7 +341,7 @@ def scores(table: DataFrame, counted: DataFrame, counts: Counts, model: Hmm) ->
 def score(docs: DataFrame, states: int = STATES, classes: int = CLASSES, iterations: int = ITERATIONS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every
     document; learns from the documents that are not held out."""
-    table = materialize(blocks(docs), "blocks")
+    table = materialize(blocks(docs, classes), "blocks")
     counted, counts = word_counts(table, classes)
     model, _ = train(table, counts, states, iterations)
     base = float(np.log10(counts.tokens + counts.words + 1))
