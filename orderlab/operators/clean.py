@@ -32,16 +32,27 @@ def parsed_timestamp(df: DataFrame, c: str) -> Column:
     return F.try_to_timestamp(F.col(c)) if _is_string(df, c) else F.col(c).cast("timestamp")
 
 
-def coerce_quantity(df: DataFrame, c: str) -> Column:
-    """P10: unparsable quantity -> 1, then truncated to an integer."""
+# Plain or scientific decimal numbers; a Java cast would also take suffixes like ``5d``.
+NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def _number(df: DataFrame, c: str) -> Column:
+    """Finite double of a numeric or text column, else NULL."""
+    x = F.col(c).cast("double")
     if _is_string(df, c):
-        return F.coalesce(F.col(c).try_cast("double"), F.lit(1.0)).cast("int")
-    return F.coalesce(F.col(c).cast("double"), F.lit(1.0)).cast("int")
+        x = F.when(F.col(c).rlike(NUMBER_TEXT), F.trim(F.regexp_replace(c, r"\s", "")).try_cast("double"))
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+def coerce_quantity(df: DataFrame, c: str) -> Column:
+    """P10: unparsable, non-finite or out-of-range quantity -> 1, else truncated to an
+    integer."""
+    return F.coalesce(_number(df, c).try_cast("int"), F.lit(1))
 
 
 def coerce_price(df: DataFrame, c: str) -> Column:
-    """P10: unparsable price -> NULL."""
-    return F.col(c).try_cast("double") if _is_string(df, c) else F.col(c).cast("double")
+    """P10: unparsable or non-finite price -> NULL."""
+    return _number(df, c)
 
 
 def require_columns(df: DataFrame, required) -> None:
@@ -60,7 +71,7 @@ def with_line_fields(raw: DataFrame, category_rules: R.CategoryRules = R.REFEREN
     x = raw.select("*", ts.alias("_ts"),
                    F.lower(F.col(RAW["name"])).alias("_name_low"),
                    F.lower(F.col(RAW["variant"])).alias("_var_low"),
-                   F.lower(F.trim(F.col(RAW["variant"]))).alias("_var_lt"))
+                   F.lower(F.regexp_replace(F.col(RAW["variant"]), r"^\s+|\s+$", "")).alias("_var_lt"))
     return x.select("*", F.month("_ts").alias("_month"),
                     R.classify_product_col(F.col(RAW["name"]), category_rules, F.col("_name_low")).alias("_category"))
 

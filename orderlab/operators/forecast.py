@@ -112,15 +112,15 @@ def fit_predict(train: DataFrame, test: DataFrame, features, estimator, floor: f
     return model, pred
 
 
-def gbt(seed: int = 42, trees: int = 20, depth: int = 4, rate: float = 0.05, sample: float = 0.8,
+def gbt(seed: int = 42, trees: int = 300, depth: int = 4, rate: float = 0.05, sample: float = 0.8,
         col_sample: str = "0.8"):
-    """M5: boosted trees (300 trees in the reference; ``trees`` is the parameter)."""
+    """M5: boosted trees (``trees`` rounds)."""
     from pyspark.ml.regression import GBTRegressor
     return GBTRegressor(labelCol="demand", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=sample,
                         featureSubsetStrategy=col_sample, seed=seed)
 
 
-def forest(seed: int = 42, trees: int = 20, depth: int = 6, sample: float = 0.8):
+def forest(seed: int = 42, trees: int = 300, depth: int = 4, sample: float = 0.8):
     """M6: the second tree family (random forest) as the documented substitute."""
     from pyspark.ml.regression import RandomForestRegressor
     return RandomForestRegressor(labelCol="demand", numTrees=trees, maxDepth=depth, subsamplingRate=sample, seed=seed)
@@ -145,54 +145,62 @@ def feature_importance(model, features) -> list:
     return sorted(zip(features, imp), key=lambda t: (-t[1], t[0]))
 
 
-def nv_loss_fit(train: DataFrame, features, co: float, cu: float, epochs: int = 80, lr: float = 0.05,
-                penalty: float = 0.01, clip_hi: float = 6.0):
-    """M8: decision-focused log-linear model d = expm1(clip(x.b, 0, clip_hi)),
-    fitted on the (smoothed) NV loss by full-batch Adam.
+def nv_loss_fit(train: DataFrame, features, co: str | float = "co", cu: str | float = "cu", epochs: int = 80,
+                lr: float = 0.05, penalty: float = 0.01, history: list | None = None):
+    """M8: decision-focused log-linear model d = expm1(clip(x.b, 0, hi)), fitted on the
+    (smoothed) NV loss by full-batch Adam; returns (b, hi).
 
-    Each epoch is one distributed aggregate of the gradient (a sum of column
-    expressions over the persisted training rows); only the coefficient vector
-    (one number per feature) lives on the driver.
+    ``co`` and ``cu`` are cost columns of the rows (by category and period) or
+    numbers.  The fit starts at the log of the mean demand, the upper clip is the
+    log of twice the largest train demand, and the gradient is not cut at the lower
+    clip, so a row predicted at zero can still move.  Each epoch is one distributed
+    aggregate over the persisted training rows; only the coefficient vector (one
+    number per feature) lives on the driver.  ``history`` gets the mean loss of each
+    epoch before its step.
     """
     import math
 
-    from orderlab.functions.newsvendor import sigmoid
-    x = train.select(*[F.col(c).cast("double").alias(c) for c in features], F.col("demand").cast("double"))
-    x = x.persist()
+    from orderlab.functions.newsvendor import sigmoid, softplus
+    cost = [F.col(c).cast("double") if isinstance(c, str) else F.lit(float(c)) for c in (co, cu)]
+    x = train.select(*[F.col(c).cast("double").alias(c) for c in features], F.col("demand").cast("double").alias("demand"),
+                     cost[0].alias("_co"), cost[1].alias("_cu")).persist()
+    first = x.agg(F.count(F.lit(1)).alias("n"), F.avg("demand").alias("mean"), F.max("demand").alias("top")).first()
+    n, hi = first["n"] or 1, math.log1p(2 * (first["top"] or 1.0))
     nb = len(features) + 1
-    b = [0.0] * nb
-    m = [0.0] * nb
-    v = [0.0] * nb
+    b = [math.log1p(first["mean"] or 0.0)] + [0.0] * len(features)
+    m, v = [0.0] * nb, [0.0] * nb
     b1, b2, eps = 0.9, 0.999, 1e-8
-    n = x.count() or 1
     cols = [F.lit(1.0)] + [F.col(c) for c in features]
     for t in range(1, epochs + 1):
         z = sum((c * bj for c, bj in zip(cols, b)), F.lit(0.0))
-        zc = F.least(F.greatest(z, F.lit(0.0)), F.lit(clip_hi))
+        zc = F.least(F.greatest(z, F.lit(0.0)), F.lit(hi))
         pred = F.expm1(zc)
-        inside = ((z > 0) & (z < clip_hi)).cast("double")
-        dpred = F.exp(zc) * inside
-        dloss = co * sigmoid(pred - F.col("demand"), 5.0) - cu * sigmoid(F.col("demand") - pred, 5.0)
-        g = x.agg(*[F.sum(dloss * dpred * c).alias(f"g{j}") for j, c in enumerate(cols)]).first()
-        grad = [g[f"g{j}"] / n + penalty * b[j] for j in range(nb)]
+        dpred = F.when(z < hi, F.exp(zc)).otherwise(0.0)
+        over, under = pred - F.col("demand"), F.col("demand") - pred
+        dloss = F.col("_co") * sigmoid(over, 5.0) - F.col("_cu") * sigmoid(under, 5.0)
+        loss = F.col("_co") * softplus(over, 5.0) + F.col("_cu") * softplus(under, 5.0)
+        g = x.agg(F.avg(loss).alias("loss"), *[F.sum(dloss * dpred * c).alias(f"g{j}") for j, c in enumerate(cols)]).first()
+        if history is not None:
+            history.append(g["loss"])
+        grad = [(g[f"g{j}"] or 0.0) / n + (penalty * b[j] if j else 0.0) for j in range(nb)]
         for j in range(nb):
             m[j] = b1 * m[j] + (1 - b1) * grad[j]
             v[j] = b2 * v[j] + (1 - b2) * grad[j] ** 2
             b[j] -= lr * (m[j] / (1 - b1 ** t)) / (math.sqrt(v[j] / (1 - b2 ** t)) + eps)
     x.unpersist()
-    return b
+    return b, hi
 
 
-def nv_loss_predict(df: DataFrame, features, b, clip_hi: float = 6.0) -> DataFrame:
+def nv_loss_predict(df: DataFrame, features, b, clip_hi: float) -> DataFrame:
     cols = [F.lit(1.0)] + [F.col(c).cast("double") for c in features]
     z = sum((c * bj for c, bj in zip(cols, b)), F.lit(0.0))
     return df.withColumn("pred", F.expm1(F.least(F.greatest(z, F.lit(0.0)), F.lit(clip_hi))))
 
 
-def grouped_forecast(groups: DataFrame, train_years, test_years, keys=ITEM_KEYS) -> DataFrame:
-    """a user forecaster fitted per group via ``applyInPandas``: here a
-    least-squares trend over an item's train years, extrapolated to the test
-    years.  Each group is one item's yearly demand (bounded by the number of
+def grouped_forecast(groups: DataFrame, train_years, test_years, keys=ITEM_KEYS, model=None) -> DataFrame:
+    """a user forecaster ``model(years, demand, year) -> number`` fitted per group via
+    ``applyInPandas`` (default: a least-squares trend over an item's train years);
+    predictions are floored at 0.  Each group is one item's yearly demand (bounded by the number of
     years), never raw lines, so no group can grow with the data volume."""
     import numpy as np
     import pandas as pd
@@ -207,14 +215,27 @@ def grouped_forecast(groups: DataFrame, train_years, test_years, keys=ITEM_KEYS)
         if g.empty:
             return pd.DataFrame(columns=[*keys, "year", "pred"])
         yrs, d = g["year"].to_numpy(float), g["demand"].to_numpy(float)
-        slope, icpt = np.polyfit(yrs, d, 1) if len(g) >= 2 else (0.0, float(d.mean()))
         key = [pdf[k].iloc[0] for k in keys]
-        return pd.DataFrame([(*key, int(ty), max(float(icpt + slope * ty), 0.0)) for ty in test_years],
+        own = model or (lambda x, y, at: np.polyval(np.polyfit(x, y, 1), at) if len(x) >= 2 else y.mean())
+        return pd.DataFrame([(*key, int(ty), max(float(own(yrs, d, ty)), 0.0)) for ty in test_years],
                             columns=[*keys, "year", "pred"])
 
     return (groups.select(*keys, F.col("year").cast("int"), F.col("demand").cast("double"))
             .groupBy(*keys).applyInPandas(fit, schema))
 
 
+def trend_forecast(groups: DataFrame, train_years, test_years, keys=ITEM_KEYS) -> DataFrame:
+    """F2, the built-in trend: least squares over an item's train years, extrapolated to
+    the test years and floored at 0, as one aggregate (a single year: its mean)."""
+    year, demand = F.col("year").cast("double"), F.col("demand").cast("double")
+    fit = (groups.where(F.col("year").isin(*train_years)).groupBy(*keys)
+           .agg(F.regr_slope(demand, year).alias("slope"), F.regr_intercept(demand, year).alias("icpt"),
+                F.avg(demand).alias("mean")))
+    years = F.explode(F.array(*[F.lit(int(y)) for y in test_years])).alias("year")
+    return fit.select(*keys, "slope", "icpt", "mean", years).select(
+        *keys, "year", F.greatest(F.coalesce(F.col("icpt") + F.col("slope") * F.col("year"), F.col("mean")), F.lit(0.0))
+        .alias("pred"))
+
+
 def rank_within(df: DataFrame, part, order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy(*order)))

@@ -11,14 +11,12 @@ knapsack over kink intervals ranked by benefit per dollar:
    functions on the item row: no shuffle);
 2. per budget key and distinct ratio, the spend of all intervals (partial
    aggregation: the table has one row per distinct ratio, not per item);
-3. a window over that small table finds the cut ratio (= shadow price) and
-   the share of the cut bucket that fits;
-4. the cut is broadcast back: intervals above the cut are taken in full, the
-   cut bucket by the same share (ties share equally), the rest not at all.
-
-When costs are item-specific the distinct-ratio table can be as large as the
-item table; then step 3 switches to a bisection on the cut (a fixed number of
-small aggregates on a checkpointed interval table).
+3. a two-level prefix sum along falling ratios (ranges of ratios, then the one
+   range where the budget runs out) finds the cut ratio (= shadow price) and the
+   share of the cut bucket that fits; one method at every size;
+4. the cut, one row per budget key, is broadcast: intervals above it are taken in
+   full, the cut bucket by the same share (ties share equally), the rest not at
+   all, so the intervals are never shuffled on a season or a ratio.
 """
 
 from __future__ import annotations
@@ -27,11 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlab.functions.newsvendor import nv_cost
-from orderlab.session import cut_lineage
 
 RATIO_DIGITS = 10
-MAX_WINDOW_BUCKETS = 1_000_000
-BISECTION_ROUNDS = 60
+RATIO_STEPS = 512        # ratio ranges per doubling in the first level of the cut's prefix sum
 HASH_PREFIX = 3          # md5 hex prefix length: 4096 first-level buckets for the unit tie-break
 
 
@@ -129,107 +125,80 @@ def unit_runs(items: DataFrame, moq: int) -> DataFrame:
 
 def _available(items: DataFrame, budgets: DataFrame, bkeys, moq: int) -> DataFrame:
     ms = items.groupBy(*bkeys).agg(F.sum(F.col("unit_cost") * moq).alias("moq_spend"))
-    return budgets.join(ms, bkeys).withColumn("avail", F.col("budget") - F.col("moq_spend"))
-
-
-def _cut_by_window(iv: DataFrame, avail: DataFrame, bkeys) -> DataFrame:
-    """(bkeys, ratio) -> fraction taken, from the small distinct-ratio table."""
-    buckets = iv.groupBy(*bkeys, "ratio").agg(F.sum(F.col("length") * F.col("unit_cost")).alias("spend"))
-    w = Window.partitionBy(*bkeys).orderBy(F.col("ratio").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    b = buckets.join(avail, bkeys).withColumn("cum", F.sum("spend").over(w))
-    before = F.col("cum") - F.col("spend")
-    frac = (F.when(F.col("avail") < 0, 0.0)
-            .when(F.col("cum") <= F.col("avail"), 1.0)
-            .when(before >= F.col("avail"), 0.0)
-            .otherwise((F.col("avail") - before) / F.col("spend")))
-    return b.select(*bkeys, "ratio", frac.alias("frac"), "spend")
-
-
-def _cut_by_bisection(iv: DataFrame, avail: DataFrame, bkeys, rounds: int = BISECTION_ROUNDS) -> DataFrame:
-    """Bisection on the cut ratio per budget key.  Each round is one aggregate
-    of the checkpointed interval table; only (key, lo, hi) lives on the driver
-    (one row per budget key)."""
-    ivc = cut_lineage(iv.select(*bkeys, "ratio", (F.col("length") * F.col("unit_cost")).alias("spend"))).persist()
-    spark = iv.sparkSession
-    keys = [tuple(r) for r in avail.select(*bkeys, "avail").collect()]  # one row per budget key
-    hi = {k[:-1]: ivc.agg(F.max("ratio")).first()[0] or 0.0 for k in keys}
-    lo = {k[:-1]: 0.0 for k in keys}
-    av = {k[:-1]: k[-1] for k in keys}
-    schema = ", ".join([f"`{b}` string" for b in bkeys] + ["mid double"])
-    for _ in range(rounds):
-        mids = spark.createDataFrame([(*[str(x) for x in k], (lo[k] + hi[k]) / 2) for k in lo], schema)
-        cast_keys = [F.col(b).cast("string").alias(b) for b in bkeys]
-        s = (ivc.select(*cast_keys, "ratio", "spend").join(F.broadcast(mids), bkeys)
-             .groupBy(*bkeys).agg(F.sum(F.when(F.col("ratio") > F.col("mid"), F.col("spend"))).alias("s"))
-             .collect())
-        got = {tuple(r[b] for b in bkeys): (r["s"] or 0.0) for r in s}
-        for k in lo:
-            mid = (lo[k] + hi[k]) / 2
-            if got.get(tuple(str(x) for x in k), 0.0) > av[k]:
-                lo[k] = mid
-            else:
-                hi[k] = mid
-    cuts = spark.createDataFrame([(*[str(x) for x in k], hi[k], lo[k]) for k in lo],
-                                 ", ".join([f"`{b}` string" for b in bkeys] + ["cut_hi double", "cut_lo double"]))
-    above = (ivc.select(*[F.col(b).cast("string").alias(b) for b in bkeys], "ratio", "spend")
-             .join(F.broadcast(cuts), bkeys))
-    agg = above.groupBy(*bkeys).agg(
-        F.sum(F.when(F.col("ratio") > F.col("cut_hi"), F.col("spend"))).alias("_full"),
-        F.sum(F.when((F.col("ratio") > F.col("cut_lo")) & (F.col("ratio") <= F.col("cut_hi")), F.col("spend"))).alias("_band"))
-    a2 = avail.select(*[F.col(b).cast("string").alias(b) for b in bkeys], "avail")
-    share = agg.join(a2, bkeys).join(cuts, bkeys).select(
-        *bkeys, "cut_hi", "cut_lo",
-        F.when(F.col("avail") < 0, 0.0).otherwise(
-            F.least(F.greatest((F.col("avail") - F.coalesce("_full", F.lit(0.0))) /
-                               F.col("_band"), F.lit(0.0)), F.lit(1.0))).alias("_share"))
-    # band intervals share the remaining budget equally (ties at the cut)
-    out = (ivc.select(*[F.col(b).cast("string").alias(b) for b in bkeys], "ratio", "spend").distinct()
-           .join(F.broadcast(share), bkeys)
-           .select(*bkeys, "ratio",
-                   F.when(F.col("ratio") > F.col("cut_hi"), 1.0)
-                   .when(F.col("ratio") > F.col("cut_lo"), F.coalesce("_share", F.lit(0.0)))
-                   .otherwise(0.0).alias("frac"), "spend"))
-    ivc.unpersist()  # later evaluation reads the checkpoint
-    return out
-
-
-def cut_table(iv: DataFrame, avail: DataFrame, bkeys, method: str = "auto") -> DataFrame:
-    if method == "auto":
-        n = iv.select(*bkeys, "ratio").distinct().count()
-        method = "window" if n <= MAX_WINDOW_BUCKETS else "bisection"
-    if method == "window":
-        return _cut_by_window(iv, avail, bkeys)
-    cut = _cut_by_bisection(iv, avail, bkeys)
-    types = dict(iv.dtypes)
-    return cut.select(*[F.col(b).cast(types[b]).alias(b) for b in bkeys], "ratio", "frac", "spend")
+    return _key_join(budgets, ms, bkeys).withColumn("avail", F.col("budget") - F.col("moq_spend"))
+
+
+def _key_join(left: DataFrame, right: DataFrame, bkeys, how: str = "inner") -> DataFrame:
+    """Null-safe join on the budget keys; ``right`` has one row per key (a
+    configuration-sized table), so it is broadcast."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in bkeys], *[c for c in right.columns if c not in bkeys])
+    if not bkeys:
+        return left.crossJoin(F.broadcast(named))
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in bkeys]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    return left.join(F.broadcast(named), cond, how).drop(*[f"_r_{k}" for k in bkeys])
+
+
+def cut_per_key(iv: DataFrame, avail: DataFrame, bkeys) -> DataFrame:
+    """The cut of each budget key: (bkeys, cut_ratio, cut_share).
+
+    Spend is summed per distinct ratio, then along falling ratios by a two-level
+    prefix sum: over ``RATIO_STEPS`` ratio ranges per doubling (a bounded table), and
+    inside each range.  The cut is the highest ratio whose bucket does not fit whole
+    (null: all fits), with the share of it that fits."""
+    buckets = (iv.groupBy(*bkeys, "ratio").agg(F.sum(F.col("length") * F.col("unit_cost")).alias("spend"))
+               .withColumn("_range", F.floor(F.log2("ratio") * RATIO_STEPS)))
+    w1 = Window.partitionBy(*bkeys).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (buckets.groupBy(*bkeys, "_range").agg(F.sum("spend").alias("_rs"))
+              .withColumn("_above", F.coalesce(F.sum("_rs").over(w1), F.lit(0.0))))
+    # a range matters only where the budget runs out inside it
+    ranges = (_key_join(ranges, avail.select(*bkeys, "avail"), bkeys)
+              .where((F.col("_above") + F.col("_rs") > F.col("avail"))))
+    first = ranges.groupBy(*bkeys).agg(F.max(F.struct("_range", "_above", "avail")).alias("_c")).select(
+        *bkeys, F.col("_c._range").alias("_cut_range"), F.col("_c._above").alias("_above"), F.col("_c.avail").alias("avail"))
+    w2 = Window.partitionBy(*bkeys).orderBy(F.col("ratio").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = (_key_join(buckets, first, bkeys).where(F.col("_range") == F.col("_cut_range"))
+              .withColumn("_cum", F.col("_above") + F.sum("spend").over(w2)))
+    share = F.greatest(F.lit(0.0), (F.col("avail") - (F.col("_cum") - F.col("spend"))) / F.col("spend"))
+    return (inside.where(F.col("_cum") > F.col("avail"))
+            .groupBy(*bkeys).agg(F.max(F.struct("ratio", share.alias("share"))).alias("_c"))
+            .select(*bkeys, F.col("_c.ratio").alias("cut_ratio"), F.col("_c.share").alias("cut_share")))
+
+
+def with_fraction(iv: DataFrame, cut: DataFrame, bkeys) -> DataFrame:
+    """Intervals with the fraction taken: whole above the cut, its share at it."""
+    frac = (F.when(F.col("cut_ratio").isNull() | (F.col("ratio") > F.col("cut_ratio")), 1.0)
+            .when(F.col("ratio") == F.col("cut_ratio"), F.col("cut_share")).otherwise(0.0))
+    return _key_join(iv, cut, bkeys, "left").withColumn("frac", frac).drop("cut_ratio", "cut_share")
 
 
 def shadow_prices(cut: DataFrame, avail: DataFrame, bkeys) -> DataFrame:
-    """Per budget key, the benefit per extra dollar: the highest ratio not
-    fully taken (0 when the budget does not bind)."""
-    sp = cut.filter(F.col("frac") < 1.0).groupBy(*bkeys).agg(F.max("ratio").alias("_sp"))
-    return (avail.join(sp, bkeys, "left")
+    """Per budget key, the benefit per extra dollar: the cut ratio (0 when the
+    budget does not bind)."""
+    return (_key_join(avail, cut, bkeys, "left")
             .select(*bkeys, "budget", "moq_spend", (F.col("avail") < 0).alias("infeasible"),
-                    F.when(F.col("avail") < 0, None).otherwise(F.coalesce(F.col("_sp"), F.lit(0.0)))
+                    F.when(F.col("avail") < 0, None).otherwise(F.coalesce(F.col("cut_ratio"), F.lit(0.0)))
                     .alias("shadow_price")))
 
 
-def allocate(items: DataFrame, budgets: DataFrame, bkeys, moq: int, keys, method: str = "auto"):
+def allocate(items: DataFrame, budgets: DataFrame, bkeys, moq: int, keys):
     """Continuous SAA-optimal quantities under the budgets.
 
     Returns (plan, prices): plan = items + ``q``; prices = per budget key the
     shadow price (N11)."""
     iv = continuous_intervals(items, moq)
     avail = _available(items, budgets, bkeys, moq)
-    cut = cut_table(iv, avail, bkeys, method)
-    taken = (iv.join(cut.select(*bkeys, "ratio", "frac"), [*bkeys, "ratio"])
+    cut = cut_per_key(iv, avail, bkeys)
+    taken = (with_fraction(iv, cut, bkeys)
              .groupBy(*keys).agg(F.sum(F.col("length") * F.col("frac")).alias("_extra")))
     plan = (items.join(taken, keys, "left")
             .withColumn("q", F.lit(float(moq)) + F.coalesce(F.col("_extra"), F.lit(0.0))).drop("_extra"))
     return plan, shadow_prices(cut, avail, bkeys)
 
 
-def allocate_units(items: DataFrame, budgets: DataFrame, bkeys, moq: int, keys, method: str = "auto") -> DataFrame:
+def allocate_units(items: DataFrame, budgets: DataFrame, bkeys, moq: int, keys) -> DataFrame:
     """Integer quantities.  Whole runs above the cut; in the cut bucket each
     run takes floor(share * length) units; the leftover budget then buys one
     more unit per run of the cut bucket in md5(item key) order until the next
@@ -238,11 +207,10 @@ def allocate_units(items: DataFrame, budgets: DataFrame, bkeys, moq: int, keys,
     ever ranks all items of a season."""
     runs = unit_runs(items, moq)
     avail = _available(items, budgets, bkeys, moq)
-    cut = cut_table(runs, avail, bkeys, method)
-    r = runs.join(cut.select(*bkeys, "ratio", "frac"), [*bkeys, "ratio"])
+    r = with_fraction(runs, cut_per_key(runs, avail, bkeys), bkeys)
     r = r.withColumn("units", F.floor(F.col("frac") * F.col("length") + 1e-9).cast("double"))
     spent = r.groupBy(*bkeys).agg(F.sum(F.col("units") * F.col("unit_cost")).alias("_spent"))
-    slack = avail.join(spent, bkeys, "left").select(
+    slack = _key_join(avail, spent, bkeys, "left").select(
         *bkeys, (F.col("avail") - F.coalesce("_spent", F.lit(0.0))).alias("slack"))
     # candidates for one more unit: runs of the cut bucket with room left
     cand = (r.filter((F.col("frac") > 0) & (F.col("frac") < 1) & (F.col("units") < F.col("length")))
@@ -252,7 +220,11 @@ def allocate_units(items: DataFrame, budgets: DataFrame, bkeys, moq: int, keys,
     w1 = Window.partitionBy(*bkeys).orderBy("_hb").rowsBetween(Window.unboundedPreceding, 0)
     hb = hb.withColumn("_hcum", F.sum("_hs").over(w1)).withColumn("_hbefore", F.col("_hcum") - F.col("_hs"))
     w2 = Window.partitionBy(*bkeys, "_hb").orderBy("_h", *keys).rowsBetween(Window.unboundedPreceding, 0)
-    plus = (cand.join(hb, [*bkeys, "_hb"]).join(slack, bkeys)
+    hb = hb.select(*[F.col(k).alias(f"_h_{k}") for k in bkeys], F.col("_hb").alias("_p"), "_hbefore")
+    same = F.col("_hb") == F.col("_p")
+    for k in bkeys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
+    plus = (_key_join(cand.join(hb, same), slack, bkeys)
             .filter(F.col("_hbefore") < F.col("slack"))
             .withColumn("_cum", F.col("_hbefore") + F.sum("unit_cost").over(w2))
             .filter(F.col("_cum") <= F.col("slack") + 1e-9)

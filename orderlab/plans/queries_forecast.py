@@ -14,7 +14,7 @@ from orderlab.operators import plan as PL
 from orderlab.plans.common import CO_MULT, CU_MULT, MOQ, TRAIN, Y1, Y2, lines, with_lines
 from orderlab.plans.forecast_inputs import (KEYS, cost_ctes, cost_table, forecast_ctes, model_a_ctes,
                                             model_a_items, season_budgets, train_test, units_ctes)
-from orderlab.plans.queries_clean import sensitivity_sql
+from orderlab.plans.queries_clean import backtest_sql_cte, rollup_sql, sensitivity_sql
 from orderlab.plans.registry import register
 from orderlab.session import checkpoint_dir, cut_lineage
 from orderlab.sources.tables import TABLES
@@ -104,7 +104,7 @@ def _ml_frames(spark, sf_dir):
     return f.filter(F.col("year").isin(*TRAIN)), f.filter(F.col("year").isin(Y1, Y2))
 
 
-def _ml_predictions(spark, sf_dir, trees: int = 20):
+def _ml_predictions(spark, sf_dir, trees: int = 300):
     from orderlab.operators import demand as D
     tr, te = _ml_frames(spark, sf_dir)
     gm, gp = FC.fit_predict(tr, te, FEATURES, FC.gbt(trees=trees))
@@ -164,16 +164,23 @@ def q_nv_loss_model(spark, sf_dir):
     from orderlab.operators import demand as D
     tr, te = _ml_frames(spark, sf_dir)
     trz, tez = D.standardize(tr, tr, FEATURES), D.standardize(tr, te, FEATURES)
-    # top Year-1 costs (co=5, cu=12) as the training loss, as the decision-focused notebook does
-    b = FC.nv_loss_fit(trz, FEATURES, co=5.0, cu=12.0, epochs=80)
-    return FC.nv_loss_predict(tez, FEATURES, b)
+    # strict costs of each row's category, Year-1 period for training
+    cost = K.strict_scoring_costs(trz.withColumn("lifecycle_year", F.lit(1)), cost_table(spark))
+    b, hi = FC.nv_loss_fit(cost, FEATURES, epochs=80)
+    return FC.nv_loss_predict(tez, FEATURES, b, hi)
 
 
 @register("grouped_forecast", "season:string, product_category:string, gender_age:string, size:string, year:long, "
-          "pred:double", None, ops="F2")
+          "pred:double", lambda: with_lines(f"""
+    fit AS (SELECT {', '.join(KEYS)}, count(*) AS n, avg(demand) AS mean,
+                     regr_slope(CAST(demand AS DOUBLE), CAST(year AS DOUBLE)) AS slope,
+                     regr_intercept(CAST(demand AS DOUBLE), CAST(year AS DOUBLE)) AS icpt
+              FROM groups WHERE year IN ({', '.join(map(str, TRAIN))}) GROUP BY ALL)""") + f"""
+    SELECT {', '.join(KEYS)}, y AS year, greatest(CASE WHEN n = 1 THEN mean ELSE icpt + slope * y END, 0) AS pred
+    FROM fit, (VALUES ({Y1}), ({Y2})) AS t(y)""", ops="F2")
 def q_grouped_forecast(spark, sf_dir):
     tr, te = train_test(spark, sf_dir)
-    return FC.grouped_forecast(tr, TRAIN, [Y1, Y2], KEYS)
+    return FC.trend_forecast(tr, TRAIN, [Y1, Y2], KEYS)
 
 
 # ---------------------------------------------------------------- sources and sinks (rows-only)
@@ -181,12 +188,18 @@ def q_grouped_forecast(spark, sf_dir):
 @register("file_fingerprint", "table_name:string, bytes:long, sha256:string, rows:long, content_hash:string", None,
           ops="S5")
 def q_file_fingerprint(spark, sf_dir):
-    """SHA-256 of every input file's bytes (binaryFile; one file per task)
-    plus an order-insensitive content fingerprint per table: the sum of 64-bit
+    """SHA-256 of every input table's bytes (binaryFile, one file per row; of several
+    part files, the hash of their hashes in path order) plus an order-insensitive content fingerprint per table: the sum of 64-bit
     row hashes as a decimal (no sort, no single-task pass)."""
-    files = (spark.read.format("binaryFile").load([f"{sf_dir}/{t}.parquet" for t in TABLES])
-             .select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("table_name"),
-                     F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")))
+    files = None
+    for t in TABLES:  # a table is a file or a folder of part files; hashes of its files in path order
+        one = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{sf_dir}/{t}.parquet")
+               .select(F.lit(t).alias("table_name"), "path", "length", F.sha2("content", 256).alias("sha")))
+        files = one if files is None else files.unionByName(one)
+    part = F.array_sort(F.collect_list(F.struct("path", "sha")))
+    files = files.groupBy("table_name").agg(F.sum("length").alias("bytes"), part.alias("parts")).select(
+        "table_name", "bytes", F.when(F.size("parts") == 1, F.col("parts")[0]["sha"])
+        .otherwise(F.sha2(F.array_join(F.col("parts.sha"), ","), 256)).alias("sha256"))
     out = None
     for t in TABLES:
         df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
@@ -194,12 +207,12 @@ def q_file_fingerprint(spark, sf_dir):
         c = h.agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("rows"),
                   F.sum("h").cast("string").alias("content_hash"))
         out = c if out is None else out.unionByName(c)
-    return files.join(out, "table_name")
+    return out.join(files, "table_name", "left")
 
 
 @register("csv_roundtrip", "order_id:long, order_date:date, season:string, year:long, uniform_set:string, "
           "product_category:string, gender_age:string, size:string, color:string, number:string, quantity:long, "
-          "unit_price:double", None, ops="S1 S3 O1")
+          "unit_price:double", lambda: with_lines() + " SELECT * FROM lines", ops="S1 S3 O1")
 def q_csv_roundtrip(spark, sf_dir):
     """S3 then S1: clean lines written as CSV (year-partitioned, sorted within
     files) under the checkpoint folder, then read back with an explicit schema."""
@@ -213,7 +226,8 @@ def q_csv_roundtrip(spark, sf_dir):
 
 
 @register("json_summary_sink", "product_category:string, items:long, agent_cost:double, baseline_cost:double, "
-          "savings:double, reduction_pct:double", None, ops="S4")
+          "savings:double, reduction_pct:double", lambda: with_lines(backtest_sql_cte()) + " " + rollup_sql(
+              "bt_scored", "product_category", "agent_cost", "baseline_cost"), ops="S4")
 def q_json_summary_sink(spark, sf_dir):
     """The backtest summary written as JSON and read back."""
     import uuid

@@ -60,3 +60,10 @@ def test_csv_roundtrip(spark, tmp_path):
     out = str(tmp_path / "clean")
     write_clean_lines(clean_order_lines(back), out, fmt="csv")
     assert read_csv(spark, out, CLEAN_SCHEMA).filter(F.col("quantity") > 0).count() == 9
+
+
+def test_text_numbers(spark):
+    from orderlab.operators.clean import coerce_price, coerce_quantity
+    df = spark.createDataFrame([(t,) for t in ("3", " 2.9\t", "nan", "inf", "1e20", "5d", "1e2", "x", None)], "v string")
+    got = [(r.q, r.p) for r in df.select(coerce_quantity(df, "v").alias("q"), coerce_price(df, "v").alias("p")).collect()]
+    assert got == [(3, 3.0), (2, 2.9), (1, None), (1, None), (1, 1e20), (1, None), (100, 100.0), (1, None), (1, None)]
