@@ -5,8 +5,7 @@ calls topologically, validates their arguments against schemas and serialises ea
 as canonical JSON.
 
 * Order: a call's level is 0 without dependencies, else one more than the highest
-  level it depends on, found by peeling calls without open dependencies, one round
-  per level.  Sorting by (conv_id, level, turn, call_id) is a topological order.
+  level it depends on, found by shortening dependency chains (``levels``).  Sorting by (conv_id, level, turn, call_id) is a topological order.
   Calls on or behind a dependency cycle have level null and status ``cycle``.
 * Validation: arguments must be a JSON object with every required parameter, no
   unknown parameter and the right types; ``errors`` lists what is wrong, sorted.
@@ -24,6 +23,8 @@ unknown call or on the call itself is ignored; empty tables give an empty result
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,23 +60,48 @@ def errors(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple[s
 
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of the calls outside cycles.  ``edges``: (conv_id,
-    call_id, dep_id).  One round per level of the deepest conversation."""
-    left = calls.select(*KEY).distinct()
-    known = left.select("conv_id", F.col("call_id").alias("dep_id"))
-    open_ = cut_lineage(edges.select(*KEY, "dep_id").distinct().where("dep_id <> call_id")
-                        .join(left, KEY, "left_semi").join(known, ["conv_id", "dep_id"], "left_semi"))
-    left, out, n = cut_lineage(left), None, 0
-    while not left.isEmpty():
-        ready = cut_lineage(left.join(open_, KEY, "left_anti"))
-        if ready.isEmpty():
-            break  # only cycles are left
-        now = ready.withColumn("level", F.lit(n).cast("long"))
-        out = now if out is None else out.union(now)
-        left = cut_lineage(left.join(ready, KEY, "left_anti"))
-        done = ready.select("conv_id", F.col("call_id").alias("dep_id"))
-        open_ = cut_lineage(open_.join(done, ["conv_id", "dep_id"], "left_anti"))
-        n += 1
-    return out if out is not None else left.withColumn("level", F.lit(None).cast("long"))
+    call_id, dep_id).
+
+    Every call has a lower bound ``low`` of its level and open edges (dep_id, w): its
+    level is the largest of ``low`` and w + level(dep_id).  In a round an edge to a call
+    without open edges turns into a bound, and an edge to a call with one open edge
+    skips to that edge's end.  Chains halve in every round, so a chain of n calls takes
+    about log2(n) rounds; only successive calls with several different open
+    dependencies take one round each.  A path as long as the largest conversation has
+    calls proves a cycle."""
+    nodes = calls.select(*KEY).distinct()
+    known = nodes.select("conv_id", F.col("call_id").alias("dep_id"))
+    edges = cut_lineage(edges.select(*KEY, "dep_id").distinct().where("dep_id <> call_id")
+                        .join(nodes, KEY, "left_semi").join(known, ["conv_id", "dep_id"], "left_semi")
+                        .withColumn("w", F.lit(1).cast("long")))
+    nodes = cut_lineage(nodes.withColumn("low", F.lit(0).cast("long")).withColumn("cycle", F.lit(False)))
+    most = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    before, out = None, []
+    while True:
+        now = edges.agg(F.count("*"), F.sum("w")).first()
+        if now[0] == 0 or now == before:
+            break  # all done, or only calls on or behind cycles are left
+        before = now
+        # only calls at either end of an open edge take part in the round
+        ends = edges.select(*KEY).union(edges.select("conv_id", "dep_id")).distinct()
+        out.append(nodes.join(ends, KEY, "left_anti"))
+        nodes = nodes.join(ends, KEY, "left_semi")
+        open_ = edges.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("dep_id").alias("next"), F.max("w").alias("step"))
+        dep = (nodes.join(open_, KEY, "left").select(
+            "conv_id", F.col("call_id").alias("dep_id"), F.col("low").alias("dep_low"), F.col("cycle").alias("dep_cycle"),
+            F.coalesce("n", F.lit(0)).alias("n"), "next", "step"))
+        end = F.expr("case when dep_cycle or n = 0 then null when n = 1 then next else dep_id end")
+        moved = cut_lineage(edges.join(dep, ["conv_id", "dep_id"]).select(
+            *KEY, end.alias("dep_id"), F.expr("case when n = 1 then w + step else w end").alias("w"),
+            F.expr("case when n <= 1 then w + dep_low end").alias("gain"), "dep_cycle"))
+        gained = moved.groupBy(*KEY).agg(
+            F.max("gain").alias("gain"), F.bool_or(F.col("dep_cycle") | (F.col("w") >= most)).alias("found"))
+        nodes = cut_lineage(nodes.join(gained, KEY, "left").select(
+            *KEY, F.greatest("low", "gain").alias("low"), (F.col("cycle") | F.coalesce("found", F.lit(False))).alias("cycle")))
+        edges = cut_lineage(moved.where("dep_id is not null").groupBy(*KEY, "dep_id").agg(F.max("w").alias("w"))
+                            .join(nodes.where("cycle"), KEY, "left_anti"))
+    out.append(nodes.join(edges, KEY, "left_anti"))
+    return reduce(DataFrame.union, out).where("not cycle").select(*KEY, F.col("low").alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, edges: DataFrame,

@@ -126,6 +126,29 @@ def test_segmentations_are_summed():
     assert np.isclose(sum(len((pieces + ["?"])[i]) * n for i, n in enumerate(one)), 6)  # every letter is covered
 
 
+def test_tool_call_levels(spark):
+    rnd = random.Random(9)
+    deps = {("chain", i): {i - 1} if i else set() for i in range(150)}
+    for g in range(6):  # random graphs, half of them with back edges
+        for i in range(14):
+            deps[f"g{g}", i] = {rnd.randrange(i) for _ in range(rnd.randint(0, 3))} if i else set()
+        if g % 2:
+            deps[f"g{g}", rnd.randrange(4)].add(rnd.randrange(4, 14))
+    deps |= {("ring", i): {(i + 1) % 3} for i in range(3)} | {("ring", 3): {0, 4}, ("ring", 4): set()}
+
+    def level(key, seen=()):
+        if key in seen:
+            return None
+        below = [level((key[0], d), (*seen, key)) for d in deps[key] if d != key[1]]
+        return None if None in below else 1 + max(below, default=-1)
+
+    calls = spark.createDataFrame([(c, str(i)) for c, i in deps], "conv_id string, call_id string")
+    edges = spark.createDataFrame([(c, str(i), str(d)) for (c, i), ds in deps.items() for d in ds]
+                                  + [("chain", "3", "unknown")], "conv_id string, call_id string, dep_id string")
+    got = {(r.conv_id, int(r.call_id)): r.level for r in tool_calls.levels(calls, edges).collect()}
+    assert got == {k: v for k in deps if (v := level(k)) is not None}
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame([
         (1, "a", 0, "f", '{"y": 2, "x": "s"}'), (1, "b", 1, "f", '{"x": 1}'), (1, "c", 2, "f", "no json"),
