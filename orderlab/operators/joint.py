@@ -256,6 +256,12 @@ def expected_carryover(q1: Column | None = None, d1: Column | None = None) -> Co
     return F.aggregate(d1, F.lit(0.0), lambda acc, x: acc + F.greatest(q1 - x, F.lit(0.0))) / F.size(d1)
 
 
+def top_carryover(items: DataFrame, keys, n: int = 10) -> DataFrame:
+    """The n items with the largest expected carry-over (rounded to 6 places, ties by key)."""
+    r = items.withColumn("expected_carryover", F.round("expected_carryover", 6))
+    return r.orderBy(F.col("expected_carryover").desc_nulls_last(), *keys).limit(n)
+
+
 def joint_spend(plan: DataFrame, budgets: DataFrame, bkey: str, tol: float = 1.0) -> DataFrame:
     """Spend per key and year, violation, feasibility with tolerance."""
     s = plan.groupBy(bkey).agg(F.sum(F.col("unit_cost") * F.col("q1")).alias("y1_spend"),

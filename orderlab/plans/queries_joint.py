@@ -108,6 +108,15 @@ def q_expected_carryover(spark, sf_dir):
     return it.select(*KEYS, q1.alias("q1"), J.expected_carryover(q1).alias("expected_carryover"))
 
 
+@register("top_carryover", ITEM + ", q1:double, expected_carryover:double",
+          lambda: J_() + f""" SELECT {KEYS_SQL}, greatest(pred1, {M}) AS q1,
+                 round(avg(greatest(greatest(pred1, {M}) - d1, 0)), 6) AS expected_carryover
+                 FROM jp GROUP BY {KEYS_SQL}, pred1 ORDER BY expected_carryover DESC, {KEYS_SQL} LIMIT 10""",
+          ops="O7")
+def q_top_carryover(spark, sf_dir):
+    return J.top_carryover(q_expected_carryover(spark, sf_dir), KEYS)
+
+
 def _unconstrained_sql() -> str:
     """Per item, the best vertex candidate without budget prices (B5, unconstrained case)."""
     r = J.COST_DIGITS
