@@ -45,6 +45,7 @@ from orderlab.llm.common import WORDS_LOWER, Words, materialize, rows, steps
 STATES, CLASSES, ITERATIONS, SEED = 6, 1 << 14, 6, 11
 BLOCK_BYTES = 10 << 20
 PIECE = 256        # training pieces; segments of the chained scoring
+SHORT = 64         # bytes of a word hashed side by side
 GROUP = 1 << 18    # tokens whose recursions run side by side
 PRIOR = 20.0       # weight of the corpus class distribution in a state's emissions
 END = ""
@@ -65,6 +66,10 @@ class Hmm:
     move: np.ndarray       # states x states
     emit: np.ndarray       # classes x states
 
+    def single(self) -> Hmm:
+        """In single precision, for the scaled recursions of the training."""
+        return Hmm(*(x.astype(np.float32) for x in (self.start, self.move, self.emit)))
+
 
 @dataclass(frozen=True)
 class Counts:
@@ -79,8 +84,32 @@ class Counts:
         return size / size.sum()
 
 
-def class_of(words: list[bytes], classes: int) -> np.ndarray:
-    return np.array([crc32(w) for w in words], np.int64) % classes
+def _crc_table() -> np.ndarray:
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, (c >> 1) ^ np.uint32(0xEDB88320), c >> 1)
+    return c
+
+
+def class_of(words: pa.LargeBinaryArray, classes: int) -> np.ndarray:
+    """CRC-32 modulo ``classes`` of each word, byte by byte over all words at once."""
+    n = len(words)
+    buf = words.buffers()
+    off = np.frombuffer(buf[1], np.int64, n + 1, words.offset * 8) if n else np.zeros(1, np.int64)
+    data = np.frombuffer(buf[2] or b"", np.uint8)
+    size, table = np.diff(off), _crc_table()
+    order = np.argsort(-size, kind="stable")
+    order = order[np.searchsorted(-size[order], -SHORT):]  # longer words come one by one
+    at, size_of = off[:-1][order], size[order]
+    crc = np.full(len(order), 0xFFFFFFFF, np.uint32)
+    for t in range(int(size_of[0]) if len(order) else 0):
+        m = int(np.searchsorted(-size_of, -t))  # words of more than t bytes
+        crc[:m] = table[(crc[:m] ^ data[at[:m] + t]) & np.uint32(0xFF)] ^ (crc[:m] >> np.uint32(8))
+    out = np.empty(n, np.int64)
+    out[order] = ~crc
+    for i in np.flatnonzero(size > SHORT):
+        out[i] = crc32(data[off[i]:off[i + 1]])
+    return out % classes
 
 
 def _held(doc_id) -> bool:
@@ -112,7 +141,7 @@ def blocks(docs: DataFrame, classes: int) -> DataFrame:
             counts = np.bincount(w.code[~held[w.doc]], minlength=end + 1) if len(w.code) else np.zeros(end + 1, np.int64)
             counts[end] = int((~held).sum())
             tokens = np.insert(w.code.astype(np.int32), w.bounds[1:], end)
-            kinds = class_of([*w.vocab.to_pylist(), END.encode()], classes)
+            kinds = class_of(pa.concat_arrays([w.vocab, pa.array([END.encode()], pa.large_binary())]), classes)
             vocab = pa.concat_arrays([w.vocab.cast(pa.string()), pa.array([END], pa.string())])
             item = pa.StructArray.from_arrays([vocab, pa.array(counts, pa.int64())], names=["w", "c"])
             part = batch.column("part")[0].as_py()
@@ -158,39 +187,41 @@ def _pieces(starts: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarra
 
 def expected_counts(model: Hmm, seen: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
     """Forward-backward over the pieces: expected (start, move, emit) counts and the
-    natural-log likelihood.  ``seen`` holds the class of each token."""
+    natural-log likelihood.  ``seen`` holds the class of each token.  Recursions run in
+    the model's float type, sums over pieces in double."""
     k = len(model.start)
     order, alive = _by_length(sizes)
     at = starts[order]
     start, move, loglik = np.zeros(k), np.zeros((k, k)), 0.0
     if not len(alive):
         return start, move, np.zeros_like(model.emit), loglik
-    alpha, emit, scale = [], [], []
-    for t, n in enumerate(alive):
-        e = model.emit[seen[at[:n] + t]]
-        a = e * (model.start if t == 0 else alpha[-1][:n] @ model.move)
-        s = a.sum(axis=1)
-        a /= s[:, None]
-        loglik += float(np.log(s).sum())
-        alpha.append(a)
-        emit.append(e)
-        scale.append(s)
-    gamma = np.empty((int(alive.sum()), k))
-    cells = np.empty(len(gamma), np.int64)
-    beta, pos = np.ones((0, k)), 0
-    for t in range(len(alive) - 1, -1, -1):
-        n = int(alive[t])
-        b = np.ones((n, k))
-        if len(beta):
-            ahead = emit[t + 1] * beta / scale[t + 1][:, None]
-            move += alpha[t][:len(ahead)].T @ ahead
-            b[:len(ahead)] = ahead @ model.move.T
-        gamma[pos:pos + n] = alpha[t] * b
-        cells[pos:pos + n] = seen[at[:n] + t]
-        pos += n
-        beta = b
-    start += (alpha[0] * beta).sum(axis=0)
-    out = np.stack([np.bincount(cells, gamma[:, j], minlength=len(model.emit)) for j in range(k)], axis=1)
+    # arrays are (states, tokens), all first tokens of the pieces, then all second ones, ...
+    ends = np.cumsum(alive)
+    step = np.repeat(np.arange(len(alive)), alive)
+    cells = seen[at[np.arange(len(step)) - (ends - alive)[step]] + step]
+    emit = np.ascontiguousarray(model.emit.T).take(cells, axis=1)
+    alpha, scale = np.empty_like(emit), np.empty(len(step), emit.dtype)
+    forth = np.ascontiguousarray(model.move.T)
+    before = model.start[:, None]
+    for n, hi in zip(alive.tolist(), ends.tolist(), strict=True):
+        a, s = alpha[:, hi - n:hi], scale[hi - n:hi]
+        np.multiply(emit[:, hi - n:hi], before if hi == n else forth @ before[:, :n], out=a)
+        a.sum(axis=0, out=s)
+        a /= s
+        before = a
+    loglik = float(np.log(scale).sum(dtype=float))
+    emit /= scale
+    beta, m = np.ones((k, 0), emit.dtype), 0
+    for n, hi in zip(alive[::-1].tolist(), ends[::-1].tolist(), strict=True):
+        a, b = alpha[:, hi - n:hi], np.ones((k, n), emit.dtype)
+        if m:
+            ahead = emit[:, hi:hi + m] * beta
+            move += a[:, :m] @ ahead.T
+            b[:, :m] = model.move @ ahead
+        a *= b  # now the posterior of the states
+        beta, m = b, n
+    start += alpha[:, :m].sum(axis=1)
+    out = np.stack([np.bincount(cells, g, minlength=len(model.emit)) for g in alpha], axis=1)
     return start, move * model.move, out, loglik
 
 
@@ -232,7 +263,7 @@ def train(table: DataFrame, counts: Counts, states: int = STATES, iterations: in
         shared = sc.broadcast(model)
 
         def estep(batches, shared=shared):
-            hmm = shared.value
+            hmm = shared.value.single()
             emit, tail = np.zeros((classes, states)), np.zeros((states + 2, states))
             for batch in batches:
                 for i in range(batch.num_rows):  # one block in memory at a time
@@ -281,15 +312,17 @@ def log10_forward(model: Hmm, seen: np.ndarray, starts: np.ndarray, sizes: np.nd
     state = np.arange(len(at)) - np.repeat(base, copies)
     init = np.where(np.repeat(first, copies)[:, None], model.start, model.move[state])
     order, alive = _by_length(n)
-    at, cur = at[order], init[order]
+    at, cur = at[order], np.ascontiguousarray(init[order].T)  # (states, segments)
+    share, forth = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
     logs = np.zeros(len(order))
     for t, m in enumerate(alive):
-        a = model.emit[seen[at[:m] + t]] * (cur[:m] if t == 0 else cur[:m] @ model.move)
-        s = a.sum(axis=1)
-        cur[:m] = a / s[:, None]
+        a = share.take(seen[at[:m] + t], axis=1)
+        a *= cur[:, :m] if t == 0 else forth @ cur[:, :m]
+        s = a.sum(axis=0)
+        np.divide(a, s, out=cur[:, :m])
         logs[:m] += np.log(s)
-    vec, log = np.empty_like(cur), np.empty_like(logs)
-    vec[order], log[order] = cur, logs
+    vec, log = np.empty((len(order), k)), np.empty_like(logs)
+    vec[order], log[order] = cur.T, logs
     out = np.zeros(len(starts))
     out[owner[first]] = log[base[first]]
     last = {}
