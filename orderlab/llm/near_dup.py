@@ -24,7 +24,8 @@ fewer words, the whole sequence).  Documents with Jaccard similarity >= ``percen
    link between components is lost and nothing is capped; a bucket of mutual copies
    costs one comparison per member.
 4. *Estimate.*  Pairs whose collision-corrected Jaccard estimate is more than
-   ``SLACK`` below the bound are dropped (about 5 standard errors).
+   ``SLACK`` below the bound are dropped (about 5 standard errors).  Pairs with a set
+   of at most ``SMALL`` shingles are all verified.
 5. *Verification.*  The rest is confirmed on the full shingle sets.
 6. *Components.*  Alternating minimum-label star steps on the links, as DataFrames.
 
@@ -52,6 +53,7 @@ MANTISSA = 4       # of 8 bits; the leading-zero count has the other 4
 EMPTY = np.uint8(0xFF)
 MISS = 1e-6
 SLACK = 0.14
+SMALL = 64         # shingles; a sketch says no more about such a set than the set itself
 
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("registers", pa.binary())])
 SKETCH_DDL = "doc_id bigint, n bigint, fp binary, registers binary"
@@ -170,14 +172,22 @@ def band_keys(n: np.ndarray, registers: np.ndarray, percent: int) -> tuple[np.nd
 
 
 def estimate(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard estimate of register rows: equal registers less the expected chance
-    collisions (the published HyperMinHash approximation), over registers in use."""
-    used = ((a != EMPTY) | (b != EMPTY)).sum(axis=1)
-    equal = ((a == b) & (a != EMPTY)).sum(axis=1)
-    big, small = np.maximum(na, nb) / REGISTERS, np.minimum(na, nb) / REGISTERS
-    ratio = np.where(small > 0, big / np.maximum(small, 1e-9), 1.0)
-    chance = 0.169919487159739093975315012348 * REGISTERS / (1 << MANTISSA) * 4 * ratio / (1 + ratio) ** 2
-    return np.maximum(equal - np.minimum(chance, equal), 0) / np.maximum(used, 1)
+    """Jaccard estimate of register rows: share of equal registers among those in use,
+    less the share of unequal ones that is expected to agree by chance.  The published
+    HyperMinHash approximation of that chance holds when both sets fill their registers;
+    for smaller sets nothing is taken off, so the estimate can only be too high."""
+    used = np.maximum(((a != EMPTY) | (b != EMPTY)).sum(axis=1), 1)
+    equal = ((a == b) & (a != EMPTY)).sum(axis=1) / used
+    big, small = np.maximum(na, nb), np.minimum(na, nb)
+    ratio = big / np.maximum(small, 1)
+    chance = 0.169919487159739093975315012348 / (1 << MANTISSA) * 4 * ratio / (1 + ratio) ** 2
+    chance = np.where(small >= 4 * REGISTERS, chance, 0.0)
+    return np.maximum(equal - chance, 0) / (1 - chance)
+
+
+def near(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Mask of the pairs whose estimate is not clearly below the bound."""
+    return (np.minimum(na, nb) <= SMALL) | (estimate(na, nb, a, b) >= percent / 100 - SLACK)
 
 
 def _registers(column: pa.Array) -> np.ndarray:
@@ -221,8 +231,8 @@ def _near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keep = estimate(batch.column("na").to_numpy(), batch.column("nb").to_numpy(),
-                            _registers(batch.column("ra")), _registers(batch.column("rb"))) >= percent / 100 - SLACK
+            keep = near(batch.column("na").to_numpy(), batch.column("nb").to_numpy(),
+                        _registers(batch.column("ra")), _registers(batch.column("rb")), percent)
             got = batch.filter(pa.array(keep))
             yield rows(out, got.column("a"), got.column("b"))
 

@@ -296,6 +296,29 @@ def test_near_duplicates(spark, texts, width, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
+def test_short_near_duplicates_are_linked(spark, width, percent):
+    rnd = random.Random(width)
+    more = []
+    for n in range(5, 41):  # a text, and copies that differ by one or two words
+        w = [f"v{rnd.randint(0, 10 ** 6)}" for _ in range(n)]
+        more += [" ".join(x) for x in (w, [*w, "x"], ["y", *w, "z"], ["q", *w[1:]], [*w[:-2], "r", "s"])]
+    got = near_dup.groups(make_docs(spark, more), width, percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(more, width, percent)
+
+
+@pytest.mark.parametrize("shared,alone", [(6, 1), (90, 14), (400, 65), (2000, 300)])
+def test_links_pass_the_estimate(shared, alone):
+    rng = np.random.default_rng(shared)
+    for _ in range(200):
+        keys = np.sort(rng.integers(0, 1 << 63, shared + alone).astype(np.uint64))
+        few = np.sort(rng.choice(keys, shared, replace=False))
+        reg = near_dup.sketch(np.array([0, len(keys), len(keys) + shared]), np.concatenate([keys, few]))
+        n = np.array([len(keys)]), np.array([shared])
+        assert near_dup.near(*n, reg[:1], reg[1:], 85)[0]
+        assert near_dup.estimate(*n, reg[:1], reg[1:])[0] > shared / len(keys) - near_dup.SLACK
+
+
 def test_near_duplicates_edges(spark):
     rows = [(None, "a b c d e f g"), (1, "a b c d e f g"), (1, "a b c d e f g"), (2, None), (3, ""), (4, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
