@@ -8,11 +8,14 @@ fewer words, the whole sequence).  Documents with Jaccard similarity >= ``percen
    ``REGISTERS`` buckets; a bucket keeps the leading-zero count of its smallest
    remaining hash plus ``MANTISSA`` bits after the leading one.  The set's own
    128-bit fingerprint makes exact copies one class, represented by its smallest id.
-2. *Bands.*  Registers are grouped into bands; equal bands propose candidates.  A
-   linked pair of small sets differs in so few shingles that, with more bands than
-   differing shingles, one band must agree; larger sets use as many bands as make
-   the chance of a miss below ``MISS``.  The band key also holds a size class (each
-   document is in two neighbouring ones), since linked sets have similar sizes.
+2. *Bands.*  Registers are grouped into bands; equal bands propose candidates.  With
+   more bands than differing shingles one band of a linked pair must agree, and with
+   ``PREFIX`` shingles the chance that it is empty is below ``MISS``; larger sets use as
+   many bands as make the chance of a miss below ``MISS``.  Sets under ``PREFIX``
+   shingles have no bands: their keys are their smallest shingle hashes, one more than
+   a linked pair can differ in, of which a linked pair must share one.  The key also
+   holds a size class (each document is in two neighbouring ones), since linked sets
+   have similar sizes.
 3. *Candidates.*  In each band bucket every member is paired with hubs only, never
    with all others: first with the member that has the most company over all its
    buckets.  After the linked pairs are merged into components, buckets whose members
@@ -53,10 +56,12 @@ MANTISSA = 4       # of 8 bits; the leading-zero count has the other 4
 EMPTY = np.uint8(0xFF)
 MISS = 1e-6
 SLACK = 0.14
+PREFIX = 128       # shingles
 SMALL = 64         # shingles; a sketch says no more about such a set than the set itself
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("registers", pa.binary())])
-SKETCH_DDL = "doc_id bigint, n bigint, fp binary, registers binary"
+SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("registers", pa.binary()),
+                    ("small", pa.binary())])
+SKETCH_DDL = "doc_id bigint, n bigint, fp binary, registers binary, small binary"
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -150,19 +155,51 @@ def _band_block(c: np.ndarray, registers: np.ndarray, bands: int) -> tuple[list,
     return row, key
 
 
-def band_keys(n: np.ndarray, registers: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every non-empty band, for the two size classes of each row."""
-    t, most = percent / 100, band_count(percent)
-    size_class = np.floor(np.log(np.maximum(n, 1)) / -math.log(t) + 1e-9).astype(np.int64)
+def _differing(c: np.ndarray, percent: int) -> np.ndarray:
+    """Most shingles in which two linked sets that meet in size class c differ: both have
+    under t^-(c+1) shingles, and they differ in at most (1-t)/t of the smaller one."""
+    t = percent / 100
+    return np.floor((1 - t) / t * t ** -(c + 1.0) + 1e-9).astype(np.int64)
+
+
+def _size_class(n: np.ndarray, percent: int) -> np.ndarray:
+    return np.floor(np.log(np.maximum(n, 1)) / -math.log(percent / 100) + 1e-9).astype(np.int64)
+
+
+def _by_prefix(c: np.ndarray, percent: int) -> np.ndarray:
+    """Size classes whose sets all have under PREFIX shingles."""
+    return (percent / 100) ** -(c + 1.0) < PREFIX
+
+
+def smallest(bounds: np.ndarray, keys: np.ndarray, percent: int) -> list:
+    """The (mixed) shingle hashes that a set needs as keys in its two size classes, in rising
+    order; None for sets that are in no class of small sets."""
+    n = np.diff(bounds)
+    c = _size_class(n, percent)
+    most = np.where(_by_prefix(c + 1, percent), _differing(c + 1, percent),
+                    np.where(_by_prefix(c, percent), _differing(c, percent), -1)) + 1
+    with np.errstate(over="ignore"):
+        return [np.sort(_mix(keys[lo:hi]))[:k].tobytes() if k and hi > lo else None
+                for lo, hi, k in zip(bounds[:-1], bounds[1:], most, strict=True)]
+
+
+def band_keys(n: np.ndarray, registers: np.ndarray, small: list, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every non-empty band, or of every smallest hash of small sets, for the
+    two size classes of each row."""
+    most, size_class = band_count(percent), _size_class(n, percent)
     by_register = np.ascontiguousarray(registers.T).astype(np.uint64)
     row, key = [], []
     for shift in (0, 1):
-        # sets that meet in class c have under t^-(c+1) shingles; linked ones differ in
-        # at most (1-t)/t of that, so one more band than this cannot miss
         c = size_class + shift
-        bands = np.minimum(most, np.floor((1 - t) / t * t ** -(c + 1.0)) + 1).astype(np.int64)
-        for k in np.unique(bands[n > 0]):
-            own = np.flatnonzero((bands == k) & (n > 0))
+        prefix = _by_prefix(c, percent)
+        for i in np.flatnonzero(prefix & (n > 0)):
+            h = np.frombuffer(small[i], np.uint64)[:_differing(c[i:i + 1], percent)[0] + 1]
+            with np.errstate(over="ignore"):
+                key.append(_mix(h + c[i].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            row.append(np.full(len(h), i))
+        bands = np.minimum(most, _differing(c, percent) + 1)
+        for k in np.unique(bands[(n > 0) & ~prefix]):
+            own = np.flatnonzero((bands == k) & (n > 0) & ~prefix)
             r, h = _band_block(c[own], by_register[:, own], int(k))
             row += [own[x] for x in r]
             key += h
@@ -196,14 +233,15 @@ def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
+def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches):
         for batch in steps(batches):
             bounds, keys = shingle_sets(batch.column("text"), width)
             reg = sketch(bounds, keys)
             fp = [xxhash.xxh3_128_digest(keys[lo:hi].tobytes()) if hi > lo else None
                   for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield rows(SKETCH, batch.column("doc_id").cast(pa.int64()), np.diff(bounds), fp, [r.tobytes() for r in reg])
+            yield rows(SKETCH, batch.column("doc_id").cast(pa.int64()), np.diff(bounds), fp, [r.tobytes() for r in reg],
+                       smallest(bounds, keys, percent))
 
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH_DDL)
 
@@ -217,10 +255,11 @@ def _bands(reps: DataFrame, percent: int) -> DataFrame:
             for lo in range(0, batch.num_rows, 8192):
                 part = batch.slice(lo, 8192)
                 n = part.column("n").to_numpy()
-                row, key = band_keys(n, _registers(part.column("registers")), percent)
+                row, key = band_keys(n, _registers(part.column("registers")),
+                                     part.column("small").to_pylist(), percent)
                 yield rows(out, key, part.column("id").to_numpy()[row], n[row])
 
-    return reps.select("id", "n", "registers").mapInArrow(run, "key bigint, id bigint, n bigint")
+    return reps.select("id", "n", "registers", "small").mapInArrow(run, "key bigint, id bigint, n bigint")
 
 
 def _near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -313,16 +352,16 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id,
     kept, one row per document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sk = materialize(sketches(docs, width), "sketches")
+    sk = materialize(sketches(docs, width, percent), "sketches")
     classes = sk.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"))
     all_reps = materialize(sk.join(classes, "fp").where("doc_id = id").dropDuplicates(["id", "fp"])
-                           .select("id", "n", "registers"), "representatives")
+                           .select("id", "n", "registers", "small"), "representatives")
     bands = _bands(all_reps, percent)
     several = bands.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("top")).where("low <> top")
     shared = materialize(bands.join(several, "key").select("key", "id", "n"), "bands")
     members = shared.select("id").distinct()
     texts = materialize(docs.withColumnRenamed("doc_id", "id").join(members, "id"), "texts")
-    reps = materialize(all_reps.join(members, "id"), "members")
+    reps = materialize(all_reps.drop("small").join(members, "id"), "members")
     # hub of a bucket: the member with the most company over all its buckets, so that a group
     # of copies meets around the same few central texts
     company = shared.join(shared.groupBy("key").agg(F.count("*").alias("mates")), "key").groupBy("id").agg(

@@ -319,6 +319,18 @@ def test_links_pass_the_estimate(shared, alone):
         assert near_dup.estimate(*n, reg[:1], reg[1:])[0] > shared / len(keys) - near_dup.SLACK
 
 
+@pytest.mark.parametrize("shared,alone,percent", [(6, 1, 85), (12, 2, 85), (4, 1, 80), (23, 4, 85), (60, 15, 80)])
+def test_linked_small_sets_share_a_key(shared, alone, percent):
+    rng = np.random.default_rng(shared)
+    for _ in range(400):
+        keys = np.sort(rng.integers(0, 1 << 63, shared + alone).astype(np.uint64))
+        few = np.sort(rng.choice(keys, shared, replace=False))
+        bounds, both = np.array([0, len(keys), len(keys) + shared]), np.concatenate([keys, few])
+        row, key = near_dup.band_keys(np.diff(bounds), near_dup.sketch(bounds, both),
+                                      near_dup.smallest(bounds, both, percent), percent)
+        assert np.isin(key[row == 0], key[row == 1]).any()
+
+
 def test_near_duplicates_edges(spark):
     rows = [(None, "a b c d e f g"), (1, "a b c d e f g"), (1, "a b c d e f g"), (2, None), (3, ""), (4, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
