@@ -18,9 +18,11 @@ training tokens and grow with the corpus.
 2. *Counts.*  Block vocabularies are summed by word (partial aggregation, so a very
    frequent word costs one row per task) and the counts joined back per block.
 3. *Baum-Welch.*  Each iteration is one pass: every block runs the scaled forward and
-   backward recursions over pieces of at most ``PIECE`` training tokens, expected
-   counts are summed per task and then across partitions; at most ``classes`` +
-   ``states`` + 1 rows reach the driver.
+   backward recursions over its training texts, expected counts are summed per task
+   and then across partitions; at most ``classes`` + ``states`` + 1 rows reach the
+   driver.  Long texts are cut into pieces of ``PIECE`` tokens that run side by side;
+   the forward and backward vectors at the cuts come from the pieces' transfer
+   matrices, so the counts are those of the whole text.
 4. *Scores.*  The scaled forward recursion over each whole text.  Long texts are cut
    into segments whose transfer matrices are chained, which gives the same exact
    likelihood.
@@ -44,7 +46,7 @@ from orderlab.llm.common import WORDS_LOWER, Words, materialize, rows, steps
 
 STATES, CLASSES, ITERATIONS, SEED = 6, 1 << 14, 6, 11
 BLOCK_BYTES = 10 << 20
-PIECE = 256        # training pieces; segments of the chained scoring
+PIECE = 256        # tokens of a long text's segments, in training and scoring
 SHORT = 64         # bytes of a word hashed side by side
 GROUP = 1 << 18    # tokens whose recursions run side by side
 PRIOR = 20.0       # weight of the corpus class distribution in a state's emissions
@@ -185,24 +187,77 @@ def _pieces(starts: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarra
     return at, np.minimum(most, starts[owner] + sizes[owner] - at), owner
 
 
-def expected_counts(model: Hmm, seen: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
-    """Forward-backward over the pieces: expected (start, move, emit) counts and the
-    natural-log likelihood.  ``seen`` holds the class of each token.  Recursions run in
-    the model's float type, sums over pieces in double."""
-    k = len(model.start)
+def _run(model: Hmm, seen: np.ndarray, at: np.ndarray, sizes: np.ndarray, init: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward recursion of each range from its row of ``init``, the distribution
+    of its first state: (last vector, natural log of its scale)."""
+    order, alive = _by_length(sizes)
+    at, cur = at[order], np.ascontiguousarray(init[order].T)  # (states, ranges)
+    share, forth = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
+    logs = np.zeros(len(order))
+    for t, m in enumerate(alive):
+        a = share.take(seen[at[:m] + t], axis=1)
+        a *= cur[:, :m] if t == 0 else forth @ cur[:, :m]
+        s = a.sum(axis=0)
+        np.divide(a, s, out=cur[:, :m])
+        logs[:m] += np.log(s)
+    vec, log = np.empty((len(order), len(forth))), np.empty_like(logs)
+    vec[order], log[order] = cur.T, logs
+    return vec, log
+
+
+def _at_cuts(model: Hmm, seen: np.ndarray, at: np.ndarray, sizes: np.ndarray, owner: np.ndarray):
+    """For each piece the forward vector of the token before it (a distribution, unused
+    for first pieces) and the backward vector of its last token (up to a factor)."""
+    k, n = len(model.start), len(at)
+    first = np.diff(owner, prepend=-1) != 0
+    number = np.arange(n) - np.flatnonzero(first)[np.cumsum(first) - 1]
+    before, after = np.zeros((n, k)), np.ones((n, k))
+    further = np.flatnonzero(~first)
+    if not len(further):
+        return first, before, after
+    heads = further[number[further] == 1] - 1
+    before[heads + 1] = _run(model, seen, at[heads], sizes[heads], np.repeat(model.start[None], len(heads), axis=0))[0]
+    vec, log = _run(model, seen, np.repeat(at[further], k), np.repeat(sizes[further], k),
+                    np.tile(model.move, (len(further), 1)))
+    log = log.reshape(-1, k)
+    through = np.zeros((n, k, k))  # from the state before the piece to the one at its end
+    through[further] = np.exp(log - log.max(axis=1, keepdims=True))[:, :, None] * vec.reshape(-1, k, k)
+    by_number = further[np.argsort(number[further], kind="stable")]
+    limits = np.searchsorted(number[by_number], np.arange(1, number.max() + 2))
+    levels = [by_number[lo:hi] for lo, hi in zip(limits[:-1], limits[1:], strict=True)]
+    for p in levels[:-1]:
+        p = p[owner[np.minimum(p + 1, n - 1)] == owner[p]]  # pieces with a next one
+        p = p[p + 1 < n]
+        a = np.einsum("pi,pij->pj", before[p], through[p])
+        before[p + 1] = a / a.sum(axis=1, keepdims=True)
+    for p in levels[::-1]:
+        b = np.einsum("pij,pj->pi", through[p], after[p])
+        after[p - 1] = b / b.sum(axis=1, keepdims=True)
+    return first, before, after
+
+
+def expected_counts(model: Hmm, seen: np.ndarray, starts: np.ndarray, sizes: np.ndarray, piece: int = PIECE):
+    """Forward-backward over the texts: expected (start, move, emit) counts and the
+    natural-log likelihood.  ``seen`` holds the class of each token.  Texts longer than
+    ``piece`` run as pieces joined at the cuts.  Recursions run in the model's float
+    type, sums over pieces in double."""
+    k, kind = len(model.start), model.emit.dtype
+    starts, sizes, owner = _pieces(starts, sizes, piece)
     order, alive = _by_length(sizes)
     at = starts[order]
     start, move, loglik = np.zeros(k), np.zeros((k, k)), 0.0
     if not len(alive):
         return start, move, np.zeros_like(model.emit), loglik
+    first, prior, after = _at_cuts(model, seen, starts, sizes, owner)
+    first, prior, after = first[order], prior[order].T.astype(kind), after[order].T.astype(kind)
     # arrays are (states, tokens), all first tokens of the pieces, then all second ones, ...
     ends = np.cumsum(alive)
     step = np.repeat(np.arange(len(alive)), alive)
     cells = seen[at[np.arange(len(step)) - (ends - alive)[step]] + step]
     emit = np.ascontiguousarray(model.emit.T).take(cells, axis=1)
-    alpha, scale = np.empty_like(emit), np.empty(len(step), emit.dtype)
+    alpha, scale = np.empty_like(emit), np.empty(len(step), kind)
     forth = np.ascontiguousarray(model.move.T)
-    before = model.start[:, None]
+    before = np.where(first, model.start[:, None], forth @ prior)
     for n, hi in zip(alive.tolist(), ends.tolist(), strict=True):
         a, s = alpha[:, hi - n:hi], scale[hi - n:hi]
         np.multiply(emit[:, hi - n:hi], before if hi == n else forth @ before[:, :n], out=a)
@@ -211,16 +266,18 @@ def expected_counts(model: Hmm, seen: np.ndarray, starts: np.ndarray, sizes: np.
         before = a
     loglik = float(np.log(scale).sum(dtype=float))
     emit /= scale
-    beta, m = np.ones((k, 0), emit.dtype), 0
+    beta, m = np.ones((k, 0), kind), 0
     for n, hi in zip(alive[::-1].tolist(), ends[::-1].tolist(), strict=True):
-        a, b = alpha[:, hi - n:hi], np.ones((k, n), emit.dtype)
+        a, b = alpha[:, hi - n:hi], np.empty((k, n), kind)
         if m:
             ahead = emit[:, hi:hi + m] * beta
             move += a[:, :m] @ ahead.T
             b[:, :m] = model.move @ ahead
+        b[:, m:] = after[:, m:n] / (a[:, m:] * after[:, m:n]).sum(axis=0)  # pieces that end here
         a *= b  # now the posterior of the states
         beta, m = b, n
-    start += alpha[:, :m].sum(axis=1)
+    start += alpha[:, :m][:, first].sum(axis=1)
+    move += prior[:, ~first] @ (emit[:, :m] * beta)[:, ~first].T  # moves over the cuts
     out = np.stack([np.bincount(cells, g, minlength=len(model.emit)) for g in alpha], axis=1)
     return start, move * model.move, out, loglik
 
@@ -270,7 +327,7 @@ def train(table: DataFrame, counts: Counts, states: int = STATES, iterations: in
                     row = batch.slice(i, 1).to_pylist()[0]
                     tokens, kind, first, sizes = _codes(row)
                     seen, use = kind[tokens], ~np.array(row["held"], bool)
-                    at, n, _ = _pieces(first[use], sizes[use], PIECE)
+                    at, n = first[use], sizes[use]
                     for part in _groups(n):
                         s, m, e, ll = expected_counts(hmm, seen, at[part], n[part])
                         emit += e
@@ -311,18 +368,7 @@ def log10_forward(model: Hmm, seen: np.ndarray, starts: np.ndarray, sizes: np.nd
     at, n = np.repeat(at, copies), np.repeat(n, copies)
     state = np.arange(len(at)) - np.repeat(base, copies)
     init = np.where(np.repeat(first, copies)[:, None], model.start, model.move[state])
-    order, alive = _by_length(n)
-    at, cur = at[order], np.ascontiguousarray(init[order].T)  # (states, segments)
-    share, forth = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
-    logs = np.zeros(len(order))
-    for t, m in enumerate(alive):
-        a = share.take(seen[at[:m] + t], axis=1)
-        a *= cur[:, :m] if t == 0 else forth @ cur[:, :m]
-        s = a.sum(axis=0)
-        np.divide(a, s, out=cur[:, :m])
-        logs[:m] += np.log(s)
-    vec, log = np.empty((len(order), k)), np.empty_like(logs)
-    vec[order], log[order] = cur.T, logs
+    vec, log = _run(model, seen, at, n, init)
     out = np.zeros(len(starts))
     out[owner[first]] = log[base[first]]
     last = {}

@@ -91,6 +91,58 @@ def test_hmm_recursions_against_all_paths():
     assert (hmm_lm.unpack(hmm_lm.pack(np.array([0, 1, 70000, 2 ** 31]))) == [0, 1, 70000, 2 ** 31]).all()
 
 
+def test_hmm_training_runs_over_whole_texts():
+    rng = np.random.default_rng(1)
+    k, classes = 3, 40
+    model = hmm_lm.Hmm(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(classes), k).T)
+    sizes = np.array([2100, 1, 600, 30, 512, 513, 700])
+    starts, seen = np.cumsum(sizes) - sizes, rng.integers(0, classes, sizes.sum())
+
+    def brute(s):  # scaled recursions token by token, with the posteriors by hand
+        a, b, n = [model.start * model.emit[s[0]]], [np.ones(k)], len(s)
+        logs = np.log(a[0].sum())
+        a[0] = a[0] / a[0].sum()
+        for t in range(1, n):
+            x = (a[-1] @ model.move) * model.emit[s[t]]
+            logs += np.log(x.sum())
+            a.append(x / x.sum())
+        for t in range(n - 1, 0, -1):
+            x = model.move @ (model.emit[s[t]] * b[-1])
+            b.append(x / x.sum())
+        b = b[::-1]
+        g = np.array(a) * np.array(b)
+        g /= g.sum(axis=1, keepdims=True)
+        move = np.zeros((k, k))
+        for t in range(1, n):
+            x = a[t - 1][:, None] * model.move * (model.emit[s[t]] * b[t])
+            move += x / x.sum()
+        emit = np.zeros((classes, k))
+        np.add.at(emit, s, g)
+        return g[0], move, emit, logs
+
+    want = [sum(x) for x in zip(*(brute(seen[a:a + n]) for a, n in zip(starts, sizes)))]
+    for got in (hmm_lm.expected_counts(model, seen, starts, sizes),
+                hmm_lm.expected_counts(model, seen, starts, sizes, 7), hmm_lm.expected_counts(model, seen, starts, sizes, 10 ** 6)):
+        assert all(np.allclose(x, y) for x, y in zip(got, want))
+    single = hmm_lm.expected_counts(model.single(), seen, starts, sizes)
+    assert all(np.allclose(x, y, rtol=1e-2, atol=0.05) for x, y in zip(single, want))
+    assert np.isclose(want[0].sum(), len(sizes)) and np.isclose(want[1].sum(), (sizes - 1).sum())
+
+
+def test_hmm_trains_on_uncut_texts(spark):
+    rnd = random.Random(2)
+    docs = make_docs(spark, [" ".join(rnd.choice("abcdefgh") for _ in range(n)) for n in (3000, 5, 700)])
+    table = hmm_lm.materialize(hmm_lm.blocks(docs, 64), "t")
+    counts = hmm_lm.word_counts(table, 64)[1]
+    history = hmm_lm.train(table, counts, 2, 1)[1]
+    want, first = 0.0, hmm_lm.first_model(counts, 2)
+    for row in table.select("kinds", "tokens", "n_tokens", "held").collect():
+        tokens, kind, at, sizes = hmm_lm._codes(row.asDict())
+        use = ~np.array(row.held, bool)
+        want += hmm_lm.log10_forward(first, kind[tokens], at[use], sizes[use]).sum() * math.log(10)
+    assert np.isclose(history[0], want, rtol=1e-5)
+
+
 def test_language_id(spark):
     rnd = random.Random(1)
     base = {"en": "the and of that with from this which water house".split(),
