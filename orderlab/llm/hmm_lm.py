@@ -1,28 +1,29 @@
 """LM scoring with a hidden Markov language model.
 
 Tokens are the lower-cased words of a text, then one end token.  The model is a
-first-order HMM with ``states`` latent states over the whole training vocabulary:
-a state emits a word class, and the class emits the word,
+first-order HMM with ``states`` latent states over the whole training vocabulary.
+Every state learns the probability of every training word, so what Baum-Welch learns
+grows with the corpus; one more symbol stands for all unseen words.  With c the word's
+training count, N training tokens and V distinct words, its corpus share is
+(c + 1) / (N + V + 1), that of the unseen symbol 1 / (N + V + 1).  With ``classes`` set,
+words of equal CRC-32 modulo ``classes`` share a state profile instead,
 
-    P(word | state) = P(class(word) | state) * (c + 1) / (C + V + 1),
+    P(word | state) = P(class(word) | state) * (c + 1) / (C + V' + 1),
 
-where class(word) is its CRC-32 modulo ``classes``, c the word's training count, and
-C and V the class's training tokens and distinct words; the added one is the class's
-share for unseen words, so each state's distribution sums to 1.  Tying emissions
-over classes bounds what the states learn; the word counts themselves cover all
-training tokens and grow with the corpus.
+C and V' being the class's training tokens and distinct words.
 
 1. *Blocks.*  One pass tokenises the documents into a table of blocks (local
    vocabulary with training counts, token codes, document limits), written to the
    shared folder, so later passes read numbers and survive lost executors.
 2. *Counts.*  Block vocabularies are summed by word (partial aggregation, so a very
    frequent word costs one row per task) and the counts joined back per block.
-3. *Baum-Welch.*  Each iteration is one pass: every block runs the scaled forward and
-   backward recursions over its training texts, expected counts are summed per task
-   and then across partitions; at most ``classes`` + ``states`` + 1 rows reach the
-   driver.  Long texts are cut into pieces of ``PIECE`` tokens that run side by side;
-   the forward and backward vectors at the cuts come from the pieces' transfer
-   matrices, so the counts are those of the whole text.
+3. *Baum-Welch.*  Emissions are a table (word key, probability per state).  Each
+   iteration joins it to the blocks' vocabularies, every block runs the scaled forward
+   and backward recursions over its training texts, and the expected counts are summed
+   by word into the next table; only ``states`` + 2 rows and totals reach the driver.
+   Long texts are cut into pieces of ``PIECE`` tokens that run side by side; the forward
+   and backward vectors at the cuts come from the pieces' transfer matrices, so the
+   counts are those of the whole text.
 4. *Scores.*  The scaled forward recursion over each whole text.  Long texts are cut
    into segments whose transfer matrices are chained, which gives the same exact
    likelihood.
@@ -39,23 +40,23 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlab.llm.common import WORDS_LOWER, Words, materialize, rows, steps
 
-STATES, CLASSES, ITERATIONS, SEED = 6, 1 << 14, 6, 11
+STATES, ITERATIONS, SEED = 6, 6, 11
 BLOCK_BYTES = 10 << 20
-PIECE = 256        # tokens of a long text's segments, in training and scoring
-SHORT = 64         # bytes of a word hashed side by side
+PIECE = 512        # tokens of a long text's segments, in training and scoring
 GROUP = 1 << 18    # tokens whose recursions run side by side
-PRIOR = 20.0       # weight of the corpus class distribution in a state's emissions
+PRIOR = 20.0       # weight of the corpus distribution in a state's emissions
 END = ""
 
-_BLOCK_DDL = ("block bigint, vocab array<struct<w:string,c:bigint>>, kinds binary, counts binary, tokens binary, "
+_BLOCK_DDL = ("block bigint, vocab array<struct<w:string,c:bigint>>, counts binary, tokens binary, "
               "doc_ids array<bigint>, held array<boolean>, n_tokens array<int>")
 _BLOCK = pa.schema([("block", pa.int64()), ("vocab", pa.list_(pa.struct([("w", pa.string()), ("c", pa.int64())]))),
-                    ("kinds", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()),
+                    ("counts", pa.binary()), ("tokens", pa.binary()),
                     ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int32()))])
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                     ("log_counts", pa.float64()), ("score", pa.float64())])
@@ -66,7 +67,7 @@ SCORES_DDL = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint,
 class Hmm:
     start: np.ndarray      # states
     move: np.ndarray       # states x states
-    emit: np.ndarray       # classes x states
+    emit: np.ndarray       # symbols x states
 
     def single(self) -> Hmm:
         """In single precision, for the scaled recursions of the training."""
@@ -77,41 +78,18 @@ class Hmm:
 class Counts:
     tokens: int            # N
     words: int             # V
-    class_tokens: np.ndarray
-    class_words: np.ndarray
-
-    def class_share(self) -> np.ndarray:
-        """Smoothed class distribution of the training tokens."""
-        size = self.class_tokens + self.class_words + 1.0
-        return size / size.sum()
-
-
-def _crc_table() -> np.ndarray:
-    c = np.arange(256, dtype=np.uint32)
-    for _ in range(8):
-        c = np.where(c & 1, (c >> 1) ^ np.uint32(0xEDB88320), c >> 1)
-    return c
-
-
-def class_of(words: pa.LargeBinaryArray, classes: int) -> np.ndarray:
-    """CRC-32 modulo ``classes`` of each word, byte by byte over all words at once."""
-    n = len(words)
-    buf = words.buffers()
-    off = np.frombuffer(buf[1], np.int64, n + 1, words.offset * 8) if n else np.zeros(1, np.int64)
-    data = np.frombuffer(buf[2] or b"", np.uint8)
-    size, table = np.diff(off), _crc_table()
-    order = np.argsort(-size, kind="stable")
-    order = order[np.searchsorted(-size[order], -SHORT):]  # longer words come one by one
-    at, size_of = off[:-1][order], size[order]
-    crc = np.full(len(order), 0xFFFFFFFF, np.uint32)
-    for t in range(int(size_of[0]) if len(order) else 0):
-        m = int(np.searchsorted(-size_of, -t))  # words of more than t bytes
-        crc[:m] = table[(crc[:m] ^ data[at[:m] + t]) & np.uint32(0xFF)] ^ (crc[:m] >> np.uint32(8))
-    out = np.empty(n, np.int64)
-    out[order] = ~crc
-    for i in np.flatnonzero(size > SHORT):
-        out[i] = crc32(data[off[i]:off[i + 1]])
-    return out % classes
+    total: float           # N + V + 1, or N + V + classes
+
+
+@dataclass(frozen=True)
+class Emissions:
+    table: DataFrame       # k, size (numerator of the share), e (probability per state)
+    unseen: np.ndarray     # the same of any key that is not in the table
+
+
+def _kind(word: Column, classes: int | None) -> Column:
+    """Key of the word, or its class."""
+    return F.crc32(word.cast("binary")) % classes if classes else F.xxhash64(word)
 
 
 def _held(doc_id) -> bool:
@@ -127,9 +105,9 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
 
-def blocks(docs: DataFrame, classes: int) -> DataFrame:
+def blocks(docs: DataFrame, classes: int | None = None) -> DataFrame:
     """The tokenised documents, see above; token code len(vocab) - 1 is the end.
-    ``kinds`` and ``counts`` hold the class and the block's training count per code."""
+    ``counts`` holds the block's training count per code."""
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                            F.spark_partition_id().cast("long").alias("part"))
 
@@ -143,13 +121,12 @@ def blocks(docs: DataFrame, classes: int) -> DataFrame:
             counts = np.bincount(w.code[~held[w.doc]], minlength=end + 1) if len(w.code) else np.zeros(end + 1, np.int64)
             counts[end] = int((~held).sum())
             tokens = np.insert(w.code.astype(np.int32), w.bounds[1:], end)
-            kinds = class_of(pa.concat_arrays([w.vocab, pa.array([END.encode()], pa.large_binary())]), classes)
             vocab = pa.concat_arrays([w.vocab.cast(pa.string()), pa.array([END], pa.string())])
             item = pa.StructArray.from_arrays([vocab, pa.array(counts, pa.int64())], names=["w", "c"])
             part = batch.column("part")[0].as_py()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([(part << 32) + n], pa.int64()), pa.ListArray.from_arrays([0, end + 1], item),
-                 pa.array([pack(kinds)], pa.binary()), pa.array([pack(counts)], pa.binary()),
+                 pa.array([pack(counts)], pa.binary()),
                  pa.array([pack(tokens)], pa.binary()), pa.array([ids], pa.list_(pa.int64())),
                  pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([(w.counts + 1).tolist()], pa.list_(pa.int32()))],
                 schema=_BLOCK)
@@ -158,16 +135,14 @@ def blocks(docs: DataFrame, classes: int) -> DataFrame:
     return numbered.mapInArrow(run, _BLOCK_DDL)
 
 
-def word_counts(table: DataFrame, classes: int) -> tuple[DataFrame, Counts]:
-    """(w, c) of the training vocabulary, and its totals."""
+def word_counts(table: DataFrame, classes: int | None = None) -> tuple[DataFrame, Counts, DataFrame]:
+    """(w, c) of the training vocabulary, its totals, and (k, size) of each key."""
     word = table.select(F.explode("vocab").alias("v")).select("v.w", "v.c").where("c > 0")
     counted = materialize(word.groupBy("w").agg(F.sum("c").alias("c")), "word-counts")
-    per = counted.groupBy((F.crc32(F.col("w").cast("binary")) % classes).alias("k")).agg(
-        F.sum("c").alias("c"), F.count("*").alias("v")).collect()  # at most ``classes`` rows
-    tokens, words = np.zeros(classes), np.zeros(classes)
-    for k, c, v in per:
-        tokens[k], words[k] = c, v
-    return counted, Counts(int(tokens.sum()), int(words.sum()), tokens, words)
+    tokens, words = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    sizes = materialize(counted.groupBy(_kind(F.col("w"), classes).alias("k")).agg(
+        (F.sum("c") + F.count("*") + (1 if classes else 0)).cast("double").alias("size")), "sizes")
+    return counted, Counts(tokens, words, float(tokens + words + (classes or 1))), sizes
 
 
 def _by_length(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -282,20 +257,50 @@ def expected_counts(model: Hmm, seen: np.ndarray, starts: np.ndarray, sizes: np.
     return start, move * model.move, out, loglik
 
 
-def first_model(counts: Counts, states: int) -> Hmm:
-    """Sticky states whose emissions vary at random (fixed seed) about the corpus."""
-    share = counts.class_share()
-    rng = np.random.default_rng(SEED)
-    emit = share[:, None] * (1 + 0.6 * rng.uniform(-1, 1, (len(share), states)))
-    move = np.full((states, states), 0.1 / max(1, states - 1))
-    np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
-    return Hmm(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
-
-
-def _codes(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(token codes, class of each code, first token and number of tokens per document)."""
+def first_emissions(sizes: DataFrame, counts: Counts, states: int) -> Emissions:
+    """The corpus distribution, varied at random by word and state (fixed seed)."""
+    noise = [F.shiftrightunsigned(F.xxhash64("k", F.lit(SEED), F.lit(j)), 11) / float(1 << 53) for j in range(states)]
+    raw = sizes.select("k", "size", *[(F.col("size") / counts.total * (1 + 0.6 * (2 * u - 1))).alias(f"e{j}")
+                                      for j, u in enumerate(noise)])
+    known, *sums = raw.agg(F.sum("size"), *[F.sum(f"e{j}") for j in range(states)]).first()
+    norm = np.array([x or 0.0 for x in sums]) + 1 - (known or 0.0) / counts.total
+    return Emissions(raw.select("k", "size", F.array(*[F.col(f"e{j}") / float(norm[j]) for j in range(states)]).alias("e")),
+                     1 / counts.total / norm)
+
+
+def next_emissions(sizes: DataFrame, counts: Counts, expected: DataFrame, totals: np.ndarray) -> Emissions:
+    """Expected counts smoothed by the corpus distribution."""
+    share = F.col("size") / counts.total
+    e = F.array(*[(F.coalesce(f"v{j}", F.lit(0.0)) + PRIOR * share) / (float(t) + PRIOR) for j, t in enumerate(totals)])
+    return Emissions(sizes.join(expected, "k", "left").select("k", "size", e.alias("e")),
+                     PRIOR / counts.total / (totals + PRIOR))
+
+
+def _with_emissions(table: DataFrame, emissions: Emissions, classes: int | None, kind: str) -> DataFrame:
+    """The blocks with (code, k, size, e) of the words that have a training count anywhere."""
+    word = table.select("block", F.posexplode("vocab").alias("code", "v")).select(
+        "block", "code", _kind(F.col("v.w"), classes).alias("k"))
+    own = word.join(emissions.table, "k").groupBy("block").agg(F.collect_list(F.struct(  # at most a block's own vocabulary
+        "code", "k", "size", F.col("e").cast(f"array<{kind}>").alias("e"))).alias("known"))
+    return table.join(own, "block", "left")
+
+
+def _local(known: pa.Scalar, codes: int, unseen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, keys) of the known words, then emissions and sizes of all codes of a block."""
+    emit, size = np.tile(unseen, (codes, 1)), np.ones(codes)
+    values = known.values
+    if values is None or not len(values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), emit, size
+    code, key = values.field("code").to_numpy(), values.field("k").to_numpy()
+    emit[code] = values.field("e").flatten().to_numpy().reshape(len(code), -1)
+    size[code] = values.field("size").to_numpy()
+    return code, key, emit, size
+
+
+def _codes(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token codes, first token and number of tokens per document)."""
     sizes = np.array(row["n_tokens"], np.int64)
-    return unpack(row["tokens"]), unpack(row["kinds"]), np.cumsum(sizes) - sizes, sizes
+    return unpack(row["tokens"]), np.cumsum(sizes) - sizes, sizes
 
 
 def _groups(sizes: np.ndarray):
@@ -308,50 +313,56 @@ def _groups(sizes: np.ndarray):
         lo = hi
 
 
-def train(table: DataFrame, counts: Counts, states: int = STATES, iterations: int = ITERATIONS) -> tuple[Hmm, list[float]]:
-    """Baum-Welch over the training documents of the block table; also the natural-log
-    likelihood (of classes) before each update."""
-    sc = table.sparkSession.sparkContext
-    classes = len(counts.class_tokens)
-    model, history, share = first_model(counts, states), [], counts.class_share()
-    out = pa.schema([("row", pa.int32()), ("v", pa.list_(pa.float32()))])
-    # rows: one per class (emissions), then one per state (moves), starts, likelihood
+def train(table: DataFrame, counts: Counts, sizes: DataFrame, states: int = STATES, classes: int | None = None,
+          iterations: int = ITERATIONS) -> tuple[np.ndarray, np.ndarray, Emissions, list[float]]:
+    """Baum-Welch over the training documents of the block table: (start, move,
+    emissions), and the natural-log likelihood (of keys) before each update."""
+    start, history = np.full(states, 1 / states), []
+    move = np.full((states, states), 0.1 / max(1, states - 1))  # sticky states
+    np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
+    emissions = first_emissions(sizes, counts, states)
+    out = pa.schema([("row", pa.int32()), ("k", pa.int64()), ("v", pa.list_(pa.float32()))])
+    # rows: 0 for words, then one per state (moves), starts, likelihood
     for _ in range(iterations):
-        shared = sc.broadcast(model)
-
-        def estep(batches, shared=shared):
-            hmm = shared.value.single()
-            emit, tail = np.zeros((classes, states)), np.zeros((states + 2, states))
+        def estep(batches, start=start, move=move, unseen=emissions.unseen):
+            tail = np.zeros((states + 2, states))
             for batch in batches:
                 for i in range(batch.num_rows):  # one block in memory at a time
-                    row = batch.slice(i, 1).to_pylist()[0]
-                    tokens, kind, first, sizes = _codes(row)
-                    seen, use = kind[tokens], ~np.array(row["held"], bool)
-                    at, n = first[use], sizes[use]
+                    row = batch.slice(i, 1)
+                    one = row.select(["counts", "tokens", "held", "n_tokens"]).to_pylist()[0]
+                    tokens, first, n = _codes(one)
+                    code, key, emit, _ = _local(row.column("known")[0], len(one["counts"]) // 4, unseen)
+                    hmm, found = Hmm(start, move, emit).single(), np.zeros(emit.shape)
+                    use = ~np.array(one["held"], bool)
+                    at, n = first[use], n[use]
                     for part in _groups(n):
-                        s, m, e, ll = expected_counts(hmm, seen, at[part], n[part])
-                        emit += e
+                        s, m, e, ll = expected_counts(hmm, tokens, at[part], n[part])
+                        found += e
                         tail[:states] += m
                         tail[states] += s
                         tail[states + 1, 0] += ll
-            some = np.flatnonzero(emit.any(axis=1))
-            yield rows(out, np.concatenate([some, classes + np.arange(states + 2)]), [*emit[some], *tail])
-
-        sums = (table.select("kinds", "tokens", "held", "n_tokens")
-                .mapInArrow(estep, "row int, v array<float>")
-                .groupBy("row").agg(*[F.sum(F.col("v")[j].cast("double")).alias(f"v{j}") for j in range(states)]))
-        emit, tail = np.zeros((classes, states)), np.zeros((states + 2, states))
-        for r, *v in sums.collect():  # at most classes + states + 2 rows
-            if r < classes:
-                emit[r] = v
+                    some = found[code].any(axis=1)
+                    v = found[code[some]].astype(np.float32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.zeros(len(v), np.int32)), pa.array(key[some]),
+                         pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * states, v.reshape(-1))], schema=out)
+            yield rows(out, np.arange(1, states + 3), np.zeros(states + 2, np.int64), list(tail.astype(np.float32)))
+
+        joined = _with_emissions(table.select("block", "vocab", "counts", "tokens", "held", "n_tokens"), emissions, classes, "float")
+        sums = materialize(joined.select("counts", "tokens", "held", "n_tokens", "known")
+                           .mapInArrow(estep, "row int, k bigint, v array<float>").groupBy("row", "k")
+                           .agg(*[F.sum(F.col("v")[j].cast("double")).alias(f"v{j}") for j in range(states)]), "expected")
+        tail, totals = np.zeros((states + 2, states)), np.zeros(states)
+        for r, *v in sums.groupBy("row").agg(*[F.sum(f"v{j}") for j in range(states)]).collect():  # states + 3 rows
+            if r:
+                tail[r - 1] = v
             else:
-                tail[r - classes] = v
+                totals[:] = v
         history.append(tail[states + 1, 0])
-        emit = emit + PRIOR * share[:, None]
         move, start = tail[:states] + 1.0, tail[states] + 1.0
-        model = Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
-        shared.unpersist()
-    return model, history
+        start, move = start / start.sum(), move / move.sum(axis=1, keepdims=True)
+        emissions = next_emissions(sizes, counts, sums.where("row = 0").drop("row"), totals)
+    return start, move, emissions, history
 
 
 def log10_forward(model: Hmm, seen: np.ndarray, starts: np.ndarray, sizes: np.ndarray, piece: int = PIECE) -> np.ndarray:
@@ -384,46 +395,49 @@ def log10_forward(model: Hmm, seen: np.ndarray, starts: np.ndarray, sizes: np.nd
     return out / np.log(10)
 
 
-def scores(table: DataFrame, counted: DataFrame, counts: Counts, model: Hmm) -> DataFrame:
+def scores(table: DataFrame, counted: DataFrame, start: np.ndarray, move: np.ndarray, emissions: Emissions,
+           classes: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, log_counts (sum of log10(c + 1)), score."""
-    shared = table.sparkSession.sparkContext.broadcast((model, np.log10(counts.class_tokens + counts.class_words + 1)))
     word = table.select("block", F.posexplode("vocab").alias("code", "v")).select("block", "code", "v.w", "v.c")
     # a word whose training tokens all lie in the block needs no answer: the block has that count
     more = word.join(counted.withColumnRenamed("c", "total"), "w").where("total > c")
-    known = more.groupBy("block").agg(  # at most a block's own vocabulary
+    elsewhere = more.groupBy("block").agg(  # at most a block's own vocabulary
         F.collect_list("code").alias("at"), F.collect_list("total").alias("total"))
-    joined = table.select("block", "kinds", "counts", "tokens", "doc_ids", "held", "n_tokens").join(known, "block", "left")
+    joined = _with_emissions(table, emissions, classes, "double").drop("vocab").join(elsewhere, "block", "left")
+    unseen = emissions.unseen
 
     def run(batches):
-        hmm, size = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 at, total = row.column("at")[0].values, row.column("total")[0].values
-                one = row.select(["tokens", "kinds", "counts", "doc_ids", "held", "n_tokens"]).to_pylist()[0]
-                tokens, kind, first, sizes = _codes(one)
+                one = row.select(["tokens", "counts", "doc_ids", "held", "n_tokens"]).to_pylist()[0]
+                tokens, first, sizes = _codes(one)
                 c = unpack(one["counts"])
                 if at is not None:
                     c[at.to_numpy()] = total.to_numpy()
-                logs = np.log10(c + 1)
+                emit, size = _local(row.column("known")[0], len(c), unseen)[2:]
+                hmm, logs = Hmm(start, move, emit), np.log10(c + 1)
                 sums = np.add.reduceat(logs[tokens], first)
-                rest = np.add.reduceat((logs - size[kind])[tokens], first)
+                # words within their class; without classes only the unseen symbol's one
+                rest = np.add.reduceat((logs - np.log10(size))[tokens], first)
                 known_ = np.add.reduceat((c > 0).astype(np.int64)[tokens], first)
-                seen, own = kind[tokens], np.zeros(len(first))
+                own = np.zeros(len(first))
                 for part in _groups(sizes):
-                    own[part] = log10_forward(hmm, seen, first[part], sizes[part])
+                    own[part] = log10_forward(hmm, tokens, first[part], sizes[part])
                 yield rows(SCORES, one["doc_ids"], one["held"], sizes, known_, sums, rest + own)
 
-    return joined.mapInArrow(run, SCORES_DDL)
+    return joined.select("counts", "tokens", "doc_ids", "held", "n_tokens", "known", "at", "total").mapInArrow(run, SCORES_DDL)
 
 
-def score(docs: DataFrame, states: int = STATES, classes: int = CLASSES, iterations: int = ITERATIONS) -> DataFrame:
+def score(docs: DataFrame, states: int = STATES, classes: int | None = None, iterations: int = ITERATIONS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every
     document; learns from the documents that are not held out."""
-    table = materialize(blocks(docs, classes), "blocks")
-    counted, counts = word_counts(table, classes)
-    model, _ = train(table, counts, states, iterations)
+    # dealt by block once, so that the joins of every iteration leave the tokens where they are
+    table = materialize(blocks(docs), "blocks").repartition("block").persist(StorageLevel.DISK_ONLY)
+    counted, counts, sizes = word_counts(table, classes)
+    start, move, emissions, _ = train(table, counts, sizes, states, classes, iterations)
     base = float(np.log10(counts.tokens + counts.words + 1))
-    return scores(table, counted, counts, model).select(
+    return scores(table, counted, start, move, emissions, classes).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"),
         (F.col("log_counts") - F.col("n_tokens") * F.lit(base)).alias("base_score"), "score")

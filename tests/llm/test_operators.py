@@ -15,6 +15,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from orderlab.llm import (
@@ -129,18 +130,51 @@ def test_hmm_training_runs_over_whole_texts():
     assert np.isclose(want[0].sum(), len(sizes)) and np.isclose(want[1].sum(), (sizes - 1).sum())
 
 
-def test_hmm_trains_on_uncut_texts(spark):
-    rnd = random.Random(2)
-    docs = make_docs(spark, [" ".join(rnd.choice("abcdefgh") for _ in range(n)) for n in (3000, 5, 700)])
-    table = hmm_lm.materialize(hmm_lm.blocks(docs, 64), "t")
-    counts = hmm_lm.word_counts(table, 64)[1]
-    history = hmm_lm.train(table, counts, 2, 1)[1]
-    want, first = 0.0, hmm_lm.first_model(counts, 2)
-    for row in table.select("kinds", "tokens", "n_tokens", "held").collect():
-        tokens, kind, at, sizes = hmm_lm._codes(row.asDict())
+def hmm_first_pass(table, counts, sizes, states, classes):
+    """(log-likelihood of the training texts, expected emissions by key) of the first model."""
+    first = hmm_lm.first_emissions(sizes, counts, states)
+    keys = {r.k: r.e for r in first.table.collect()}
+    move = np.full((states, states), 0.1 / (states - 1))
+    np.fill_diagonal(move, 0.9)
+    loglik, found = 0.0, Counter()
+    for row in table.withColumn("keys", F.transform("vocab", lambda v: hmm_lm._kind(v["w"], classes))).collect():
+        tokens, at, n = hmm_lm._codes(row.asDict())
+        model = hmm_lm.Hmm(np.full(states, 1 / states), move, np.array([keys.get(k, first.unseen) for k in row["keys"]]))
         use = ~np.array(row.held, bool)
-        want += hmm_lm.log10_forward(first, kind[tokens], at[use], sizes[use]).sum() * math.log(10)
-    assert np.isclose(history[0], want, rtol=1e-5)
+        loglik += hmm_lm.log10_forward(model, tokens, at[use], n[use]).sum() * math.log(10)
+        for k, e in zip(row["keys"], hmm_lm.expected_counts(model, tokens, at[use], n[use])[2]):
+            found[k] = found[k] + e
+    return loglik, found
+
+
+@pytest.mark.parametrize("classes", [None, 64])
+def test_hmm_trains_on_uncut_texts(spark, classes):
+    rnd = random.Random(2)
+    docs = make_docs(spark, [" ".join(rnd.choice("abcdefgh") for _ in range(n)) for n in (3000, 5, 700)]).repartition(2)
+    table = hmm_lm.materialize(hmm_lm.blocks(docs), "t")
+    _, counts, sizes = hmm_lm.word_counts(table, classes)
+    *_, emissions, history = hmm_lm.train(table, counts, sizes, 2, classes, 1)
+    loglik, found = hmm_first_pass(table, counts, sizes, 2, classes)
+    assert np.isclose(history[0], loglik, rtol=1e-5)
+    size = {r.k: r["size"] for r in sizes.collect()}
+    total = sum(found.values())
+    for r in emissions.table.collect():
+        want = (found[r.k] + hmm_lm.PRIOR * size[r.k] / counts.total) / (total + hmm_lm.PRIOR)
+        assert np.allclose(r.e, want, rtol=1e-3)
+
+
+def test_hmm_learns_every_word(spark):
+    rnd = random.Random(4)  # two topics whose words number more than any fixed set of classes
+    topics = [[f"{t}{i}" for i in range(20_000)] for t in "ab"]
+    texts_ = [" ".join(rnd.choices(topics[i % 2], k=2000)) for i in range(40)]
+    table = hmm_lm.materialize(hmm_lm.blocks(make_docs(spark, texts_)), "t")
+    counted, counts, sizes = hmm_lm.word_counts(table)
+    assert sizes.count() == counts.words > 1 << 14
+    start, move, emissions, _ = hmm_lm.train(table, counts, sizes, 2, None, 2)
+    total = np.array([r.e for r in emissions.table.collect()]).sum(axis=0) + emissions.unseen
+    assert emissions.table.count() == counts.words and np.allclose(total, 1, rtol=1e-4)
+    got = {r.doc_id: r for r in hmm_lm.scores(table, counted, start, move, emissions).collect()}
+    assert len(got) == 40 and all(r.score < 0 for r in got.values())
 
 
 def test_language_id(spark):
