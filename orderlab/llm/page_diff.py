@@ -5,22 +5,23 @@
    page headers, footers, sidebars, adverts, notices, forms, comments, by element
    name or class) and whether it lies in the page's declared content (``article``, or
    ``main`` without one).
-2. Pages are ordered by (host, path, id); each is paired with the next page of its
-   host, or the previous one for a host's last page.  The order comes from a range
-   sort of light rows (id, URL, line hashes) and global ranks, so a host with a third
-   of all pages is spread over tasks, and the partner is found by an equality join
-   on the rank.
-3. The line hashes of a page and its partner are aligned by longest common
-   subsequence (bit-parallel); shared lines are the host's template and deleted.
-   Declared content is exempt, since mirrored copies of an article share all of it;
-   without declared content the deletion is skipped if the pair shares over half of
-   the text outside chrome, which again means copies.
+2. Pages are ordered by (host, path, id); each is compared with the pages before and
+   after it on its host, the host's first and last page with their two nearest.  The
+   order comes from a range sort of light rows (id, URL, line hashes) and global ranks,
+   so a host with a third of all pages is spread over tasks, and the neighbours are
+   found by equality joins on the rank.
+3. The line hashes of a page and a neighbour are aligned by longest common subsequence
+   (bit-parallel).  A neighbour is evidence only if its content differs: both pages have
+   content lines (declared content, else lines outside chrome) that the other lacks; a
+   mirrored copy is none, however much text it shares.  Lines shared with every such
+   neighbour are the host's template and deleted, inside declared content too; what only
+   one of two neighbours shares (a copy with another date) stays.
 4. The page's text is what remains of its declared content, or of all lines outside
    chrome if it declares none.
 
 Edge cases: null or empty html gives empty text; a null or unparsable URL has the
-empty host and path and is paired like any other; a host with one page has no
-partner and nothing is deleted; unclosed elements end with the page or at the next
+empty host and path and is compared like any other; a host with one page has no
+neighbour and nothing is deleted; unclosed elements end with the page or at the next
 ``article`` or ``main``; repeated rows get the same text; extra columns are left
 alone.
 """
@@ -123,8 +124,15 @@ def lines(html: str | None) -> list[tuple[str, bool, bool, bool]]:
     return out
 
 
+def content(found: list[tuple[str, bool, bool, bool]]) -> list[bool]:
+    """Which lines are the page's content: declared, else all outside chrome."""
+    column = 2 if any(x[2] and not x[1] for x in found) else 3 if any(x[3] and not x[1] for x in found) else None
+    return [not x[1] and (column is None or x[column]) for x in found]
+
+
 def line_hashes(found: list[tuple[str, bool, bool, bool]]) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(x[0].encode()) >> 1 for x in found]
+    """Hash of each line; the lowest bit tells content."""
+    return [xxhash.xxh3_64_intdigest(x[0].encode()) >> 2 << 1 | c for x, c in zip(found, content(found), strict=True)]
 
 
 def common_lines(a: list[int], b: list[int]) -> np.ndarray:
@@ -155,18 +163,20 @@ def common_lines(a: list[int], b: list[int]) -> np.ndarray:
     return mask
 
 
-def main_text(html: str | None, partner: list[int] | None) -> tuple[str, int, int]:
-    """(text, lines of the page, lines shared with the partner)."""
+def main_text(html: str | None, *neighbours: list[int] | None) -> tuple[str, int, int]:
+    """(text, lines of the page, lines of the template)."""
     found = lines(html)
-    shared = common_lines(line_hashes(found), partner) if partner and found else np.zeros(len(found), bool)
-    column = 2 if any(x[2] and not x[1] for x in found) else 3 if any(x[3] and not x[1] for x in found) else None
-    if column:
-        kept = [x[0] for x in found if x[column] and not x[1]]
-    else:
-        body = [(x[0], s) for x, s in zip(found, shared.tolist(), strict=True) if not x[1]]
-        copies = 2 * sum(len(t) for t, s in body if s) > sum(len(t) for t, _ in body)
-        kept = [t for t, s in body if copies or not s]
-    return "\n".join(kept), len(found), int(shared.sum())
+    own, hashes = np.array(content(found), bool), [x >> 1 for x in line_hashes(found)]
+    shared = []
+    for lines_ in neighbours:
+        if lines_ and found:
+            other, inside = [x >> 1 for x in lines_], np.array([x & 1 for x in lines_], bool)
+            mask = common_lines(hashes, other)
+            if (own & ~mask).any() and (inside & ~common_lines(other, hashes)).any():
+                shared.append(mask)
+    template = np.logical_and.reduce(shared) if shared else np.zeros(len(found), bool)
+    kept = [x[0] for x, c, t in zip(found, own.tolist(), template.tolist(), strict=True) if c and not t]
+    return "\n".join(kept), len(found), int(template.sum())
 
 
 def _ranked(pages: DataFrame) -> DataFrame:
@@ -200,22 +210,27 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_lines, n_shared of every page."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     ranked = _ranked(pages)
-    after = ranked.select((F.col("rank") - 1).alias("rank"), F.col("host").alias("h1"), F.col("hashes").alias("next"))
-    prior = ranked.select((F.col("rank") + 1).alias("rank"), F.col("host").alias("h2"), F.col("hashes").alias("last"))
-    partner = ranked.join(after, "rank", "left").join(prior, "rank", "left").select(
-        F.col("page_id").alias("p"), F.col("url").alias("u"),
-        F.when(F.col("h1") == F.col("host"), F.col("next")).when(F.col("h2") == F.col("host"), F.col("last"))
-        .alias("partner"))
+    at = ranked.select("rank", "host", "page_id", "url", F.explode(F.array(*map(F.lit, (-2, -1, 0, 1, 2)))).alias("d"))
+    own = F.col("d") == 0
+    near = at.groupBy((F.col("rank") - F.col("d")).alias("rank")).agg(
+        F.max(own).alias("real"), F.max(F.when(own, F.col("page_id"))).alias("p"), F.max(F.when(own, F.col("url"))).alias("u"),
+        *[F.max(F.when(F.col("d") == d, F.col("host"))).alias(f"h{d + 2}") for d in (-2, -1, 0, 1, 2)]).where("real")
+    # h2 is the page's own host; a row without a neighbour gets a rank that no page has
+    near = near.selectExpr("p", "u", """coalesce(CASE WHEN h3 = h2 THEN rank + 1 WHEN h1 = h2 THEN rank - 1 END, -3 - rank) AS n1""",
+                           """coalesce(CASE WHEN h3 = h2 AND h1 = h2 THEN rank - 1 WHEN h4 = h2 THEN rank + 2
+                              WHEN h0 = h2 THEN rank - 2 END, -3 - rank) AS n2""")
+    partner = (near.join(ranked.select(F.col("rank").alias("n1"), F.col("hashes").alias("first")), "n1", "left")
+               .join(ranked.select(F.col("rank").alias("n2"), F.col("hashes").alias("second")), "n2", "left")
+               .select("p", "u", "first", "second"))
     joined = pages.join(partner, F.col("page_id").eqNullSafe(F.col("p")) & F.col("url").eqNullSafe(F.col("u")), "left")
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()),
                      ("n_lines", pa.int64()), ("n_shared", pa.int64())])
 
     def run(batches):
         for batch in steps(batches, "html"):
-            got = [main_text(h, p) for h, p in zip(batch.column("html").to_pylist(), batch.column("partner").to_pylist(),
-                                                   strict=True)]
+            got = [main_text(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("html", "first", "second")), strict=True)]
             yield rows(out, batch.column("page_id"), batch.column("url"), [g[0] for g in got], [len(g[0]) for g in got],
                        [g[1] for g in got], [g[2] for g in got])
 
-    return joined.select("page_id", "url", "html", "partner").mapInArrow(
+    return joined.select("page_id", "url", "html", "first", "second").mapInArrow(
         run, "page_id bigint, url string, text string, n_chars bigint, n_lines bigint, n_shared bigint")

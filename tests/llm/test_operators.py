@@ -335,6 +335,21 @@ def test_page_lines():
     assert page_diff.main_text(first, page_diff.line_hashes(page_diff.lines(first)))[0].count("\n") == 3  # a copy
 
 
+def test_page_template_by_evidence():
+    def hashes(html):
+        return page_diff.line_hashes(page_diff.lines(html))
+
+    article = "<article><h1>{0}</h1><p>Read more</p><p>body of {0}</p></article>"
+    a, b, c = (article.format(x) for x in ("one", "two", "three"))
+    assert page_diff.main_text(a, hashes(b), hashes(c)) == ("one\nbody of one", 3, 1)  # template in declared content
+    assert page_diff.main_text(a, hashes(a), hashes(c)) == ("one\nbody of one", 3, 1)  # a mirrored copy is no evidence
+    assert page_diff.main_text(a, hashes(a), hashes(a)) == ("one\nRead more\nbody of one", 3, 0)
+    assert page_diff.main_text(a, hashes(a.replace("Read", "Learn")), hashes(c))[0].endswith("body of one")  # near copy
+    menu = "<div>" + "</div><div>".join(f"menu entry number {i}" for i in range(18)) + "</div>"
+    short = [menu + f"<p>{'text ' * 40}{i}</p>" for i in range(3)]
+    assert page_diff.main_text(short[0], hashes(short[1]), hashes(short[2])) == ("text " * 40 + "0", 19, 18)
+
+
 def test_page_pairs(spark):
     menu = "<div>Start</div><div>News {0}</div><p>{1}</p>"
     rows = [(i, f"https://h{i % 2}.example.org/p/{i}?x=1", menu.format(i % 2, f"text {i} " * 9), "clash") for i in range(40)]
