@@ -1,6 +1,6 @@
 """Forecasting operators: historical-mean baselines (A2, A3, J1), residual spread
 (A12, A13), model scoring and selection (M15, O5), validation report (A10, A14,
-A15, O2, M17), and Spark ML forecasters (M5-M9, M16) plus a grouped pandas
+A15, O2, M17), and Spark ML forecasters (M5-M9) plus a grouped pandas
 forecaster (F2).
 
 Forecasts are made per demand group, so their inputs are already aggregated

@@ -1,5 +1,5 @@
 """Registered queries: plan evaluation against the historical-mean baseline
-(E1-E3, J8, W5), Spark ML forecasters (M5-M9, M15, M16), the grouped
+(E1-E3, J8, W5), Spark ML forecasters (M5-M9, M15), the grouped
 forecaster (F2) and sources/sinks (S1, S3, S4, S5)."""
 
 from __future__ import annotations
@@ -139,7 +139,7 @@ def q_feature_importance(spark, sf_dir):
 
 
 @register("ml_model_selection", "model:string, items:long, nv_cost:double, pct_vs_baseline:double, winner:bool",
-          None, ops="M15 M16 M5 M6 M7 M11 O5")
+          None, ops="M15 M5 M6 M7 M11 O5")
 def q_ml_model_selection(spark, sf_dir):
     _, gp, _, fp, rp, tr, te = _ml_predictions(spark, sf_dir)
     keys = ["year", *KEYS]
