@@ -268,12 +268,19 @@ def first_emissions(sizes: DataFrame, counts: Counts, states: int) -> Emissions:
                      1 / counts.total / norm)
 
 
-def next_emissions(sizes: DataFrame, counts: Counts, expected: DataFrame, totals: np.ndarray) -> Emissions:
-    """Expected counts smoothed by the corpus distribution."""
-    share = F.col("size") / counts.total
-    e = F.array(*[(F.coalesce(f"v{j}", F.lit(0.0)) + PRIOR * share) / (float(t) + PRIOR) for j, t in enumerate(totals)])
-    return Emissions(sizes.join(expected, "k", "left").select("k", "size", e.alias("e")),
-                     PRIOR / counts.total / (totals + PRIOR))
+def next_emissions(sizes: DataFrame, counts: Counts, expected: DataFrame, totals: np.ndarray, classes: int | None) -> Emissions:
+    """Expected counts smoothed by the corpus distribution.  Without classes a word's
+    counts are raised from c to c + 1 and the unseen symbol gets one count, dealt to the
+    states by their tokens, as in the corpus shares."""
+    states = len(totals)
+    grown = F.lit(1.0) if classes else F.col("size") / (F.col("size") - 1)
+    mass = sizes.join(expected, "k", "left").select(
+        "k", "size", *[(F.coalesce(f"v{j}", F.lit(0.0)) * grown).alias(f"v{j}") for j in range(states)])
+    rest = np.zeros(states) if classes else totals / max(1, counts.tokens)
+    if not classes:
+        totals = np.array([x or 0.0 for x in mass.agg(*[F.sum(f"v{j}") for j in range(states)]).first()]) + rest
+    e = F.array(*[(F.col(f"v{j}") + PRIOR * F.col("size") / counts.total) / (float(t) + PRIOR) for j, t in enumerate(totals)])
+    return Emissions(mass.select("k", "size", e.alias("e")), (rest + PRIOR / counts.total) / (totals + PRIOR))
 
 
 def _with_emissions(table: DataFrame, emissions: Emissions, classes: int | None, kind: str) -> DataFrame:
@@ -361,7 +368,7 @@ def train(table: DataFrame, counts: Counts, sizes: DataFrame, states: int = STAT
         history.append(tail[states + 1, 0])
         move, start = tail[:states] + 1.0, tail[states] + 1.0
         start, move = start / start.sum(), move / move.sum(axis=1, keepdims=True)
-        emissions = next_emissions(sizes, counts, sums.where("row = 0").drop("row"), totals)
+        emissions = next_emissions(sizes, counts, sums.where("row = 0").drop("row"), totals, classes)
     return start, move, emissions, history
 
 

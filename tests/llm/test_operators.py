@@ -157,6 +157,10 @@ def test_hmm_trains_on_uncut_texts(spark, classes):
     loglik, found = hmm_first_pass(table, counts, sizes, 2, classes)
     assert np.isclose(history[0], loglik, rtol=1e-5)
     size = {r.k: r["size"] for r in sizes.collect()}
+    if not classes:  # one count more for each word, and one for all unseen ones
+        rest = sum(found.values()) / counts.tokens
+        found = {k: x * size[k] / (size[k] - 1) if k in size else x for k, x in found.items()} | {None: rest}
+        assert np.allclose(emissions.unseen, (rest + hmm_lm.PRIOR / counts.total) / (sum(found.values()) + hmm_lm.PRIOR), rtol=1e-3)
     total = sum(found.values())
     for r in emissions.table.collect():
         want = (found[r.k] + hmm_lm.PRIOR * size[r.k] / counts.total) / (total + hmm_lm.PRIOR)
