@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlab.llm import (
-    decontaminate, hmm_lm, lang_id, mixing, near_dup, page_diff, quality, secret_scan, tool_calls, url_filter,
+    bpe, decontaminate, hmm_lm, lang_id, lexical_search, mixing, near_dup, page_diff, quality, secret_scan, spelling,
+    tool_calls, url_filter,
 )
 from orderlab.llm.common import read_table
 
@@ -63,6 +64,18 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(read_table(spark, sf_dir, "documents"))
+
+
+def op12_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read_table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 OP10_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -100,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_bpe_encode_decode": op12_bpe_encode_decode,
+    "op13_ranked_lexical_search": op13_ranked_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -107,4 +123,5 @@ ORACLES: dict[str, str] = {
     "op5_mixing_sources": mixing.sample_sql(),
     "op9_url_filters": url_filter.PAGES_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
+    "op13_ranked_lexical_search": lexical_search.SQL,
 }
