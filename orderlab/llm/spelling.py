@@ -230,7 +230,8 @@ def search_shard(table: pa.Table) -> pa.Table:
     index = Index(flat[_ranges((ends - lens)[indexed], lens[indexed])], lens[indexed])
     # an index word counts for the half by which it is here
     by_half = np.unique(word[as_index] << 32 | half[as_index])
-    rows_q, rows_h = word[as_query], half[as_query].astype(np.int64)
+    own = np.unique(word[as_query] << 32 | half[as_query])  # two blocks of a half may be in one shard
+    rows_q, rows_h = own >> 32, own & 0xFFFFFFFF
     out_q, out_w = [], []
     for lo in range(0, len(rows_q), CHUNK):
         q, h = rows_q[lo:lo + CHUNK], rows_h[lo:lo + CHUNK]
