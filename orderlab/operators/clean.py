@@ -136,8 +136,9 @@ def clean_audit(raw: DataFrame, category_rules: R.CategoryRules = R.REFERENCE_CA
 
 
 def normalize_strings(df: DataFrame) -> DataFrame:
-    """Trim + lower every string column, driven by the schema."""
-    return df.select(*[F.lower(F.trim(F.col(f.name))).alias(f.name)
+    """Trim (all white space, tabs and line ends too) + lower every string column,
+    driven by the schema."""
+    return df.select(*[F.lower(F.regexp_replace(F.col(f.name), r"(?U)^\s+|\s+$", "")).alias(f.name)
                        if isinstance(f.dataType, T.StringType) else F.col(f.name)
                        for f in df.schema.fields])
 

@@ -7,16 +7,18 @@ count).  The SAA cost of an item is convex and piecewise linear in q with kinks
 at the scenario values, so the budget-constrained optimum is a fractional
 knapsack over kink intervals ranked by benefit per dollar:
 
-1. per item, intervals above MOQ with ratio = -slope / unit_cost (array
-   functions on the item row: no shuffle);
+1. per item, intervals above MOQ with ratio = -slope / unit_cost (one walk along the
+   sorted scenarios on the item row: no shuffle, linear in their number);
 2. per budget key and distinct ratio, the spend of all intervals (partial
    aggregation: the table has one row per distinct ratio, not per item);
 3. a two-level prefix sum along falling ratios (ranges of ratios, then the one
    range where the budget runs out) finds the cut ratio (= shadow price) and the
    share of the cut bucket that fits; one method at every size;
-4. the cut, one row per budget key, is broadcast: intervals above it are taken in
-   full, the cut bucket by the same share (ties share equally), the rest not at
+4. the cut, one row per budget key, is broadcast to the items: intervals above it are
+   taken in full, the cut bucket by the same share (ties share equally), the rest not at
    all, so the intervals are never shuffled on a season or a ratio.
+
+A second budget, a cap on units, is priced by bisection around the same cut.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from orderlab.functions.newsvendor import nv_cost
 
 RATIO_DIGITS = 10
 RATIO_STEPS = 512        # ratio ranges per doubling in the first level of the cut's prefix sum
+MONEY = "decimal(30,9)"  # exact sums of spend
 HASH_PREFIX = 3          # md5 hex prefix length: 4096 first-level buckets for the unit tie-break
 
 
@@ -86,19 +89,26 @@ def project_budget(items: DataFrame, q: str, budgets: DataFrame, bkeys, moq: int
 
 # ---------------------------------------------------------------- intervals
 
+def interval_array(moq: int) -> Column:
+    """Kink intervals above MOQ with positive benefit, as array<struct<a, length, benefit,
+    ratio>> on the item row: one walk along the sorted scenarios.  Before scenario i, i
+    scenarios are met, so the slope needs no count (duplicates give empty intervals)."""
+    m, n = F.lit(float(moq)), F.size("d")
+
+    def interval(i):
+        a = F.greatest(m, F.coalesce(F.get(F.col("d"), i - 1), m))
+        benefit = -(F.col("co") * i - F.col("cu") * (n - i)) / n
+        return F.struct(a.alias("a"), (F.get(F.col("d"), i) - a).alias("length"), F.round(benefit, RATIO_DIGITS).alias("benefit"),
+                        F.round(benefit / F.col("unit_cost"), RATIO_DIGITS).alias("ratio"))
+
+    places = F.filter(F.sequence(F.lit(0), n), lambda i: i < n)
+    return F.filter(F.transform(places, interval), lambda x: (x["length"] > 0) & (x["ratio"] > 0))
+
+
 def continuous_intervals(items: DataFrame, moq: int) -> DataFrame:
     """Kink intervals above MOQ with positive benefit per dollar (one row each)."""
-    m = F.lit(float(moq))
-    pts = F.array_sort(F.array_distinct(F.concat(F.array(m), F.filter("d", lambda x: x > m))))
-    iv = items.withColumn("_pts", pts).withColumn(
-        "_iv", F.explode(F.filter(F.sequence(F.lit(0), F.size("_pts") - 1), lambda i: i < F.size("_pts") - 1)))
-    a, b = F.get(F.col("_pts"), F.col("_iv")), F.get(F.col("_pts"), F.col("_iv") + 1)
-    k = F.size(F.filter("d", lambda x: x <= a))
-    n = F.size("d")
-    slope = (F.col("co") * k - F.col("cu") * (n - k)) / n
-    return (iv.select("*", a.alias("a"), (b - a).alias("length"),
-                      F.round(-slope / F.col("unit_cost"), RATIO_DIGITS).alias("ratio"))
-            .filter(F.col("ratio") > 0).drop("_pts", "_iv"))
+    return (items.withColumn("_iv", F.explode(interval_array(moq)))
+            .select("*", "_iv.a", "_iv.length", "_iv.ratio").drop("_iv"))
 
 
 def unit_runs(items: DataFrame, moq: int) -> DataFrame:
@@ -147,31 +157,40 @@ def cut_per_key(iv: DataFrame, avail: DataFrame, bkeys) -> DataFrame:
     Spend is summed per distinct ratio, then along falling ratios by a two-level
     prefix sum: over ``RATIO_STEPS`` ratio ranges per doubling (a bounded table), and
     inside each range.  The cut is the highest ratio whose bucket does not fit whole
-    (null: all fits), with the share of it that fits."""
-    buckets = (iv.groupBy(*bkeys, "ratio").agg(F.sum(F.col("length") * F.col("unit_cost")).alias("spend"))
+    (null: all fits), with the share of it that fits.  Spend is summed as decimals, so
+    both levels agree to the last digit in whatever order rows arrive, and a budget equal
+    to the spend of whole buckets still finds its cut."""
+    spend = F.sum((F.col("length") * F.col("unit_cost")).cast("decimal(28,9)")).cast(MONEY)
+    buckets = (iv.groupBy(*bkeys, "ratio").agg(spend.alias("spend"))
                .withColumn("_range", F.floor(F.log2("ratio") * RATIO_STEPS)))
+    avail = avail.select(*bkeys, F.col("avail").cast(MONEY).alias("avail"))
     w1 = Window.partitionBy(*bkeys).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ranges = (buckets.groupBy(*bkeys, "_range").agg(F.sum("spend").alias("_rs"))
-              .withColumn("_above", F.coalesce(F.sum("_rs").over(w1), F.lit(0.0))))
+    ranges = (buckets.groupBy(*bkeys, "_range").agg(F.sum("spend").cast(MONEY).alias("_rs"))
+              .withColumn("_above", F.coalesce(F.sum("_rs").over(w1).cast(MONEY), F.lit(0).cast(MONEY))))
     # a range matters only where the budget runs out inside it
-    ranges = (_key_join(ranges, avail.select(*bkeys, "avail"), bkeys)
-              .where((F.col("_above") + F.col("_rs") > F.col("avail"))))
+    ranges = _key_join(ranges, avail, bkeys).where(F.col("_above") + F.col("_rs") > F.col("avail"))
     first = ranges.groupBy(*bkeys).agg(F.max(F.struct("_range", "_above", "avail")).alias("_c")).select(
         *bkeys, F.col("_c._range").alias("_cut_range"), F.col("_c._above").alias("_above"), F.col("_c.avail").alias("avail"))
     w2 = Window.partitionBy(*bkeys).orderBy(F.col("ratio").desc()).rowsBetween(Window.unboundedPreceding, 0)
     inside = (_key_join(buckets, first, bkeys).where(F.col("_range") == F.col("_cut_range"))
-              .withColumn("_cum", F.col("_above") + F.sum("spend").over(w2)))
-    share = F.greatest(F.lit(0.0), (F.col("avail") - (F.col("_cum") - F.col("spend"))) / F.col("spend"))
+              .withColumn("_cum", F.col("_above") + F.sum("spend").over(w2).cast(MONEY)))
+    room = (F.col("avail") - (F.col("_cum") - F.col("spend"))).cast("double")
+    share = F.greatest(F.lit(0.0), room / F.col("spend").cast("double"))
     return (inside.where(F.col("_cum") > F.col("avail"))
             .groupBy(*bkeys).agg(F.max(F.struct("ratio", share.alias("share"))).alias("_c"))
             .select(*bkeys, F.col("_c.ratio").alias("cut_ratio"), F.col("_c.share").alias("cut_share")))
 
 
+def _share(ratio: Column) -> Column:
+    """Share taken of an interval: whole above the cut, the cut's share at it."""
+    return (F.when(F.col("cut_ratio").isNull() | (ratio > F.col("cut_ratio")), 1.0)
+            .when(ratio == F.col("cut_ratio"), F.col("cut_share")).otherwise(0.0))
+
+
 def with_fraction(iv: DataFrame, cut: DataFrame, bkeys) -> DataFrame:
     """Intervals with the fraction taken: whole above the cut, its share at it."""
-    frac = (F.when(F.col("cut_ratio").isNull() | (F.col("ratio") > F.col("cut_ratio")), 1.0)
-            .when(F.col("ratio") == F.col("cut_ratio"), F.col("cut_share")).otherwise(0.0))
-    return _key_join(iv, cut, bkeys, "left").withColumn("frac", frac).drop("cut_ratio", "cut_share")
+    return (_key_join(iv, cut, bkeys, "left").withColumn("frac", _share(F.col("ratio")))
+            .drop("cut_ratio", "cut_share"))
 
 
 def shadow_prices(cut: DataFrame, avail: DataFrame, bkeys) -> DataFrame:
@@ -188,16 +207,98 @@ def allocate(items: DataFrame, budgets: DataFrame, bkeys, moq: int, keys):
 
     Returns (plan, prices): plan = items + ``q``; prices = per budget key the
     shadow price (N11)."""
-    iv = continuous_intervals(items, moq)
     avail = _available(items, budgets, bkeys, moq)
-    cut = cut_per_key(iv, avail, bkeys)
-    taken = (with_fraction(iv, cut, bkeys)
-             .groupBy(*keys).agg(F.sum(F.col("length") * F.col("frac")).alias("_extra")))
-    plan = (items.join(taken, keys, "left")
-            .withColumn("q", F.lit(float(moq)) + F.coalesce(F.col("_extra"), F.lit(0.0))).drop("_extra"))
+    cut = cut_per_key(continuous_intervals(items, moq), avail, bkeys)
+    # the cut, one row per budget key, comes to the items: their intervals stay on the row
+    extra = F.aggregate(F.col("_iv"), F.lit(0.0), lambda acc, x: acc + x["length"] * _share(x["ratio"]))
+    plan = (_key_join(items.withColumn("_iv", interval_array(moq)), cut, bkeys, "left")
+            .withColumn("q", F.lit(float(moq)) + extra).drop("_iv", "cut_ratio", "cut_share"))
     return plan, shadow_prices(cut, avail, bkeys)
 
 
+# ---------------------------------------------------------------- two budgets
+
+def _small(df: DataFrame) -> DataFrame:
+    """One row per budget key (a configuration-sized table) held by the driver between rounds."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def _units_at(steps: DataFrame, prices: DataFrame, bkeys) -> DataFrame:
+    """``prices`` (bkeys, _id, _mu, avail) with the units bought under the money budget when
+    every unit costs ``_mu`` of its benefit."""
+    k = [*bkeys, "_id"]
+    s = (_key_join(steps, prices.select(*bkeys, "_id", "_mu"), bkeys)
+         .withColumn("ratio", F.round((F.col("benefit") - F.col("_mu")) / F.col("unit_cost"), RATIO_DIGITS)).where("ratio > 0"))
+    used = (with_fraction(s, cut_per_key(s, prices.select(*k, "avail"), k), k)
+            .groupBy(*k).agg(F.sum(F.col("length") * F.col("frac")).alias("_used")))
+    return _key_join(prices, used, k, "left").withColumn("_used", F.coalesce("_used", F.lit(0.0)))
+
+
+def allocate_capped(items: DataFrame, budgets: DataFrame, bkeys, moq: int, tol: float = 1e-9, sections: int = 32):
+    """Continuous quantities under a money budget and a cap on units, per budget key
+    (``budgets``: bkeys, budget, unit_cap).
+
+    A price ``mu`` per unit is taken off every benefit; under it the money budget alone is
+    the cut of N6.  Units fall as ``mu`` rises, so the smallest price that keeps the cap is
+    bracketed: ``sections`` prices of all keys are tried in one job, until the bracket is
+    under ``tol`` of the largest benefit.  The plans at both ends of the bracket keep the
+    money budget; their mixture that meets the cap exactly costs at most
+    (bracket width) x (units) more than the optimum.  Returns (plan, prices) with the
+    benefit per extra dollar and per extra unit (0 where a budget does not bind)."""
+    from orderlab.session import cut_lineage
+    x = cut_lineage(items.withColumn("_iv", interval_array(moq)))
+    each = x.select(*bkeys, "unit_cost", F.explode("_iv").alias("_s"))
+    steps = cut_lineage(each.groupBy(*bkeys, "unit_cost", F.col("_s.benefit").alias("benefit")).agg(
+        F.sum("_s.length").alias("length")))
+    least = x.groupBy(*bkeys).agg(F.sum(F.col("unit_cost") * moq).alias("moq_spend"), F.count(F.lit(1)).alias("_n"))
+    top = steps.groupBy(*bkeys).agg(F.max("benefit").alias("_top"))
+    keys = _key_join(_key_join(budgets, least, bkeys), top, bkeys, "left").select(
+        *bkeys, "budget", "unit_cap", "moq_spend", (F.col("budget") - F.col("moq_spend")).alias("avail"),
+        (F.col("unit_cap") - moq * F.col("_n")).alias("_room"), F.coalesce("_top", F.lit(0.0)).alias("_top"))
+    # low: a price under which too many units are bought, high: one that keeps the cap (both 0: none is needed)
+    at = keys.withColumn("_id", F.lit(0)).withColumn("_mu", F.lit(0.0))
+    free = _units_at(steps, at, bkeys).withColumn("_fits", F.col("_used") <= F.col("_room"))
+    state = _small(free.select(*keys.columns, F.lit(0.0).alias("_low"),
+                               F.when(F.col("_fits"), 0.0).otherwise(F.col("_top")).alias("_high")))
+    width = (F.col("_high") - F.col("_low")) > tol * F.greatest(F.col("_top"), F.lit(1e-300))
+    while not state.where(width).isEmpty():
+        grid = F.explode(F.sequence(F.lit(1), F.lit(sections - 1))).alias("_id")
+        at = state.select("*", grid).withColumn("_mu", F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_id") / sections)
+        fits = F.col("_used") <= F.col("_room")
+        found = _units_at(steps, at, bkeys).groupBy(*bkeys).agg(
+            F.max(F.when(~fits, F.col("_mu"))).alias("_l"), F.min(F.when(fits, F.col("_mu"))).alias("_h"))
+        state = _small(_key_join(state, found, bkeys).withColumn("_low", F.coalesce("_l", "_low"))
+                       .withColumn("_high", F.coalesce("_h", "_high")).drop("_l", "_h"))
+    ends = state.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_id")).withColumn(
+        "_mu", F.when(F.col("_id") == 0, F.col("_low")).otherwise(F.col("_high")))
+    k = [*bkeys, "_id"]
+    used = _units_at(steps, ends, bkeys)
+    s = (_key_join(steps, ends.select(*bkeys, "_id", "_mu"), bkeys)
+         .withColumn("ratio", F.round((F.col("benefit") - F.col("_mu")) / F.col("unit_cost"), RATIO_DIGITS)).where("ratio > 0"))
+    cut = _key_join(used, cut_per_key(s, ends.select(*k, "avail"), k), k, "left")
+    both = cut.groupBy(*bkeys).agg(
+        *[F.max(F.when(F.col("_id") == i, F.col(c))).alias(f"{c}{i}") for i in (0, 1)
+          for c in ("_mu", "_used", "cut_ratio", "cut_share")], F.first("_room").alias("_room"), F.first("avail").alias("avail"))
+    # share of the plan at the low price, so that the mixture uses the whole cap
+    mix = F.when((F.col("_used0") > F.col("_room")) & (F.col("_used0") > F.col("_used1")),
+                 F.greatest((F.col("_room") - F.col("_used1")) / (F.col("_used0") - F.col("_used1")), F.lit(0.0))).otherwise(0.0)
+    both = _small(both.withColumn("_mix", mix).withColumn("_ok", (F.col("_room") >= 0) & (F.col("avail") >= 0)))
+
+    def extra(i):
+        r = lambda x: F.round((x["benefit"] - F.col(f"_mu{i}")) / F.col("unit_cost"), RATIO_DIGITS)
+        part = lambda x: (F.when(r(x) <= 0, 0.0).when(F.col(f"cut_ratio{i}").isNull() | (r(x) > F.col(f"cut_ratio{i}")), 1.0)
+                          .when(r(x) == F.col(f"cut_ratio{i}"), F.col(f"cut_share{i}")).otherwise(0.0))
+        return F.aggregate(F.col("_iv"), F.lit(0.0), lambda acc, x: acc + x["length"] * part(x))
+
+    q = F.lit(float(moq)) + F.when(F.col("_ok"), F.col("_mix") * extra(0) + (1 - F.col("_mix")) * extra(1)).otherwise(0.0)
+    plan = _key_join(x, both, bkeys).withColumn("q", q).select(*items.columns, "q")
+    prices = _key_join(state, both.drop("avail", "_room"), bkeys).select(
+        *bkeys, "budget", "unit_cap", "moq_spend", (~F.col("_ok")).alias("infeasible"),
+        F.when(F.col("_ok"), F.coalesce("cut_ratio1", F.lit(0.0))).alias("money_price"),
+        F.when(F.col("_ok"), F.col("_mu1")).alias("unit_price"))
+    return plan, prices
+
+
 def allocate_units(items: DataFrame, budgets: DataFrame, bkeys, moq: int, keys) -> DataFrame:
     """Integer quantities.  Whole runs above the cut; in the cut bucket each
     run takes floor(share * length) units; the leftover budget then buys one

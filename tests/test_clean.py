@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from orderlab.operators.clean import clean_audit, clean_order_lines
+from orderlab.operators.clean import clean_audit, clean_order_lines, normalize_strings
 from orderlab.sources.files import RAW_SCHEMA
 
 ROWS = [
@@ -67,3 +67,8 @@ def test_text_numbers(spark):
     df = spark.createDataFrame([(t,) for t in ("3", " 2.9\t", "nan", "inf", "1e20", "5d", "1e2", "x", None)], "v string")
     got = [(r.q, r.p) for r in df.select(coerce_quantity(df, "v").alias("q"), coerce_price(df, "v").alias("p")).collect()]
     assert got == [(3, 3.0), (2, 2.9), (1, None), (1, None), (1, 1e20), (1, None), (100, 100.0), (1, None), (1, None)]
+
+
+def test_normalize_strings_trims_all_white_space(spark):
+    df = spark.createDataFrame([("2XL\t", 1), ("\n a B\u00a0", 2), ("x y", 3), (None, 4)], "t string, n int")
+    assert [r.t for r in normalize_strings(df).orderBy("n").collect()] == ["2xl", "a b", "x y", None]

@@ -122,3 +122,88 @@ def test_nv_loss_model_learns(spark):
     mean = sum(r.demand for r in out) / len(out)
     loss = lambda q, d: 2 * max(q - d, 0) + 6 * max(d - q, 0)
     assert sum(loss(r.pred, r.demand) for r in out) < sum(loss(mean, r.demand) for r in out)
+
+
+def test_budgets_equal_to_whole_buckets_are_kept(spark):
+    """A budget that is the spend of the best buckets, added in any order, buys those and no more."""
+    rnd = random.Random(9)
+    items, budgets = [], []
+    for key in range(200):
+        spend = []
+        for i in range(12):
+            c, cu = rnd.uniform(0.1, 3), 2.0 + i * rnd.uniform(0.001, 0.01)
+            d = [float(MOQ) + rnd.uniform(0.1, 9)]
+            items.append((f"k{key}", f"i{i}", c, 1.0, cu, d))
+            spend.append((round(cu / c, 10), (d[0] - MOQ) * c, c * MOQ))
+        spend.sort(reverse=True)
+        whole = rnd.randint(1, 11)
+        budgets.append((f"k{key}", sum(x[2] for x in spend) + sum(x[1] for x in rnd.sample(spend[:whole], whole))))
+    it = spark.createDataFrame(items, "season string, item string, unit_cost double, co double, cu double, d array<double>")
+    bud = spark.createDataFrame(budgets, "season string, budget double")
+    plan, prices = PL.allocate(it, bud, ["season"], MOQ, ["season", "item"])
+    over = plan.groupBy("season").agg(F.sum(F.col("unit_cost") * F.col("q")).alias("spend")).join(bud, "season")
+    assert over.where("spend > budget + 1e-6").count() == 0
+    assert over.where("spend < budget - 1e-6").count() == 0
+    assert prices.where("shadow_price <= 0").count() == 0
+
+
+def test_many_scenarios_per_item(spark):
+    """300 scenarios a row (with duplicates) equal a direct evaluation of every kink."""
+    rnd = random.Random(4)
+    rows = []
+    for i in range(20):
+        d = sorted(float(rnd.randint(0, 80)) if rnd.random() < 0.5 else rnd.uniform(0, 80) for _ in range(300))
+        rows.append((f"i{i}", 2.0, 1.5, 4.0, d))
+    it = spark.createDataFrame(rows, "item string, unit_cost double, co double, cu double, d array<double>")
+    got = {}
+    for r in PL.continuous_intervals(it, MOQ).collect():
+        got.setdefault(r.item, []).append((r.a, round(r.length, 9), r.ratio))
+    for item, c, co, cu, d in rows:
+        pts = sorted({float(MOQ), *[x for x in d if x > MOQ]})
+        want = []
+        for a, b in zip(pts, pts[1:]):  # noqa: B905
+            k = sum(x <= a for x in d)
+            ratio = round((cu * (300 - k) - co * k) / 300 / c, 10)
+            if ratio > 0:
+                want.append((a, round(b - a, 9), ratio))
+        assert len(want) == len(got[item])
+        assert all(abs(x - y) < 1e-8 for g, w in zip(sorted(got[item]), want, strict=True) for x, y in zip(g, w, strict=True))
+
+
+def test_money_and_unit_caps_together(spark):
+    """Both budgets are kept, and the cost is the optimum of the linear program (its dual
+    bound at the reported prices)."""
+    rnd = random.Random(21)
+    items, budgets, base = [], [], {}
+    for key in range(30):
+        mine = [(f"k{key}", f"i{i}", rnd.choice([1.0, 2.0, 5.0, rnd.uniform(1, 6)]), rnd.uniform(0.5, 2), rnd.uniform(2, 9),
+                 sorted(rnd.uniform(0, 20) for _ in range(4))) for i in range(6)]
+        items += mine
+        money = sum(x[2] * MOQ for x in mine)
+        budgets.append((f"k{key}", money + rnd.uniform(5, 200), 6 * MOQ + rnd.uniform(2, 70)))
+        base[f"k{key}"] = mine
+    budgets[0] = ("k0", budgets[0][1], 1e6)          # only the money binds
+    budgets[1] = ("k1", 1e6, budgets[1][2])          # only the units bind
+    budgets[2] = ("k2", 1e6, 1e6)                    # neither
+    budgets[3] = ("k3", 1.0, 50.0)                   # not even the MOQ
+    it = spark.createDataFrame(items, "season string, item string, unit_cost double, co double, cu double, d array<double>")
+    bud = spark.createDataFrame(budgets, "season string, budget double, unit_cap double")
+    plan, prices = PL.allocate_capped(it, bud, ["season"], MOQ)
+    rows, price = plan.collect(), {r.season: r for r in prices.collect()}
+    assert len(rows) == len(items) and price["k3"].infeasible
+    assert price["k0"].unit_price == 0 and price["k1"].money_price == 0
+    assert price["k2"].unit_price == 0 and price["k2"].money_price == 0
+    two = 0
+    for key, money, cap in budgets:
+        if key == "k3":
+            continue
+        mine = [r for r in rows if r.season == key]
+        assert sum(r.q * r.unit_cost for r in mine) <= money + 1e-6 and sum(r.q for r in mine) <= cap + 1e-6
+        value = sum(cost(r.q, r.d, r.co, r.cu) for r in mine)
+        lam, mu = price[key].money_price, price[key].unit_price
+        two += lam > 0 and mu > 0
+        bound = -lam * money - mu * cap + sum(
+            min(cost(q, d, co, cu) + (lam * c + mu) * q for q in [MOQ, *[x for x in d if x > MOQ]])
+            for _, _, c, co, cu, d in base[key])
+        assert bound - 1e-6 <= value <= bound + 1e-4
+    assert two > 3
