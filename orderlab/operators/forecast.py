@@ -9,7 +9,7 @@ Forecasts are made per demand group, so their inputs are already aggregated
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,6 +69,74 @@ def score_models(long_preds: DataFrame, model: str = "model", pred: str = "pred"
                     (F.col(model) == F.col("_winner")).alias("winner")))
 
 
+def candidate_forecasts(train: DataFrame, rows: DataFrame, keys=ITEM_KEYS, target: str = "demand") -> DataFrame:
+    """The non-ML candidates of M15 for every row of ``rows``, long (rows + model, pred): the
+    item's mean (Baseline), least-squares trend, last year and median over its train years;
+    items without history get the global mean.  One aggregate and one join for all of them."""
+    year, y = F.col("year").cast("double"), F.col(target).cast("double")
+    fit = train.groupBy(*keys).agg(
+        F.avg(y).alias("_mean"), F.regr_slope(y, year).alias("_slope"), F.regr_intercept(y, year).alias("_icpt"),
+        F.max_by(y, F.col("year")).alias("_last"), F.percentile(y, F.lit(0.5)).alias("_median"))
+    glob = train.agg(F.avg(y).alias("_global"))
+    trend = F.coalesce(F.col("_icpt") + F.col("_slope") * year, F.col("_mean"))
+    models = [("Baseline", F.col("_mean")), ("Trend", trend), ("Last", F.col("_last")), ("Median", F.col("_median"))]
+    each = F.array(*[F.struct(F.lit(n).alias("model"), F.greatest(F.coalesce(c, F.col("_global")), F.lit(0.0)).alias("pred"))
+                     for n, c in models])
+    return (rows.join(fit, list(keys), "left").crossJoin(F.broadcast(glob))  # one row
+            .select(*rows.columns, F.explode(each).alias("_m")).select(*rows.columns, "_m.model", "_m.pred"))
+
+
+def model_sigma(train_preds: DataFrame, target: str = "demand", default: float = 10.0) -> DataFrame:
+    """(base, sigma): population spread of each model's residuals on train rows (0 -> default)."""
+    s = F.stddev_pop(F.col(target) - F.col("pred"))
+    return train_preds.groupBy(F.col("model").alias("base")).agg(s.alias("sigma")).withColumn(
+        "sigma", F.when(F.col("sigma") == 0, default).otherwise(F.col("sigma")))
+
+
+def winner_forecast(scored: DataFrame, sigmas: DataFrame, moq: int, baseline: str = "Baseline",
+                    sigma_from: str | None = None) -> DataFrame:
+    """M15 inside a plan: the rows of the model with the lowest total NV cost (long predictions
+    ``scored`` with model, base, pred, demand, co, cu; ties by name, the baseline only compared),
+    pred floored at MOQ, with the residual spread of that model or of ``sigma_from``.  The
+    choice is a one-row table that is joined back; nothing is collected."""
+    cost = F.sum(nv_cost(F.col("pred"), F.col("demand"), F.col("co"), F.col("cu")))
+    tot = scored.where(F.col("model") != baseline).groupBy(F.col("model").alias("_best")).agg(cost.alias("_c"))
+    best = tot.agg(F.min_by("_best", F.struct("_c", "_best")).alias("_best"))
+    won = scored.join(F.broadcast(best), F.col("model") == F.col("_best")).drop("_best")
+    base = F.col("base") if sigma_from is None else F.lit(sigma_from)
+    return (won.withColumn("_b", base).join(F.broadcast(sigmas.withColumnRenamed("base", "_b")), "_b")  # one row a model
+            .drop("_b").withColumn("pred", F.greatest(F.col("pred"), F.lit(float(moq)))))
+
+
+class GridFit:
+    """Settings of one or more estimators scored by M15.
+
+    ``settings``: (name, estimator, {param: value}) triples.  All fits run on one cached,
+    assembled frame, ``parallelism`` at a time."""
+
+    def __init__(self, settings, features, parallelism: int = 4):
+        self.settings, self.features, self.parallelism = list(settings), list(features), parallelism
+
+    def predictions(self, train: DataFrame, test: DataFrame, floor: float = 0.0) -> DataFrame:
+        """Long test predictions (test + model, pred) of every setting."""
+        from multiprocessing.pool import ThreadPool
+        frame = _assemble(train, self.features).persist()
+        frame.count()
+        rows = _assemble(test, self.features)
+        pool = ThreadPool(self.parallelism)
+        try:
+            fits = pool.map(lambda s: s[1].copy({s[1].getParam(k): v for k, v in s[2].items()}).fit(frame), self.settings)
+        finally:
+            pool.close()
+            frame.unpersist()
+        out = None
+        for (name, _, _), model in zip(self.settings, fits, strict=True):
+            one = model.transform(rows).select(*test.columns, F.lit(name).alias("model"),
+                                               F.greatest(F.col("prediction"), F.lit(floor)).alias("pred"))
+            out = one if out is None else out.unionByName(one)
+        return out
+
+
 def with_errors(df: DataFrame, pred: str = "predicted_order", actual: str = "demand") -> DataFrame:
     e = F.col(pred) - F.col(actual)
     return df.select("*", e.alias("error"), F.abs(e).alias("abs_error"),
@@ -235,7 +303,3 @@ def trend_forecast(groups: DataFrame, train_years, test_years, keys=ITEM_KEYS) -
     return fit.select(*keys, "slope", "icpt", "mean", years).select(
         *keys, "year", F.greatest(F.coalesce(F.col("icpt") + F.col("slope") * F.col("year"), F.col("mean")), F.lit(0.0))
         .alias("pred"))
-
-
-def rank_within(df: DataFrame, part, order) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy(*order)))

@@ -125,16 +125,67 @@ def scenario_cte() -> str:
 
 def model_a_items(spark, sf_dir):
     """Test items (both test years) with J6 costs and their scenario array."""
-    from orderlab.operators.scenarios import normal_scenarios, scenario_arrays
     pred, _, _ = baseline_preds(spark, sf_dir)
+    return items_with_scenarios(spark, pred, S.normal_scenarios(pred, ["year", *KEYS], MOQ))
+
+
+def items_with_scenarios(spark, pred: DataFrame, scen: DataFrame) -> DataFrame:
+    """The items of ``pred`` that have scenarios, with J6 costs and their scenario array."""
     ik = ["year", *KEYS]
-    arr = scenario_arrays(normal_scenarios(pred, ik, MOQ), ik)
-    items = pred.select(*ik, "lifecycle_year", "pred").join(arr, ik)
+    items = pred.select(*ik, "lifecycle_year", "pred").join(S.scenario_arrays(scen, ik), ik)
     items = K.with_costs(items, cost_table(spark), "optimizer")
     # items are reused by every step of an allocation (intervals, MOQ spend, join back)
     return cut_lineage(items.withColumnRenamed("overage_cost", "co").withColumnRenamed("underage_cost", "cu"))
 
 
+# ---------------------------------------------------------------- the winner of M15
+
+def winner_preds(spark, sf_dir) -> DataFrame:
+    """M15 -> M13: test items with the prediction and the sigma of the cheapest candidate."""
+    tr, te = train_test(spark, sf_dir)
+    test = K.strict_scoring_costs(FC.candidate_forecasts(tr, te, KEYS), cost_table(spark)).withColumn("base", F.col("model"))
+    strict = K.resolve_costs(K.item_combos(te), cost_table(spark), "strict", ("overage_cost", "underage_cost"))
+    pto = K.pto_adjust(test.where("model <> 'Baseline'"), K.critical_ratio_table(strict, 0.8))
+    pto = pto.withColumn("pred", F.col("pred_pto")).withColumn("model", F.concat("base", F.lit("+PTO"))).select(*test.columns)
+    sigmas = FC.model_sigma(FC.candidate_forecasts(tr, tr, KEYS))
+    return cut_lineage(FC.winner_forecast(test.unionByName(pto), sigmas, MOQ).drop("base", "co", "cu"))
+
+
+def winner_ctes() -> str:
+    """The same in SQL: forecast_ctes and cost_ctes with ``pr`` holding the winner's predictions."""
+    base = forecast_ctes().replace("    pr AS (SELECT pr0.*", "    prb AS (SELECT pr0.*")
+    trend = "CASE WHEN f.icpt + f.slope * {y}.year IS NULL THEN f.mean ELSE f.icpt + f.slope * {y}.year END"
+
+    def rows(src: str) -> str:
+        models = [("Baseline", "f.mean"), ("Trend", trend.format(y=src)), ("Last", "f.last"), ("Median", "f.median")]
+        return " UNION ALL ".join(
+            f"SELECT {src}.*, '{n}' AS model, greatest(coalesce({c}, gm.g), 0.0) AS pred FROM {src} LEFT JOIN fit f USING ({KEYS_SQL}) "
+            f"CROSS JOIN gm" for n, c in models)
+
+    costs = cost_ctes()
+    costs = costs[:costs.index("sc AS (")].rstrip().rstrip(",")
+    return base + f""",
+    {costs},
+    fit AS (SELECT {KEYS_SQL}, avg(demand) AS mean, regr_slope(CAST(demand AS DOUBLE), CAST(year AS DOUBLE)) AS slope,
+                   regr_intercept(CAST(demand AS DOUBLE), CAST(year AS DOUBLE)) AS icpt, CAST(arg_max(demand, year) AS DOUBLE) AS last,
+                   CAST(quantile_cont(CAST(demand AS DOUBLE), 0.5) AS DOUBLE) AS median FROM tr GROUP BY ALL),
+    cand0 AS ({rows('te')}),
+    cand1 AS (SELECT c.*, c.model AS base, CASE WHEN j.overage_cost IS NULL OR j.underage_cost IS NULL THEN 1.0 ELSE j.overage_cost END AS co,
+                     CASE WHEN j.overage_cost IS NULL OR j.underage_cost IS NULL THEN 1.0 ELSE j.underage_cost END AS cu
+              FROM cand0 c LEFT JOIN j7 j ON c.product_category IS NOT DISTINCT FROM j.product_category
+                                         AND c.lifecycle_year IS NOT DISTINCT FROM j.period),
+    cand AS (SELECT * FROM cand1 UNION ALL
+             SELECT c.* REPLACE (c.base || '+PTO' AS model, greatest(c.pred * coalesce(t.safety_factor, 1.0), 0.0) AS pred)
+             FROM cand1 c LEFT JOIN crt t ON c.product_category IS NOT DISTINCT FROM t.product_category
+                                         AND c.lifecycle_year IS NOT DISTINCT FROM t.period WHERE c.base <> 'Baseline'),
+    best AS (SELECT model FROM cand WHERE model <> 'Baseline' GROUP BY model
+             ORDER BY sum(co * greatest(pred - demand, 0) + cu * greatest(demand - pred, 0)), model LIMIT 1),
+    csig AS (SELECT model AS base, CASE WHEN stddev_pop(demand - pred) = 0 THEN 10.0 ELSE stddev_pop(demand - pred) END AS sigma
+             FROM ({rows('tr')}) GROUP BY 1),
+    pr AS (SELECT c.* EXCLUDE (base, co, cu, pred), greatest(c.pred, {float(MOQ)}) AS pred, s.sigma
+           FROM cand c JOIN best USING (model) JOIN csig s USING (base))"""
+
+
 def season_budgets(items, budget: float | None = None):
     b = CONFIG.budget if budget is None else budget
     return items.select("season").distinct().withColumn("budget", F.lit(float(b)))

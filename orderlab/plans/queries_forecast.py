@@ -158,6 +158,30 @@ def q_ml_model_selection(spark, sf_dir):
     return FC.score_models(scored.unionByName(pto))
 
 
+# Overrides of the default settings; few trees, since every setting is a fit of its own.
+GRID = [("Ridge alpha=0.1", "ridge", 0.1), ("Ridge alpha=1", "ridge", 1.0), ("Ridge alpha=100", "ridge", 100.0),
+        ("Forest depth=3", "forest", {"maxDepth": 3}), ("Forest depth=6", "forest", {"maxDepth": 6}),
+        ("Forest depth=4 sample=0.5", "forest", {"subsamplingRate": 0.5})]
+
+
+@register("settings_grid", "model:string, items:long, nv_cost:double, pct_vs_baseline:double, winner:bool", None, ops="M16 M15 O5")
+def q_settings_grid(spark, sf_dir):
+    """Several hyperparameter settings, each scored by its asymmetric cost on the test years."""
+    from orderlab.operators import demand as D
+    tr, te = _ml_frames(spark, sf_dir)
+    trz, tez = D.standardize(tr, tr, FEATURES), D.standardize(tr, te, FEATURES)
+    forest = FC.forest(trees=20)
+    settings = [(n, FC.ridge(trz, FEATURES, v), {}) if kind == "ridge" else (n, forest, v) for n, kind, v in GRID]
+    keys = ["year", *KEYS]
+    base = FC.baseline_predict(tr.select(*KEYS, "demand"), te.select(*keys, "lifecycle_year", "demand"), KEYS)
+    longp = FC.GridFit(settings, FEATURES).predictions(trz, tez)
+    cols = [*keys, F.col("lifecycle_year"), "demand", "pred", "model"]
+    lifecycle = F.when(F.col("year") == Y1, 1).otherwise(2)  # the standardised column is a feature now
+    longp = longp.withColumn("lifecycle_year", lifecycle).select(*cols)
+    base = base.withColumn("lifecycle_year", lifecycle).withColumn("model", F.lit("Baseline")).select(*cols)
+    return FC.score_models(K.strict_scoring_costs(longp.unionByName(base), cost_table(spark)))
+
+
 @register("nv_loss_model", "year:long, season:string, product_category:string, gender_age:string, size:string, "
           "demand:double, pred:double", None, ops="M8")
 def q_nv_loss_model(spark, sf_dir):

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from orderlab.operators import costs as K
 from orderlab.operators import plan as PL
-from orderlab.plans.common import MOQ, with_lines
-from orderlab.plans.forecast_inputs import (CONFIG, IK_SQL, KEYS, cost_ctes, cost_table, forecast_ctes, item_join,
-                                            model_a_ctes, model_a_items, season_budgets, units_ctes)
+from orderlab.operators import scenarios as S
+from orderlab.plans.common import MOQ, TRAIN, with_lines
+from orderlab.plans.forecast_inputs import (CONFIG, IK_SQL, KEYS, KEYS_SQL, baseline_preds, cost_ctes, cost_table,
+                                            forecast_ctes, item_join, items_with_scenarios, model_a_ctes, model_a_items,
+                                            scenario_cte, season_budgets, units_ctes, winner_ctes, winner_preds)
 from orderlab.plans.registry import register
 
 IK = ["year", *KEYS]
@@ -289,3 +291,84 @@ def q_plan_check(spark, sf_dir):
                                        F.count_if(q < MOQ).alias("below_moq"), F.count_if(q < 0).alias("negative"),
                                        F.count_if(q != F.floor(q)).alias("non_integer"))
             .join(bud, "season").withColumn("within_budget", F.col("spend") <= F.col("budget") + 1e-6))
+
+
+# ---------------------------------------------------------------- plans from other forecasts
+
+PLAN_SQL = f""" SELECT {', '.join('p.' + k for k in IK)}, p.pred, p.unit_cost, p.q,
+                 avg(p.co * greatest(p.q - s.demand, 0) + p.cu * greatest(s.demand - p.q, 0)) AS saa_cost
+                 FROM alloc p JOIN scen s ON {item_join('p', 's')} GROUP BY ALL"""
+
+
+@register("winner_scenarios", ITEMY + ", model:string, pred:double, sigma:double, scenario_id:long, scenario_demand:double",
+          lambda: with_lines(winner_ctes(), scenario_cte()) + f" SELECT {', '.join('p.' + k for k in IK)}, p.model, p.pred, p.sigma, "
+          f"s.scenario_id, s.demand AS scenario_demand FROM pr p JOIN scen s ON {item_join('p', 's')}",
+          ops="M15 M13 O5")
+def q_winner_scenarios(spark, sf_dir):
+    pred = winner_preds(spark, sf_dir)
+    scen = S.normal_scenarios(pred, [*IK, "model", "pred", "sigma"], MOQ)
+    return scen.withColumnRenamed("demand", "scenario_demand")
+
+
+@register("winner_plan", ITEMY + ", pred:double, unit_cost:double, q:double, saa_cost:double",
+          lambda: with_lines(winner_ctes(), model_a_ctes()) + PLAN_SQL, ops="M15 M13 N6")
+def q_winner_plan(spark, sf_dir):
+    """The winner's scenarios through the budget allocation."""
+    pred = winner_preds(spark, sf_dir)
+    it = items_with_scenarios(spark, pred, S.normal_scenarios(pred, IK, MOQ))
+    plan, _ = PL.allocate(it, season_budgets(it), ["season"], MOQ, IK)
+    return plan.select(*IK, "pred", "unit_cost", "q", PL.saa_cost(F.col("q")).alias("saa_cost"))
+
+
+def _history_sql() -> str:
+    scen = f"""scen AS (SELECT te.year, {', '.join('te.' + k for k in KEYS)}, tr.year AS scenario_id, CAST(tr.demand AS DOUBLE) AS demand
+             FROM te JOIN tr USING ({KEYS_SQL}))"""
+    known = forecast_ctes().replace("FROM pr0 CROSS JOIN sg)", f"FROM pr0 SEMI JOIN tr USING ({KEYS_SQL}) CROSS JOIN sg)")
+    return with_lines(known, cost_ctes(), model_a_ctes().replace(scenario_cte(), scen)) + PLAN_SQL
+
+
+@register("history_saa_plan", ITEMY + ", pred:double, unit_cost:double, q:double, saa_cost:double", _history_sql, ops="M14 N3 N6")
+def q_history_saa_plan(spark, sf_dir):
+    """M14 into N6: each test item's train years are its scenarios (items without history have none)."""
+    pred, tr, _ = baseline_preds(spark, sf_dir)
+    past = S.empirical_scenarios(tr, KEYS, TRAIN)
+    scen = pred.select(*IK).join(past, KEYS).select(*IK, "scenario_id", "demand")
+    it = items_with_scenarios(spark, pred, scen)
+    plan, _ = PL.allocate(it, season_budgets(it), ["season"], MOQ, IK)
+    return plan.select(*IK, "pred", "unit_cost", "q", PL.saa_cost(F.col("q")).alias("saa_cost"))
+
+
+# ---------------------------------------------------------------- caps on units
+
+UNIT_LEVELS = [("money", CONFIG.budget, 1e9), ("units", 1e9, 3000.0)]
+
+
+def _unit_cap_sql() -> str:
+    """The two cases in which one budget binds: money as in N6, units as N6 with unit cost 1."""
+    money, cap = UNIT_LEVELS[0][1], UNIT_LEVELS[1][2]
+    cost = "avg(p.co * greatest(p.q - s.demand, 0) + p.cu * greatest(s.demand - p.q, 0))"
+    return A(model_a_ctes(money, "_m", base=False)[2:].lstrip()) + f""",
+    ivu AS (SELECT *, round(-((co * k - cu * (n - k)) / n), 10) AS benefit FROM ivr),
+    uav AS (SELECT season, {cap!r} - count(*) * {M} AS room FROM ai GROUP BY 1),
+    uw AS (SELECT b.*, u.room, sum(units) OVER (PARTITION BY season ORDER BY benefit DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+           FROM (SELECT season, benefit, sum(length) AS units FROM ivu GROUP BY ALL) b JOIN uav u USING (season)),
+    ucap AS (SELECT season, benefit, CASE WHEN room < 0 THEN 0.0 WHEN cum <= room THEN 1.0
+                    WHEN cum - units >= room THEN 0.0 ELSE (room - (cum - units)) / units END AS frac FROM uw),
+    allocu AS (SELECT ai.*, {M} + coalesce(x.extra, 0.0) AS q FROM ai LEFT JOIN
+               (SELECT {IK_SQL}, sum(length * frac) AS extra FROM ivu JOIN ucap USING (season, benefit) GROUP BY ALL) x USING ({IK_SQL})),
+    both_ AS (SELECT 'money' AS binding, p.season, p.unit_cost, p.q, {cost} AS c FROM alloc_m p JOIN scen s ON {item_join('p', 's')}
+              GROUP BY p.year, {', '.join('p.' + k for k in KEYS)}, p.unit_cost, p.q
+              UNION ALL SELECT 'units', p.season, p.unit_cost, p.q, {cost} FROM allocu p JOIN scen s ON {item_join('p', 's')}
+              GROUP BY p.year, {', '.join('p.' + k for k in KEYS)}, p.unit_cost, p.q)
+    SELECT binding, season, sum(unit_cost * q) AS spend, sum(q) AS units, sum(c) AS objective FROM both_ GROUP BY ALL"""
+
+
+@register("unit_cap_what_if", "binding:string, season:string, spend:double, units:double, objective:double", _unit_cap_sql, ops="N12 N6")
+def q_unit_cap_what_if(spark, sf_dir):
+    it, _ = _items(spark, sf_dir)
+    lv = spark.createDataFrame(UNIT_LEVELS, "binding string, budget double, unit_cap double")
+    itl = it.crossJoin(F.broadcast(lv.select("binding")))  # levels: a short parameter list
+    bud = itl.select("binding", "season").distinct().join(F.broadcast(lv), "binding")
+    plan, _ = PL.allocate_capped(itl, bud, ["binding", "season"], MOQ)
+    return plan.groupBy("binding", "season").agg(
+        F.sum(F.col("unit_cost") * F.col("q")).alias("spend"), F.sum("q").alias("units"), F.sum(PL.saa_cost(F.col("q"))).alias("objective"))
