@@ -16,16 +16,18 @@ fewer words, the whole sequence).  Documents with Jaccard similarity >= ``percen
    a linked pair can differ in, of which a linked pair must share one.  The key also
    holds a size class (each document is in two neighbouring ones), since linked sets
    have similar sizes.
-3. *Candidates.*  In each band bucket every member is paired with hubs only, never
-   with all others: first with the member that has the most company over all its
-   buckets.  After the linked pairs are merged into components, buckets whose members
-   are still in different components get more hubs (members outside the bucket's
-   largest component, four times as many each round) until every pair of different
-   components has been compared or excluded.  Excluded are pairs whose overlap cannot
-   reach the bound, because too many shingles of one occur in no other member of such
-   a bucket: this settles a variant that matches nothing without comparing it.  So no
-   link between components is lost and nothing is capped; a bucket of mutual copies
-   costs one comparison per member.
+3. *Candidates.*  In each band bucket every member is paired with one hub, the member
+   that has the most company over all its buckets, never with all others.  After the
+   linked pairs are merged into components, two linked members of a bucket that are still
+   apart differ from its hub h alike: with D(x) the shingles in which x and h differ,
+   |D(a) & D(b)| = (|D(a)| + |D(b)| - |a ^ b|) / 2, which the bound on |a ^ b| makes at
+   least one unless both are linked to h.  So the members of split buckets are keyed by
+   the differences from their hub, by a prefix filter: the rarest ones first, as many as
+   the smallest overlap that a partner needs leaves (``_apart``).  A pair comes up only
+   where its sizes and the differences that are not its own alone can reach the overlap.
+   Before that, members of which too many shingles occur nowhere else in such buckets are
+   left out.  No link between components is lost, nothing is capped, and a group of
+   variants costs no comparison of all its pairs; copies cost one each.
 4. *Estimate.*  Pairs whose collision-corrected Jaccard estimate is more than
    ``SLACK`` below the bound are dropped (about 5 standard errors).  Pairs with a set
    of at most ``SMALL`` shingles are all verified.
@@ -34,8 +36,8 @@ fewer words, the whole sequence).  Documents with Jaccard similarity >= ``percen
 
 Edge cases: null, empty and blank texts have an empty set and are linked with
 nothing; a row with a null ``doc_id`` is linked with nothing and has a null component;
-rows that repeat a ``doc_id`` are each grouped by their own text; extra columns are
-left alone; an empty table gives an empty result.
+rows that repeat a ``doc_id`` are each grouped, kept or dropped by their own text; extra
+columns are left alone; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -59,9 +61,9 @@ SLACK = 0.14
 PREFIX = 128       # shingles
 SMALL = 64         # shingles; a sketch says no more about such a set than the set itself
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("registers", pa.binary()),
+SKETCH = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("registers", pa.binary()),
                     ("small", pa.binary())])
-SKETCH_DDL = "doc_id bigint, n bigint, fp binary, registers binary, small binary"
+SKETCH_DDL = "doc_id bigint, hash bigint, n bigint, fp binary, registers binary, small binary"
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -240,10 +242,10 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
             reg = sketch(bounds, keys)
             fp = [xxhash.xxh3_128_digest(keys[lo:hi].tobytes()) if hi > lo else None
                   for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield rows(SKETCH, batch.column("doc_id").cast(pa.int64()), np.diff(bounds), fp, [r.tobytes() for r in reg],
+            yield rows(SKETCH, batch.column("doc_id"), batch.column("hash"), np.diff(bounds), fp, [r.tobytes() for r in reg],
                        smallest(bounds, keys, percent))
 
-    return docs.select("doc_id", "text").mapInArrow(run, SKETCH_DDL)
+    return docs.select("doc_id", "hash", "text").mapInArrow(run, SKETCH_DDL)
 
 
 def _bands(reps: DataFrame, percent: int) -> DataFrame:
@@ -278,9 +280,8 @@ def _near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs confirmed on the full shingle sets of their two documents."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+def _set_rows(width: int):
+    """Task function: (id, text) to (id, packed shingle hashes)."""
     set_schema = pa.schema([("id", pa.int64()), ("keys", pa.binary())])
 
     def sets(batches):
@@ -289,7 +290,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             yield rows(set_schema, batch.column("id"),
                        [keys[lo:hi].tobytes() for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)])
 
-    one = texts.join(ids, "id").select("id", "text").mapInArrow(sets, "id bigint, keys binary")
+    return sets
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs confirmed on the full shingle sets of their two documents."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    one = texts.join(ids, "id").select("id", "text").mapInArrow(_set_rows(width), "id bigint, keys binary")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def confirm(batches):
@@ -348,19 +355,75 @@ def _alone(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
              .groupBy("id").agg(F.count("*").alias("alone")))
 
 
-def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest id with the same set), component_id,
-    kept, one row per document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _apart(todo: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, links) of the members of split buckets; ``todo``: hub, id, n, c (component).
+
+    With |a ^ b| <= (1-t)/(1+t) (|a|+|b|) for linked sets, D(a) and D(b) share at least half
+    of |D(a)| + |D(b)| less that; and since |D(b)| is no smaller than what they share and
+    |b| <= |a| / t, at least |D(a)| - (1-t)/t |a|: the prefix of D(a) is what that leaves."""
+    met = todo.select("id").union(todo.select("hub")).distinct()
+    one = materialize(texts.join(met, "id").select("id", "text").mapInArrow(_set_rows(width), "id bigint, keys binary"), "sets")
+    out = pa.schema([("hub", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("nd", pa.int64()),
+                     ("linked", pa.bool_()), ("diff", pa.list_(pa.int64()))])
+
+    def differ(batches):
+        for batch in batches:
+            for part in (batch.slice(lo, 512) for lo in range(0, batch.num_rows, 512)):
+                diff, linked = [], []
+                for own, hub in zip(part.column("own"), part.column("other"), strict=True):
+                    x, h = np.frombuffer(own.as_buffer(), np.uint64), np.frombuffer(hub.as_buffer(), np.uint64)
+                    d = np.setxor1d(x, h, assume_unique=True)
+                    diff.append(d.view(np.int64))
+                    linked.append((100 + percent) * len(d) <= (100 - percent) * (len(x) + len(h)))
+                yield rows(out, *[part.column(k) for k in ("hub", "id", "n", "c")], [len(d) for d in diff], linked, diff)
+
+    d = materialize(todo.join(one.toDF("id", "own"), "id").join(one.toDF("hub", "other"), "hub")
+                    .select("hub", "id", "n", "c", "own", "other")
+                    .mapInArrow(differ, "hub bigint, id bigint, n bigint, c bigint, nd bigint, linked boolean, diff array<bigint>"),
+                    "differences")
+    links = d.where("linked").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    each = d.select("hub", "id", "n", "c", "nd", F.explode("diff").alias("key"))
+    df = each.groupBy("hub", "key").agg(F.count("*").alias("df")).where("df > 1")
+    least = F.greatest(F.col("nd") - F.floor(F.lit(100 - percent) * F.col("n") / percent), F.lit(1))
+    common = each.join(df, ["hub", "key"])
+    mine = Window.partitionBy("hub", "id")       # the differences of one text
+    common = (common.withColumn("reach", F.count("*").over(mine)).where(F.col("reach") >= least)
+              .withColumn("at", F.row_number().over(mine.orderBy("df", "key")) + F.col("nd") - F.col("reach"))
+              .where(F.col("at") <= F.col("nd") - least + 1))
+    size = d.groupBy("hub", "c").agg(F.count("*").alias("size"))
+    main = size.groupBy("hub").agg(F.max_by("c", F.struct("size", "c")).alias("main"))
+    keyed = materialize(common.join(main, "hub").select("hub", "key", "id", "n", "c", "nd", "reach", (F.col("c") == F.col("main")).alias("inner")),
+                        "keys")
+    other = keyed.toDF("hub", "key", "ido", "no", "co", "ndo", "reacho", "innero")
+    pairs = (keyed.where("not inner").join(other, ["hub", "key"])
+             .where("c <> co and (innero or id < ido)")
+             .where(f"100 * least(n, no) >= {percent} * greatest(n, no)")
+             .where(f"{2 * (100 + percent)} * least(reach, reacho) >= {100 + percent} * (nd + ndo) - {100 - percent} * (n + no)")
+             .select(F.least("id", "ido").alias("a"), F.greatest("id", "ido").alias("b")).distinct())
+    return pairs, links
+
+
+def _text_hash():
+    """Tells the texts of rows with one id apart."""
+    return F.xxhash64("text")
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, hash (of the text), n_shingles, class_id, component_id, kept."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("hash"), "text")
     sk = materialize(sketches(docs, width, percent), "sketches")
-    classes = sk.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"))
-    all_reps = materialize(sk.join(classes, "fp").where("doc_id = id").dropDuplicates(["id", "fp"])
+    # classes of equal sets with numbers of their own; ``first`` is the row that stands for one
+    classes = sk.where("fp is not null and doc_id is not null").groupBy("fp").agg(
+        F.min(F.struct("doc_id", "hash")).alias("first"))
+    classes = materialize(classes.select("fp", "first.*").withColumn("id", F.monotonically_increasing_id()), "classes")
+    all_reps = materialize(sk.join(classes, ["fp", "doc_id", "hash"]).dropDuplicates(["fp", "doc_id", "hash"])
                            .select("id", "n", "registers", "small"), "representatives")
     bands = _bands(all_reps, percent)
     several = bands.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("top")).where("low <> top")
     shared = materialize(bands.join(several, "key").select("key", "id", "n"), "bands")
     members = shared.select("id").distinct()
-    texts = materialize(docs.withColumnRenamed("doc_id", "id").join(members, "id"), "texts")
+    firsts = classes.join(members, "id").select("id", "doc_id", "hash")
+    texts = materialize(docs.join(firsts, ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).select("id", "text"), "texts")
     reps = materialize(all_reps.drop("small").join(members, "id"), "members")
     # hub of a bucket: the member with the most company over all its buckets, so that a group
     # of copies meets around the same few central texts
@@ -368,57 +431,48 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         F.sum("mates").alias("company"))
     hubs = shared.join(company, "id").groupBy("key").agg(
         F.max(F.struct("company", F.negative("id").alias("minus"), "n")).alias("h"))
-    hubs = hubs.select("key", F.negative("h.minus").alias("hub"), F.col("h.n").alias("nh"))
+    hubs = cut_lineage(hubs.select("key", F.negative("h.minus").alias("hub"), F.col("h.n").alias("nh")))
     sizes = f"100 * least(n, nh) >= {percent} * greatest(n, nh)"
-    hubs = cut_lineage(hubs)
     pairs = shared.join(hubs, "key").where("id <> hub").where(sizes).select(
         F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     links = _confirm(pairs, reps, texts, width, percent)
     comp = components(links)
-    used = hubs.select("key", F.col("hub").alias("id"))
-    reach, more = None, 8
-    while True:
-        # buckets whose members are still in several components
-        at = shared.join(comp, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-        if reach is not None:
-            at = at.join(reach, "id").where(f"100 * reach >= {percent} * n")  # others can have no link
-        parts = at.groupBy("key", "c").agg(F.count("*").alias("size"))
-        split = (parts.groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("parts"))
-                 .where("parts > 1").select("key", "main"))
-        todo = cut_lineage(at.join(split, "key"))
-        if reach is None:
-            # first bound, for each member of a split bucket, its overlap with any other member
-            ids = todo.select("id").distinct()
-            alone = _alone(ids, texts, width)
-            reach = cut_lineage(todo.select("id", "n").distinct().join(alone, "id", "left").select(
-                "id", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("reach")))
-            continue
-        left = todo.where("c <> main").join(used, ["key", "id"], "left_anti")
-        # next hubs of each bucket: members outside its largest component, in one order for all
-        # buckets, so that a pair of several buckets comes up in one round
-        order = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
-        hub = cut_lineage(left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= more)
-                          .select("key", F.col("id").alias("hub"), F.col("n").alias("nh"), F.col("c").alias("ch"),
-                                  F.col("reach").alias("rh")))
-        if hub.isEmpty():
-            break
-        pairs = (todo.join(hub, "key").where("c <> ch").where(sizes)
-                 .where(f"{100 + percent} * least(reach, rh) >= {percent} * (n + nh)")
-                 .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
-        found = _confirm(pairs, reps, texts, width, percent)
-        if not found.isEmpty():
-            links = cut_lineage(links.union(found))
-            comp = components(links)
-        used = cut_lineage(used.union(hub.select("key", F.col("hub").alias("id"))))
-        more *= 4
-    return (sk.join(classes, "fp", "left").join(comp, "id", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("id", "doc_id").alias("class_id"),
-                    F.coalesce("component", "id", "doc_id").alias("component_id"))
+    # buckets whose members are still in several components
+    at = shared.join(comp, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    todo = _split(at)
+    ids = todo.select("id", "n").distinct()
+    reach = ids.join(_alone(ids.select("id"), texts, width), "id", "left").where(
+        f"100 * (n - coalesce(alone, 0)) >= {percent} * n").select("id")  # others can have no link
+    todo = _split(todo.join(reach, "id")).join(hubs, "key").where("id <> hub").select("hub", "id", "n", "c").distinct()
+    todo = materialize(todo, "split")
+    if not todo.isEmpty():
+        pairs, more = _apart(todo, texts, width, percent)
+        comp = components(links.union(_confirm(pairs, reps, texts, width, percent)).union(more))
+    low = comp.join(classes.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = comp.join(low, "component").select("id", "component_id")
+    return (sk.join(classes.select("fp", "id", F.col("doc_id").alias("class_id")), "fp", "left").join(named, "id", "left")
+            .select("doc_id", "hash", F.col("n").alias("n_shingles"),
+                    F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
+                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "class_id", "doc_id")).alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
+def _split(at: DataFrame) -> DataFrame:
+    """The rows (key, id, n, c) of the buckets with more than one component."""
+    split = at.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("top")).where("low <> top").select("key")
+    return cut_lineage(at.join(split, "key").select("key", "id", "n", "c"))
+
+
+def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, class_id (smallest id with the same set), component_id,
+    kept, one row per document."""
+    return _grouped(docs, width, percent).drop("hash")
+
+
 def keep_representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group (the smallest id), unchanged; further
-    rows with that id and rows without an id are kept."""
-    gone = groups(docs, width, percent).where("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one document of each group (the smallest id), unchanged; rows that
+    repeat its id and text, and rows without an id, are kept."""
+    gone = _grouped(docs, width, percent).where("doc_id is not null and not kept").select(
+        F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).distinct()
+    same = (F.col("doc_id") == F.col("__id")) & (_text_hash() == F.col("__hash"))
+    return docs.join(gone, same, "left_anti").select(*docs.columns)

@@ -65,6 +65,7 @@ PATTERNS = {
     "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)"),
     "pem": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?!-----END )[\s\S])*(?:-----END [A-Z ]*PRIVATE KEY-----)?"),
 }
+TOKEN_RUN = re.compile(r"[A-Za-z0-9_-]*")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()),
@@ -95,7 +96,7 @@ def crc_digits(body: str) -> str:
 def _json_header(part: str) -> bool:
     try:
         head = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
-    except ValueError:
+    except (ValueError, RecursionError):  # no JSON, or nested too deeply for one
         return False
     return isinstance(head, dict) and "alg" in head
 
@@ -120,6 +121,8 @@ def find(text: str, hex_likely: bool = True) -> list[tuple[str, int, int]]:
         if start < past[kind]:
             continue
         m = PATTERNS[kind].match(text, start)
+        if kind == "jwt" and not m:  # no later start in the same run can match
+            past[kind] = TOKEN_RUN.match(text, start).end()
         if m:
             past[kind] = m.end()
             if valid(kind, m):

@@ -52,12 +52,15 @@ def patterns(url: Column) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, pattern, valid_from, valid_to) of the active times; valid_to is null
     while an entry is still active."""
+    # a host has no case, a path segment has: normalised before the entries of a pattern are put in order
+    name = F.substring_index("pattern", "/", 1)
     e = (entries.where("list is not null and pattern is not null and dated_at is not null")
          .where(F.col("action").isin("add", "remove"))
+         .withColumn("pattern", F.concat(F.lower(name), F.expr("substr(pattern, length(substring_index(pattern, '/', 1)) + 1)")))
          .groupBy("list", "pattern", "dated_at").agg(F.max("action").alias("action")))  # remove > add
     order = Window.partitionBy("list", "pattern").orderBy("dated_at")
     return (e.withColumn("valid_to", F.lead("dated_at").over(order)).where("action = 'add'")
-            .select("list", F.lower("pattern").alias("pattern"), F.col("dated_at").alias("valid_from"), "valid_to"))
+            .select("list", "pattern", F.col("dated_at").alias("valid_from"), "valid_to"))
 
 
 def blocked(captures: DataFrame, entries: DataFrame) -> DataFrame:

@@ -4,12 +4,14 @@ with clashing names."""
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import itertools
 import json
 import math
 import random
 import re
+import time
 from collections import Counter
 from zlib import crc32
 
@@ -326,6 +328,16 @@ def test_secret_spans(spark, texts):
     assert masked[0].text == texts[0] and masked[n - 8].text is None
 
 
+def test_secret_scans_of_hostile_texts():
+    deep = base64.urlsafe_b64encode(b'{"alg":' + b"[" * 100_000).decode().rstrip("=")
+    assert [k for k, *_ in secret_scan.find(f"{deep}.e30.x") if k == "jwt"] == []
+    start = time.perf_counter()
+    run = "eyJ" * 400_000
+    assert secret_scan.find(run) == [] and time.perf_counter() - start < 20
+    good = "eyJhbGciOiJub25lIn0.e30.x"
+    assert secret_scan.find(f"{run} {good}") == [("jwt", len(run) + 1, len(run) + 1 + len(good))]
+
+
 def test_page_lines():
     assert page_diff.lines(None) == [] and page_diff.main_text("", None)[0] == ""
     html = ('<html><head><title>T</title></head><body><nav><a>Home</a></nav><div class="ad">Buy</div><article><h1>A &amp; B</h1>'
@@ -436,6 +448,39 @@ def test_linked_small_sets_share_a_key(shared, alone, percent):
         assert np.isin(key[row == 0], key[row == 1]).any()
 
 
+@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
+def test_variants_near_the_bound_keep_their_components(spark, width, percent):
+    """Groups around one text whose members are partly linked, only to each other, or to nothing."""
+    rnd = random.Random(7 * width)
+    more = []
+    for size in (60, 200):
+        base = [f"w{rnd.randint(0, 5000)}" for _ in range(size)]
+        for _ in range(110):
+            w = list(base)
+            for _ in range(rnd.randint(0, size // 9)):
+                w[rnd.randrange(size)] = f"z{rnd.randint(0, 30)}"
+            more.append(" ".join(w))
+        for _ in range(6):      # small families away from the base
+            far = list(base)
+            for _ in range(size // 7):
+                far[rnd.randrange(size)] = f"f{rnd.randint(0, 10 ** 6)}"
+            more += [" ".join(far), " ".join([*far[:-1], "end"])]
+    got = near_dup.groups(make_docs(spark, more), width, percent).collect()
+    want = brute_groups(more, width, percent)
+    assert len({c for _, c in want.values()}) > 20
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_rows_that_repeat_an_id_go_by_their_own_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (6, c), (6, b + " more"), (None, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id or 0, r.text) for r in near_dup.keep_representatives(docs).collect()))
+    assert kept == sorted([(0, b), (1, a), (5, b), (6, c)])
+    got = near_dup.groups(docs).collect()
+    assert [r.component_id for r in got if r.doc_id is None] == [None]
+
+
 def test_near_duplicates_edges(spark):
     rows = [(None, "a b c d e f g"), (1, "a b c d e f g"), (1, "a b c d e f g"), (2, None), (3, ""), (4, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -450,17 +495,19 @@ def test_url_lists(spark):
     entries = spark.createDataFrame([
         ("l", "bad.org", "add", ts("01", "10")), ("l", "bad.org", "remove", ts("03", "01")), ("l", "bad.org", "add", ts("03", "01")),
         ("m", "x.bad.org", "add", ts("02", "01")), ("m", "ok.org/de", "add", ts("02", "01")), ("m", None, "add", ts("02", "01")),
-        ("m", "x.bad.org", "add", ts("02", "01"))], "list string, pattern string, action string, d string").selectExpr(
+        ("m", "x.bad.org", "add", ts("02", "01")), ("c", "Case.org", "add", ts("01", "10")), ("c", "case.ORG", "remove", ts("02", "10")),
+        ("c", "OK.org/DE", "add", ts("01", "10"))], "list string, pattern string, action string, d string").selectExpr(
         "list", "pattern", "action", "to_timestamp(d) dated_at", "'clash' as host")
     captures = spark.createDataFrame([
         (1, "http://X.bad.org/a", ts("01", "09")), (2, "http://x.bad.org:80/a", ts("01", "10")), (3, "https://bad.org", ts("02", "28")),
         (4, "https://u@x.bad.org/", ts("03", "01")), (5, "http://ok.org/de/1", ts("04", "01")), (6, "http://ok.org/en", ts("04", "01")),
+        (10, "http://case.org/x", ts("02", "01")), (11, "http://CASE.org/x", ts("03", "01")), (12, "http://ok.org/DE/x", ts("02", "02")),
         (7, None, ts("04", "01")), (8, "http://bad.org/", None), (9, "junk", ts("04", "01")), (3, "https://bad.org", ts("02", "28"))],
         "page_id long, url string, d string").selectExpr("page_id", "url", "to_timestamp(d) fetched_at")
     got = sorted((r.page_id, r.matches) for r in url_filter.blocked(captures, entries).collect())
     assert got == [(1, ""), (2, "l:bad.org"), (3, "l:bad.org"), (3, "l:bad.org"), (4, "m:x.bad.org"), (5, "m:ok.org/de"),
-                   (6, ""), (7, ""), (8, ""), (9, "")]
-    assert url_filter.keep_allowed(captures, entries.limit(0)).count() == 10
+                   (6, ""), (7, ""), (8, ""), (9, ""), (10, "c:case.org"), (11, ""), (12, "c:ok.org/DE")]
+    assert url_filter.keep_allowed(captures, entries.limit(0)).count() == 13
     assert url_filter.blocked(captures.limit(0), entries).count() == 0
 
 
