@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlab.session import checkpoint_dir
+from orderlab.session import checkpoint_dir, cut_lineage
 
 # Text handled by one numpy step inside a task; a longer text is a step of its own.
 STEP_BYTES = 4 << 20
@@ -41,16 +42,38 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_deleted(spark: SparkSession):
+    """Shuffle files of the queries run inside go when they end, not when the driver
+    happens to collect garbage; what they wrote stands for itself."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read
     it back: lineage ends there, columns can be pruned, and a lost executor
     only costs a re-read."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_deleted(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint without the shuffle files that led to it."""
+    with shuffles_deleted(df.sparkSession):
+        return cut_lineage(df)
+
+
 def steps(batches, column: str = "text", max_bytes: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Split Arrow batches so that each step holds about ``max_bytes`` of text
     (always at least one row), which bounds the memory of a task."""

@@ -50,8 +50,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlab.llm.common import WORDS_LOWER, Words, materialize, rows, steps
-from orderlab.session import cut_lineage
+from orderlab.llm.common import WORDS_LOWER, Words, cut, materialize, rows, steps
 
 REGISTERS = 192
 MANTISSA = 4       # of 8 bits; the leading-zero count has the other 4
@@ -316,7 +315,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 def components(links: DataFrame) -> DataFrame:
     """(id, component): smallest id reachable over the links (a, b), by alternating
     large-star and small-star steps; only ids with a link are listed."""
-    edges = cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                         .where("u <> v").distinct())
     while True:
         # large star: each larger neighbour is linked to the smallest id around its node
@@ -325,13 +324,13 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: the smaller neighbours and the node itself are linked to the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = cut_lineage(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                             .union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         # done when every node has one target and no target has one itself
         ends = edges.select("u").union(edges.select("v").distinct())
         if ends.groupBy("u").count().where("count > 1").isEmpty():
             break
-    return cut_lineage(edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    return cut(edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
                        .union(edges.select("v", "v").distinct()))
 
 
@@ -356,15 +355,16 @@ def _alone(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 
 def _apart(todo: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, links) of the members of split buckets; ``todo``: hub, id, n, c (component).
+    """(pairs, links) of the members of split buckets; ``todo``: hub, id, n, c (component),
+    inner (whether that is the largest component around the hub).
 
     With |a ^ b| <= (1-t)/(1+t) (|a|+|b|) for linked sets, D(a) and D(b) share at least half
     of |D(a)| + |D(b)| less that; and since |D(b)| is no smaller than what they share and
     |b| <= |a| / t, at least |D(a)| - (1-t)/t |a|: the prefix of D(a) is what that leaves."""
     met = todo.select("id").union(todo.select("hub")).distinct()
     one = materialize(texts.join(met, "id").select("id", "text").mapInArrow(_set_rows(width), "id bigint, keys binary"), "sets")
-    out = pa.schema([("hub", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("nd", pa.int64()),
-                     ("linked", pa.bool_()), ("diff", pa.list_(pa.int64()))])
+    out = pa.schema([("hub", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("inner", pa.bool_()),
+                     ("nd", pa.int64()), ("linked", pa.bool_()), ("diff", pa.list_(pa.int64()))])
 
     def differ(batches):
         for batch in batches:
@@ -375,25 +375,22 @@ def _apart(todo: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple
                     d = np.setxor1d(x, h, assume_unique=True)
                     diff.append(d.view(np.int64))
                     linked.append((100 + percent) * len(d) <= (100 - percent) * (len(x) + len(h)))
-                yield rows(out, *[part.column(k) for k in ("hub", "id", "n", "c")], [len(d) for d in diff], linked, diff)
+                yield rows(out, *[part.column(k) for k in ("hub", "id", "n", "c", "inner")], [len(d) for d in diff], linked, diff)
 
     d = materialize(todo.join(one.toDF("id", "own"), "id").join(one.toDF("hub", "other"), "hub")
-                    .select("hub", "id", "n", "c", "own", "other")
-                    .mapInArrow(differ, "hub bigint, id bigint, n bigint, c bigint, nd bigint, linked boolean, diff array<bigint>"),
+                    .select("hub", "id", "n", "c", "inner", "own", "other").mapInArrow(
+                        differ, "hub bigint, id bigint, n bigint, c bigint, inner boolean, nd bigint, linked boolean, diff array<bigint>"),
                     "differences")
     links = d.where("linked").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-    each = d.select("hub", "id", "n", "c", "nd", F.explode("diff").alias("key"))
-    df = each.groupBy("hub", "key").agg(F.count("*").alias("df")).where("df > 1")
     least = F.greatest(F.col("nd") - F.floor(F.lit(100 - percent) * F.col("n") / percent), F.lit(1))
-    common = each.join(df, ["hub", "key"])
+    shared = Window.partitionBy("hub", "key")    # texts with one difference: counted, never collected
     mine = Window.partitionBy("hub", "id")       # the differences of one text
+    common = d.select("hub", "id", "n", "c", "inner", "nd", F.explode("diff").alias("key")).withColumn(
+        "df", F.count("*").over(shared)).where("df > 1")
     common = (common.withColumn("reach", F.count("*").over(mine)).where(F.col("reach") >= least)
               .withColumn("at", F.row_number().over(mine.orderBy("df", "key")) + F.col("nd") - F.col("reach"))
               .where(F.col("at") <= F.col("nd") - least + 1))
-    size = d.groupBy("hub", "c").agg(F.count("*").alias("size"))
-    main = size.groupBy("hub").agg(F.max_by("c", F.struct("size", "c")).alias("main"))
-    keyed = materialize(common.join(main, "hub").select("hub", "key", "id", "n", "c", "nd", "reach", (F.col("c") == F.col("main")).alias("inner")),
-                        "keys")
+    keyed = materialize(common.select("hub", "key", "id", "n", "c", "nd", "reach", "inner"), "keys")
     other = keyed.toDF("hub", "key", "ido", "no", "co", "ndo", "reacho", "innero")
     pairs = (keyed.where("not inner").join(other, ["hub", "key"])
              .where("c <> co and (innero or id < ido)")
@@ -431,7 +428,7 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
         F.sum("mates").alias("company"))
     hubs = shared.join(company, "id").groupBy("key").agg(
         F.max(F.struct("company", F.negative("id").alias("minus"), "n")).alias("h"))
-    hubs = cut_lineage(hubs.select("key", F.negative("h.minus").alias("hub"), F.col("h.n").alias("nh")))
+    hubs = cut(hubs.select("key", F.negative("h.minus").alias("hub"), F.col("h.n").alias("nh"), "h.company"))
     sizes = f"100 * least(n, nh) >= {percent} * greatest(n, nh)"
     pairs = shared.join(hubs, "key").where("id <> hub").where(sizes).select(
         F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
@@ -443,8 +440,7 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     ids = todo.select("id", "n").distinct()
     reach = ids.join(_alone(ids.select("id"), texts, width), "id", "left").where(
         f"100 * (n - coalesce(alone, 0)) >= {percent} * n").select("id")  # others can have no link
-    todo = _split(todo.join(reach, "id")).join(hubs, "key").where("id <> hub").select("hub", "id", "n", "c").distinct()
-    todo = materialize(todo, "split")
+    todo = materialize(_around(_split(todo.join(reach, "id")), hubs), "split")
     if not todo.isEmpty():
         pairs, more = _apart(todo, texts, width, percent)
         comp = components(links.union(_confirm(pairs, reps, texts, width, percent)).union(more))
@@ -457,10 +453,24 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
+def _around(todo: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(hub, id, n, c, inner): the texts that the members of each split bucket are held against.  Any
+    text will do, so a bucket takes, of the hubs its members meet in all their buckets, the one
+    with the most company: a group of variants has few of them and each member differs from few."""
+    top = lambda hub: F.max(F.struct("company", F.negative(hub).alias("minus"))).alias("h")
+    own = todo.join(hubs.select("key", "hub", "company"), "key").groupBy("id").agg(top("hub"))
+    best = todo.select("key", "id").join(own, "id").groupBy("key").agg(F.max("h").alias("h"))
+    best = best.select("key", F.negative("h.minus").alias("hub"))
+    around = cut(todo.join(best, "key").where("id <> hub").select("hub", "id", "n", "c").distinct())
+    main = around.groupBy("hub", "c").agg(F.count("*").alias("size")).groupBy("hub").agg(
+        F.max_by("c", F.struct("size", "c")).alias("main"))
+    return around.join(main, "hub").select("hub", "id", "n", "c", (F.col("c") == F.col("main")).alias("inner"))
+
+
 def _split(at: DataFrame) -> DataFrame:
     """The rows (key, id, n, c) of the buckets with more than one component."""
     split = at.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("top")).where("low <> top").select("key")
-    return cut_lineage(at.join(split, "key").select("key", "id", "n", "c"))
+    return cut(at.join(split, "key").select("key", "id", "n", "c"))
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
