@@ -128,15 +128,15 @@ class Splitter:
 
     def __init__(self, table: Table):
         self.words = regex.compile(PATTERN)
-        self.late = regex.compile(f"[{regex.escape(table.late)}]") if table.late else None
+        self.late = frozenset(table.late)
+        self.plain = dict.fromkeys(map(ord, table.late), "§")  # a sign that is no letter, number or space
         self.added = regex.compile("|".join(map(regex.escape, sorted(table.added, key=len, reverse=True)))) if table.added else None
         self.names = list(table.added)
 
     def part(self, text: str) -> list[str]:
-        if self.late is None or text.isascii() or not self.late.search(text):
+        if text.isascii() or self.late.isdisjoint(text):
             return self.words.findall(text)
-        plain = self.late.sub("§", text)  # a sign that is no letter, number or space
-        return [text[m.start():m.end()] for m in self.words.finditer(plain)]
+        return [text[m.start():m.end()] for m in self.words.finditer(text.translate(self.plain))]
 
     def __call__(self, text: str) -> list[str]:
         if self.added is None or not any(a in text for a in self.names):

@@ -50,7 +50,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlab.llm.common import WORDS_LOWER, Words, cut, materialize, rows, steps
+from orderlab.llm.common import WORDS_LOWER, Words, cut, materialize, rows, shuffles_deleted, steps
 
 REGISTERS = 192
 MANTISSA = 4       # of 8 bits; the leading-zero count has the other 4
@@ -407,6 +407,11 @@ def _text_hash():
 
 def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, hash (of the text), n_shingles, class_id, component_id, kept."""
+    with shuffles_deleted(docs.sparkSession):
+        return _group_rows(docs, width, percent)
+
+
+def _group_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("hash"), "text")
     sk = materialize(sketches(docs, width, percent), "sketches")
     # classes of equal sets with numbers of their own; ``first`` is the row that stands for one
