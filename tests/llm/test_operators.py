@@ -12,6 +12,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 from zlib import crc32
 
@@ -338,32 +339,72 @@ def test_secret_scans_of_hostile_texts():
     assert secret_scan.find(f"{run} {good}") == [("jwt", len(run) + 1, len(run) + 1 + len(good))]
 
 
+def page_text(html, *neighbours):
+    """(text, lines, deleted lines) of a page held against the html of its neighbours."""
+    found = page_diff.lines(html)
+    gone = page_diff.template_lines(page_diff.line_hashes(found), page_diff.declared(found) is not None,
+                                    *[page_diff.line_hashes(page_diff.lines(x)) for x in neighbours])
+    return *page_diff.main_text(html, gone), len(gone)
+
+
 def test_page_lines():
-    assert page_diff.lines(None) == [] and page_diff.main_text("", None)[0] == ""
+    assert page_diff.lines(None) == [] and page_text("")[0] == ""
     html = ('<html><head><title>T</title></head><body><nav><a>Home</a></nav><div class="ad">Buy</div><article><h1>A &amp; B</h1>'
             '<p>one<br>two&nbsp; <b>x</b>y<p>&lt;p&gt; &am<script>var t="</p>";</script><aside>side</aside>'
             '<div class="comments"><p>reader</p></div></article><footer>F</footer>')
-    assert page_diff.main_text(html, None)[0] == "A & B\none two xy\n<p> &am"
+    assert page_text(html)[0] == "A & B\none two xy\n<p> &am"
+    assert page_text("<p>&am<b>p;</b> a&lt;b</p>")[0] == "&amp; a<b"     # references end at a tag
+    assert page_text("<p>1 < 2 <3 <!-->x<!-- y --><svg class='i'/>z</p")[0] == "1 < 2 <3 xz</p"
+    assert page_text('<p title="a>b">in</p><p title="open>out</p><p>last</p>')[0] == "in\nout\nlast"
     menu = "<div>Start</div><div>News</div><p>{}</p><div>Imprint</div>"
     first, second = menu.format("alpha " * 20), menu.format("beta " * 20)
-    other = page_diff.line_hashes(page_diff.lines(second))
-    assert page_diff.main_text(first, other) == (("alpha " * 20).strip(), 4, 3)
-    assert page_diff.main_text(first, page_diff.line_hashes(page_diff.lines(first)))[0].count("\n") == 3  # a copy
+    assert page_text(first, second) == (("alpha " * 20).strip(), 4, 3)
+    assert page_text(first, first)[0].count("\n") == 3  # a copy
 
 
-def test_page_template_by_evidence():
-    def hashes(html):
-        return page_diff.line_hashes(page_diff.lines(html))
+@pytest.mark.parametrize("unit", ["<a ", "<a '>", "<a \"'>", "<p", "<!-", "<script>", "</script ", "<svg/", "&am", "<a b='\">'"])
+def test_page_markup_in_linear_time(unit):
+    start = time.perf_counter()
+    page_diff.lines(unit * 200_000)
+    assert time.perf_counter() - start < 10
 
+
+def test_page_template_by_evidence():
     article = "<article><h1>{0}</h1><p>Read more</p><p>body of {0}</p></article>"
     a, b, c = (article.format(x) for x in ("one", "two", "three"))
-    assert page_diff.main_text(a, hashes(b), hashes(c)) == ("one\nbody of one", 3, 1)  # template in declared content
-    assert page_diff.main_text(a, hashes(a), hashes(c)) == ("one\nbody of one", 3, 1)  # a mirrored copy is no evidence
-    assert page_diff.main_text(a, hashes(a), hashes(a)) == ("one\nRead more\nbody of one", 3, 0)
-    assert page_diff.main_text(a, hashes(a.replace("Read", "Learn")), hashes(c))[0].endswith("body of one")  # near copy
+    assert page_text(a, b, c) == ("one\nbody of one", 3, 1)  # template in declared content
+    assert page_text(a, a, c) == ("one\nbody of one", 3, 1)  # a mirrored copy is no evidence
+    assert page_text(a, a, a) == ("one\nRead more\nbody of one", 3, 0)
+    near = a.replace("Read", "Learn")
+    assert page_text(a, near, c)[0].endswith("body of one") and page_text(a, near, near)[2] == 0  # versions of one article
+    moved = "<article><p>Read more</p><h1>{0}</h1><p>body of {0}</p><p>end of {0}</p></article>".format("four")
+    assert page_text(a, b, moved)[2] == 0                     # a sentence at varying places
+    last = "<article><h1>{0}</h1><p>x {0}</p><p>y {0}</p><p>Read more</p><p>body of {0}</p></article>".format("five")
+    assert page_text(a, last)[0] == "one\nbody of one"        # the same place from the end
     menu = "<div>" + "</div><div>".join(f"menu entry number {i}" for i in range(18)) + "</div>"
     short = [menu + f"<p>{'text ' * 40}{i}</p>" for i in range(3)]
-    assert page_diff.main_text(short[0], hashes(short[1]), hashes(short[2])) == ("text " * 40 + "0", 19, 18)
+    assert page_text(*short) == ("text " * 40 + "0", 19, 18)
+
+
+def test_page_alignment_against_brute_force():
+    rng = random.Random(5)
+    for n in range(300):
+        a, b = ([rng.randrange(rng.choice((2, 6, 30))) for _ in range(rng.randrange(25))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        for bits in (1, 40, page_diff.TABLE_BITS):
+            got = page_diff.common_lines(a, b, bits)
+            pairs = [(i, j) for i, j in enumerate(got.tolist()) if j >= 0]
+            assert len(pairs) == best[-1][-1] and all(a[i] == b[j] for i, j in pairs)
+            assert all(x[1] < y[1] for x, y in itertools.pairwise(pairs))
+    a = list(range(20_000))
+    b = a.copy()
+    rng.shuffle(b)
+    tracemalloc.start()
+    page_diff.common_lines(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
 
 
 def test_page_pairs(spark):
@@ -374,11 +415,21 @@ def test_page_pairs(spark):
     got = page_diff.extract(pages).collect()
     assert len(got) == len(rows)
     by = {r.page_id: r for r in got}
-    assert all(by[i].text == (f"text {i} " * 9).strip() and by[i].n_shared == 2 for i in range(40))
+    assert all(by[i].text == (f"text {i} " * 9).strip() and by[i].n_template == 2 for i in range(40))
     assert by[41].text == "" and by[41].n_chars == 0 and by[42].text == "alone"
     assert page_diff.extract(pages.limit(0)).count() == 0
 
 
+def test_page_sentences_of_other_hosts(spark):
+    article = "<article><h1>{0}</h1><p>A common sentence.</p><p>one {0}</p><p>two {0}</p><p>Posted on {1}.</p></article>"
+    rows = [(i, f"https://h{i % 2}.example.org/{i:03}", article.format(i, f"h{i % 2}")) for i in range(20)]
+    rows += [(100, rows[0][1], article.format("other", "h0")), (None, None, "<p>no id</p>")]
+    got = page_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    texts = sorted(r.text for r in got)
+    want = [f"{i}\nA common sentence.\none {i}\ntwo {i}" for i in [*range(20), "other"]]  # the line of one host goes
+    assert texts == sorted([*want, "no id"])
+
+
 def brute_groups(texts, width, percent):
     sets = {}
     for i, t in enumerate(texts):
