@@ -17,14 +17,18 @@ C and V' being the class's training tokens and distinct words.
    shared folder, so later passes read numbers and survive lost executors.
 2. *Counts.*  Block vocabularies are summed by word (partial aggregation, so a very
    frequent word costs one row per task) and the counts joined back per block.
-3. *Baum-Welch.*  Emissions are a table (word key, probability per state).  Each
-   iteration joins it to the blocks' vocabularies, every block runs the scaled forward
-   and backward recursions over its training texts, and the expected counts are summed
-   by word into the next table; only ``states`` + 2 rows and totals reach the driver.
+3. *Baum-Welch.*  Every block runs the scaled forward and backward recursions over its
+   training texts.  Most words have all their training tokens in one block: that block
+   keeps their expected counts itself, packed in one row an iteration.  The emissions of
+   the words of several blocks are a table (word key, probability per state), joined to
+   the blocks that hold them; their expected counts are summed by word into the next
+   table.  Only ``states`` + 4 rows and totals reach the driver, and an iteration's tables
+   are deleted when the next one's exist.
    Long texts are cut into pieces of ``PIECE`` tokens that run side by side; the forward
    and backward vectors at the cuts come from the pieces' transfer matrices, so the
    counts are those of the whole text.
-4. *Scores.*  The scaled forward recursion over each whole text.  Long texts are cut
+4. *Scores.*  The scaled forward recursion over each whole text; a block also gets the
+   emissions of words that only other blocks were trained on.  Long texts are cut
    into segments whose transfer matrices are chained, which gives the same exact
    likelihood.
 
@@ -40,23 +44,23 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlab.llm.common import WORDS_LOWER, Words, materialize, rows, steps
+from orderlab.llm.common import WORDS_LOWER, Words, discard, materialize, rows, steps, written
 
-STATES, ITERATIONS, SEED = 6, 6, 11
+STATES, ITERATIONS = 6, 6
 BLOCK_BYTES = 10 << 20
 PIECE = 512        # tokens of a long text's segments, in training and scoring
 GROUP = 1 << 18    # tokens whose recursions run side by side
 PRIOR = 20.0       # weight of the corpus distribution in a state's emissions
 END = ""
 
-_BLOCK_DDL = ("block bigint, vocab array<struct<w:string,c:bigint>>, counts binary, tokens binary, "
+_BLOCK_DDL = ("block bigint, vocab array<struct<w:string,c:bigint>>, counts binary, noise binary, tokens binary, "
               "doc_ids array<bigint>, held array<boolean>, n_tokens array<int>")
 _BLOCK = pa.schema([("block", pa.int64()), ("vocab", pa.list_(pa.struct([("w", pa.string()), ("c", pa.int64())]))),
-                    ("counts", pa.binary()), ("tokens", pa.binary()),
+                    ("counts", pa.binary()), ("noise", pa.binary()), ("tokens", pa.binary()),
                     ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int32()))])
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                     ("log_counts", pa.float64()), ("score", pa.float64())])
@@ -85,6 +89,10 @@ class Counts:
 class Emissions:
     table: DataFrame       # k, size (numerator of the share), e (probability per state)
     unseen: np.ndarray     # the same of any key that is not in the table
+    weights: np.ndarray    # per state: divisor of the first emissions, then expected tokens
+    shared: DataFrame | None = None     # block, code, k, size: words of several blocks
+    several: DataFrame | None = None    # the rows of ``table`` of those words
+    own: DataFrame | None = None        # block, own: expected counts of the block's other words
 
 
 def _kind(word: Column, classes: int | None) -> Column:
@@ -92,6 +100,17 @@ def _kind(word: Column, classes: int | None) -> Column:
     return F.crc32(word.cast("binary")) % classes if classes else F.xxhash64(word)
 
 
+def _noise(words: list) -> np.ndarray:
+    """Low half of the hash of each word's key, as Spark's xxhash64 gives it."""
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(digest(w or b"", 42).to_bytes(8, "little"), 42) & 0xFFFFFFFF for w in words], np.uint32)
+
+
+def _shift(state: int) -> int:
+    """Where the five bits of a state's noise begin."""
+    return 5 * state % 28
+
+
 def _held(doc_id) -> bool:
     return doc_id is not None and crc32(str(doc_id).encode()) % 7 == 2
 
@@ -107,7 +126,7 @@ def unpack(data: bytes) -> np.ndarray:
 
 def blocks(docs: DataFrame, classes: int | None = None) -> DataFrame:
     """The tokenised documents, see above; token code len(vocab) - 1 is the end.
-    ``counts`` holds the block's training count per code."""
+    ``counts`` holds the block's training count per code, ``noise`` see ``_noise``."""
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                            F.spark_partition_id().cast("long").alias("part"))
 
@@ -126,7 +145,7 @@ def blocks(docs: DataFrame, classes: int | None = None) -> DataFrame:
             part = batch.column("part")[0].as_py()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([(part << 32) + n], pa.int64()), pa.ListArray.from_arrays([0, end + 1], item),
-                 pa.array([pack(counts)], pa.binary()),
+                 pa.array([pack(counts)], pa.binary()), pa.array([_noise([*w.vocab.to_pylist(), b""]).tobytes()], pa.binary()),
                  pa.array([pack(tokens)], pa.binary()), pa.array([ids], pa.list_(pa.int64())),
                  pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([(w.counts + 1).tolist()], pa.list_(pa.int32()))],
                 schema=_BLOCK)
@@ -258,38 +277,66 @@ def expected_counts(model: Hmm, seen: np.ndarray, starts: np.ndarray, sizes: np.
 
 
 def first_emissions(sizes: DataFrame, counts: Counts, states: int) -> Emissions:
-    """The corpus distribution, varied at random by word and state (fixed seed)."""
-    noise = [F.shiftrightunsigned(F.xxhash64("k", F.lit(SEED), F.lit(j)), 11) / float(1 << 53) for j in range(states)]
-    raw = sizes.select("k", "size", *[(F.col("size") / counts.total * (1 + 0.6 * (2 * u - 1))).alias(f"e{j}")
-                                      for j, u in enumerate(noise)])
+    """The corpus distribution, varied at random by word and state (five bits of the key's hash)."""
+    noise = [F.shiftrightunsigned(F.xxhash64("k"), _shift(j)).bitwiseAND(31) for j in range(states)]
+    raw = sizes.select("k", "size", *[(F.col("size") / counts.total * _varied(u)).alias(f"e{j}") for j, u in enumerate(noise)])
     known, *sums = raw.agg(F.sum("size"), *[F.sum(f"e{j}") for j in range(states)]).first()
     norm = np.array([x or 0.0 for x in sums]) + 1 - (known or 0.0) / counts.total
     return Emissions(raw.select("k", "size", F.array(*[F.col(f"e{j}") / float(norm[j]) for j in range(states)]).alias("e")),
-                     1 / counts.total / norm)
+                     1 / counts.total / norm, norm)
+
+
+def _varied(noise):
+    return 1 + 0.6 * ((2 * noise + 1) / 32 - 1)
+
+
+def _own_first(c: np.ndarray, noise: np.ndarray, norm: np.ndarray, total: float) -> np.ndarray:
+    """``first_emissions`` of words with the training counts ``c``."""
+    bits = noise[:, None] >> np.array([_shift(j) for j in range(len(norm))], np.uint32) & np.uint32(31)
+    return (c[:, None] + 1) / total * _varied(bits.astype(float)) / norm
+
+
+def _own_next(c: np.ndarray, found: np.ndarray, weights: np.ndarray, total: float) -> np.ndarray:
+    """``next_emissions`` of words with the training counts ``c``, without classes."""
+    size = c[:, None] + 1.0
+    return (found * (size / c[:, None]) + PRIOR * size / total) / (weights + PRIOR)
 
 
-def next_emissions(sizes: DataFrame, counts: Counts, expected: DataFrame, totals: np.ndarray, classes: int | None) -> Emissions:
-    """Expected counts smoothed by the corpus distribution.  Without classes a word's
-    counts are raised from c to c + 1 and the unseen symbol gets one count, dealt to the
-    states by their tokens, as in the corpus shares."""
+def next_emissions(sizes: DataFrame, counts: Counts, expected: DataFrame, totals: np.ndarray, grown_own: np.ndarray,
+                   classes: int | None) -> Emissions:
+    """Expected counts smoothed by the corpus distribution, for the words in ``sizes``.
+    Without classes a word's counts are raised from c to c + 1 and the unseen symbol gets
+    one count, dealt to the states by their tokens, as in the corpus shares.  ``totals`` are
+    the expected tokens of all words, ``grown_own`` the raised ones of words that are not in
+    ``sizes``."""
     states = len(totals)
     grown = F.lit(1.0) if classes else F.col("size") / (F.col("size") - 1)
     mass = sizes.join(expected, "k", "left").select(
         "k", "size", *[(F.coalesce(f"v{j}", F.lit(0.0)) * grown).alias(f"v{j}") for j in range(states)])
     rest = np.zeros(states) if classes else totals / max(1, counts.tokens)
     if not classes:
-        totals = np.array([x or 0.0 for x in mass.agg(*[F.sum(f"v{j}") for j in range(states)]).first()]) + rest
+        totals = np.array([x or 0.0 for x in mass.agg(*[F.sum(f"v{j}") for j in range(states)]).first()]) + grown_own + rest
     e = F.array(*[(F.col(f"v{j}") + PRIOR * F.col("size") / counts.total) / (float(t) + PRIOR) for j, t in enumerate(totals)])
-    return Emissions(mass.select("k", "size", e.alias("e")), (rest + PRIOR / counts.total) / (totals + PRIOR))
+    return Emissions(mass.select("k", "size", e.alias("e")), (rest + PRIOR / counts.total) / (totals + PRIOR), totals)
 
 
-def _with_emissions(table: DataFrame, emissions: Emissions, classes: int | None, kind: str) -> DataFrame:
-    """The blocks with (code, k, size, e) of the words that have a training count anywhere."""
-    word = table.select("block", F.posexplode("vocab").alias("code", "v")).select(
-        "block", "code", _kind(F.col("v.w"), classes).alias("k"))
-    own = word.join(emissions.table, "k").groupBy("block").agg(F.collect_list(F.struct(  # at most a block's own vocabulary
+def _entries(table: DataFrame, classes: int | None) -> DataFrame:
+    """(block, code, k, c) of the vocabularies."""
+    return table.select("block", F.posexplode("vocab").alias("code", "v")).select(
+        "block", "code", _kind(F.col("v.w"), classes).alias("k"), "v.c")
+
+
+def _known(found: DataFrame, kind: str) -> DataFrame:
+    """(block, known): the rows (block, code, k, size, e) of each block."""
+    return found.groupBy("block").agg(F.collect_list(F.struct(  # at most a block's own vocabulary
         "code", "k", "size", F.col("e").cast(f"array<{kind}>").alias("e"))).alias("known"))
-    return table.join(own, "block", "left")
+
+
+def _own_codes(c: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Codes of the training words that no other block was trained on, rising."""
+    own = c > 0
+    own[code] = False
+    return np.flatnonzero(own)
 
 
 def _local(known: pa.Scalar, codes: int, unseen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -322,23 +369,40 @@ def _groups(sizes: np.ndarray):
 
 def train(table: DataFrame, counts: Counts, sizes: DataFrame, states: int = STATES, classes: int | None = None,
           iterations: int = ITERATIONS) -> tuple[np.ndarray, np.ndarray, Emissions, list[float]]:
-    """Baum-Welch over the training documents of the block table: (start, move,
-    emissions), and the natural-log likelihood (of keys) before each update."""
+    """Baum-Welch over the training documents of the block table, one iteration at least:
+    (start, move, emissions), and the natural-log likelihood (of keys) before each update."""
+    if iterations < 1:
+        raise ValueError("at least one iteration")
+    spark, total = table.sparkSession, counts.total
     start, history = np.full(states, 1 / states), []
     move = np.full((states, states), 0.1 / max(1, states - 1))  # sticky states
     np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
-    emissions = first_emissions(sizes, counts, states)
-    out = pa.schema([("row", pa.int32()), ("k", pa.int64()), ("v", pa.list_(pa.float32()))])
-    # rows: 0 for words, then one per state (moves), starts, likelihood
+    first = first_emissions(sizes, counts, states)
+    entries = _entries(table, classes).where("c > 0").join(first.table, "k")
+    shared = materialize((entries if classes else entries.where("size - 1 > c")).select("block", "code", "k", "size", "e"), "shared-words")
+    several = materialize(shared.groupBy("k").agg(F.first("size").alias("size")), "shared-sizes")
+    emissions, own, paths = None, None, []
+    out = pa.schema([("row", pa.int32()), ("k", pa.int64()), ("v", pa.list_(pa.float32())), ("own", pa.binary())])
+    # rows: -1 for a block's own words, 0 for shared ones, then one per state (moves), starts,
+    # likelihood, own tokens, own tokens raised by one count a word
     for _ in range(iterations):
-        def estep(batches, start=start, move=move, unseen=emissions.unseen):
-            tail = np.zeros((states + 2, states))
+        now = emissions or first
+
+        def estep(batches, start=start, move=move, unseen=now.unseen, weights=now.weights):
+            tail = np.zeros((states + 4, states))
             for batch in batches:
                 for i in range(batch.num_rows):  # one block in memory at a time
                     row = batch.slice(i, 1)
-                    one = row.select(["counts", "tokens", "held", "n_tokens"]).to_pylist()[0]
+                    one = row.select(["block", "counts", "tokens", "held", "n_tokens", "own"]).to_pylist()[0]
                     tokens, first, n = _codes(one)
-                    code, key, emit, _ = _local(row.column("known")[0], len(one["counts"]) // 4, unseen)
+                    c = unpack(one["counts"])
+                    code, key, emit, _ = _local(row.column("known")[0], len(c), unseen)
+                    mine = _own_codes(c, code)
+                    if emissions_of_words:
+                        v = np.frombuffer(one["own"] or b"", np.float32).reshape(-1, states)
+                        emit[mine] = _own_next(c[mine], v, weights, total)
+                    else:
+                        emit[mine] = _own_first(c[mine], np.frombuffer(one["own"], np.uint32)[mine], weights, total)
                     hmm, found = Hmm(start, move, emit).single(), np.zeros(emit.shape)
                     use = ~np.array(one["held"], bool)
                     at, n = first[use], n[use]
@@ -348,28 +412,63 @@ def train(table: DataFrame, counts: Counts, sizes: DataFrame, states: int = STAT
                         tail[:states] += m
                         tail[states] += s
                         tail[states + 1, 0] += ll
+                    tail[states + 2] += found[mine].sum(axis=0)
+                    tail[states + 3] += (found[mine] * (1 + 1 / c[mine][:, None])).sum(axis=0)
+                    yield rows(out, [-1], [one["block"]], [None], [found[mine].astype(np.float32).tobytes()])
                     some = found[code].any(axis=1)
                     v = found[code[some]].astype(np.float32)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.zeros(len(v), np.int32)), pa.array(key[some]),
-                         pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * states, v.reshape(-1))], schema=out)
-            yield rows(out, np.arange(1, states + 3), np.zeros(states + 2, np.int64), list(tail.astype(np.float32)))
-
-        joined = _with_emissions(table.select("block", "vocab", "counts", "tokens", "held", "n_tokens"), emissions, classes, "float")
-        sums = materialize(joined.select("counts", "tokens", "held", "n_tokens", "known")
-                           .mapInArrow(estep, "row int, k bigint, v array<float>").groupBy("row", "k")
-                           .agg(*[F.sum(F.col("v")[j].cast("double")).alias(f"v{j}") for j in range(states)]), "expected")
-        tail, totals = np.zeros((states + 2, states)), np.zeros(states)
-        for r, *v in sums.groupBy("row").agg(*[F.sum(f"v{j}") for j in range(states)]).collect():  # states + 3 rows
-            if r:
-                tail[r - 1] = v
-            else:
-                totals[:] = v
+                         pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * states, v.reshape(-1)),
+                         pa.nulls(len(v), pa.binary())], schema=out)
+            yield rows(out, np.arange(1, states + 5), np.zeros(states + 4, np.int64), list(tail.astype(np.float32)), [None] * (states + 4))
+
+        emissions_of_words = own is not None
+        found = shared.drop("e", "size").join(emissions.table, "k") if emissions else shared
+        texts = table.select("block", "counts", "tokens", "held", "n_tokens", *([] if own else [F.col("noise").alias("own")]))
+        joined = (texts.join(own, "block", "left") if own else texts).join(_known(found, "float"), "block", "left")
+        parts, path = written(joined.select("block", "counts", "tokens", "held", "n_tokens", "own", "known")
+                              .mapInArrow(estep, "row int, k bigint, v array<float>, own binary"), "expected-parts")
+        by_state = [F.sum(F.col("v")[j].cast("double")).alias(f"v{j}") for j in range(states)]
+        sums, sums_path = written(parts.where("row = 0").groupBy("k").agg(*by_state), "expected")
+        tail = np.zeros((states + 4, states))
+        for r, *v in parts.where("row > 0").groupBy("row").agg(*by_state).collect():  # states + 4 rows
+            tail[r - 1] = v
+        totals = np.array([x or 0.0 for x in sums.agg(*[F.sum(f"v{j}") for j in range(states)]).first()]) + tail[states + 2]
         history.append(tail[states + 1, 0])
         move, start = tail[:states] + 1.0, tail[states] + 1.0
         start, move = start / start.sum(), move / move.sum(axis=1, keepdims=True)
-        emissions = next_emissions(sizes, counts, sums.where("row = 0").drop("row"), totals, classes)
-    return start, move, emissions, history
+        own = parts.where("row = -1").select(F.col("k").alias("block"), "own")
+        emissions = next_emissions(several, counts, sums, totals, tail[states + 3], classes)
+        for old in paths:                # the tables of the iteration before
+            discard(spark, old)
+        paths = [path, sums_path]
+    table_of_shared = materialize(emissions.table, "emissions")
+    shared = shared.drop("e")
+    whole = table_of_shared.union(_own_table(table, shared, own, emissions.weights, total))
+    return start, move, Emissions(whole, emissions.unseen, emissions.weights, shared, table_of_shared, own), history
+
+
+def _own_table(table: DataFrame, shared: DataFrame, own: DataFrame, weights: np.ndarray, total: float) -> DataFrame:
+    """(k, size, e) of the words that only one block was trained on."""
+    schema = pa.schema([("k", pa.int64()), ("size", pa.float64()), ("e", pa.list_(pa.float64()))])
+    codes = shared.groupBy("block").agg(F.collect_list("code").alias("codes"))  # at most a block's own vocabulary
+    keys = table.select("block", "counts", F.transform("vocab", lambda v: F.xxhash64(v["w"])).alias("keys"))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                c, code = unpack(one.column("counts")[0].as_py()), one.column("codes")[0].values
+                mine = _own_codes(c, code.to_numpy() if code is not None else np.zeros(0, np.int64))
+                v = np.frombuffer(one.column("own")[0].as_py() or b"", np.float32).reshape(-1, len(weights))
+                e = _own_next(c[mine], v, weights, total)
+                yield pa.RecordBatch.from_arrays(
+                    [one.column("keys")[0].values.take(pa.array(mine)), pa.array(c[mine] + 1.0),
+                     pa.ListArray.from_arrays(np.arange(len(e) + 1, dtype=np.int32) * len(weights), e.reshape(-1))], schema=schema)
+
+    return keys.join(codes, "block", "left").join(own, "block").select("counts", "keys", "codes", "own").mapInArrow(
+        run, "k bigint, size double, e array<double>")
 
 
 def log10_forward(model: Hmm, seen: np.ndarray, starts: np.ndarray, sizes: np.ndarray, piece: int = PIECE) -> np.ndarray:
@@ -403,27 +502,35 @@ def log10_forward(model: Hmm, seen: np.ndarray, starts: np.ndarray, sizes: np.nd
 
 
 def scores(table: DataFrame, counted: DataFrame, start: np.ndarray, move: np.ndarray, emissions: Emissions,
-           classes: int | None = None) -> DataFrame:
+           total: float, classes: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, log_counts (sum of log10(c + 1)), score."""
     word = table.select("block", F.posexplode("vocab").alias("code", "v")).select("block", "code", "v.w", "v.c")
     # a word whose training tokens all lie in the block needs no answer: the block has that count
     more = word.join(counted.withColumnRenamed("c", "total"), "w").where("total > c")
-    elsewhere = more.groupBy("block").agg(  # at most a block's own vocabulary
-        F.collect_list("code").alias("at"), F.collect_list("total").alias("total"))
-    joined = _with_emissions(table, emissions, classes, "double").drop("vocab").join(elsewhere, "block", "left")
-    unseen = emissions.unseen
+    elsewhere = materialize(more.groupBy("block").agg(  # at most a block's own vocabulary
+        F.collect_list("code").alias("at"), F.collect_list("total").alias("total")), "elsewhere")
+    columns = ["block", "code", "k", "size", "e"]
+    trained = emissions.shared.drop("size").join(emissions.several, "k").select(*columns)
+    absent = _entries(table, classes).where("c = 0").join(emissions.table, "k").select(*columns)
+    known = materialize(_known(trained.union(absent), "double"), "known")
+    joined = (table.drop("vocab", "noise").join(known, "block", "left").join(elsewhere, "block", "left")
+              .join(emissions.own, "block", "left"))
+    unseen, weights = emissions.unseen, emissions.weights
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                at, total = row.column("at")[0].values, row.column("total")[0].values
-                one = row.select(["tokens", "counts", "doc_ids", "held", "n_tokens"]).to_pylist()[0]
+                at, there = row.column("at")[0].values, row.column("total")[0].values
+                one = row.select(["tokens", "counts", "doc_ids", "held", "n_tokens", "own"]).to_pylist()[0]
                 tokens, first, sizes = _codes(one)
                 c = unpack(one["counts"])
+                code, _, emit, size = _local(row.column("known")[0], len(c), unseen)
+                mine = _own_codes(c, code)
+                emit[mine] = _own_next(c[mine], np.frombuffer(one["own"] or b"", np.float32).reshape(-1, len(weights)), weights, total)
+                size[mine] = c[mine] + 1
                 if at is not None:
-                    c[at.to_numpy()] = total.to_numpy()
-                emit, size = _local(row.column("known")[0], len(c), unseen)[2:]
+                    c[at.to_numpy()] = there.to_numpy()
                 hmm, logs = Hmm(start, move, emit), np.log10(c + 1)
                 sums = np.add.reduceat(logs[tokens], first)
                 # words within their class; without classes only the unseen symbol's one
@@ -434,17 +541,16 @@ def scores(table: DataFrame, counted: DataFrame, start: np.ndarray, move: np.nda
                     own[part] = log10_forward(hmm, tokens, first[part], sizes[part])
                 yield rows(SCORES, one["doc_ids"], one["held"], sizes, known_, sums, rest + own)
 
-    return joined.select("counts", "tokens", "doc_ids", "held", "n_tokens", "known", "at", "total").mapInArrow(run, SCORES_DDL)
+    return joined.select("counts", "tokens", "doc_ids", "held", "n_tokens", "known", "at", "total", "own").mapInArrow(run, SCORES_DDL)
 
 
 def score(docs: DataFrame, states: int = STATES, classes: int | None = None, iterations: int = ITERATIONS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every
     document; learns from the documents that are not held out."""
-    # dealt by block once, so that the joins of every iteration leave the tokens where they are
-    table = materialize(blocks(docs), "blocks").repartition("block").persist(StorageLevel.DISK_ONLY)
+    table = materialize(blocks(docs), "blocks")
     counted, counts, sizes = word_counts(table, classes)
     start, move, emissions, _ = train(table, counts, sizes, states, classes, iterations)
     base = float(np.log10(counts.tokens + counts.words + 1))
-    return scores(table, counted, start, move, emissions, classes).select(
+    return scores(table, counted, start, move, emissions, counts.total, classes).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"),
         (F.col("log_counts") - F.col("n_tokens") * F.lit(base)).alias("base_score"), "score")

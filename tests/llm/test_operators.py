@@ -18,6 +18,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -180,10 +181,41 @@ def test_hmm_learns_every_word(spark):
     start, move, emissions, _ = hmm_lm.train(table, counts, sizes, 2, None, 2)
     total = np.array([r.e for r in emissions.table.collect()]).sum(axis=0) + emissions.unseen
     assert emissions.table.count() == counts.words and np.allclose(total, 1, rtol=1e-4)
-    got = {r.doc_id: r for r in hmm_lm.scores(table, counted, start, move, emissions).collect()}
+    got = {r.doc_id: r for r in hmm_lm.scores(table, counted, start, move, emissions, counts.total).collect()}
     assert len(got) == 40 and all(r.score < 0 for r in got.values())
 
 
+def test_hmm_scores_against_one_table(spark):
+    """The whole operator against Baum-Welch over one list of words: words of one block, of
+    several, and words that a block only holds in texts that are not trained on."""
+    rnd = random.Random(6)
+    texts_ = [" ".join([*rnd.choices("abcdef", k=rnd.randrange(40)), *rnd.choices([f"w{i}é" for i in range(60)], k=8), f"own{i}"])
+              for i in range(40)] + [None, "", "nowhere else"]
+    got = {r.doc_id: r.score for r in hmm_lm.score(make_docs(spark, texts_).repartition(5), states=3, iterations=2).collect()}
+    toks = [[*(x.decode() for x in words(t)), ""] for t in texts_]
+    train = [i for i in range(len(toks)) if crc32(str(i).encode()) % 7 != 2]
+    count = Counter(w for i in train for w in toks[i])
+    vocab = {w: j for j, w in enumerate(count)}
+    c, n, v = np.array(list(count.values()), float)[:, None], sum(count.values()), len(count)
+    total = n + v + 1
+    hashes = [xxhash.xxh64_intdigest(xxhash.xxh64_intdigest(w.encode(), 42).to_bytes(8, "little"), 42) for w in vocab]
+    emit = (c + 1) / total * (1 + 0.6 * (np.array([[(2 * (h >> 5 * j & 31) + 1) / 32 for j in range(3)] for h in hashes]) - 1))
+    norm = emit.sum(axis=0) + 1 / total
+    emit, unseen = emit / norm, 1 / total / norm
+    start, move = np.full(3, 1 / 3), np.full((3, 3), 0.05) + np.eye(3) * 0.85
+    sizes = np.array([len(t) for t in toks])
+    starts, seen = np.cumsum(sizes) - sizes, np.array([vocab.get(w, v) for t in toks for w in t])
+    for _ in range(2):
+        model = hmm_lm.Hmm(start, move, np.vstack([emit, unseen]))
+        first, moves, found, _ = hmm_lm.expected_counts(model, seen, starts[train], sizes[train])
+        found, rest = found[:v] * (c + 1) / c, found[:v].sum(axis=0) / n
+        weight = found.sum(axis=0) + rest + hmm_lm.PRIOR
+        emit, unseen = (found + hmm_lm.PRIOR * (c + 1) / total) / weight, (rest + hmm_lm.PRIOR / total) / weight
+        start, move = (first + 1) / (first + 1).sum(), (moves + 1) / (moves + 1).sum(axis=1, keepdims=True)
+    want = hmm_lm.log10_forward(hmm_lm.Hmm(start, move, np.vstack([emit, unseen])), seen, starts, sizes)
+    assert np.allclose([got[i] for i in range(len(toks))], want, rtol=1e-4)
+
+
 def test_language_id(spark):
     rnd = random.Random(1)
     base = {"en": "the and of that with from this which water house".split(),
