@@ -90,7 +90,7 @@ class Emissions:
     table: DataFrame       # k, size (numerator of the share), e (probability per state)
     unseen: np.ndarray     # the same of any key that is not in the table
     weights: np.ndarray    # per state: divisor of the first emissions, then expected tokens
-    shared: DataFrame | None = None     # block, code, k, size: words of several blocks
+    shared: DataFrame | None = None     # block, code, k: words of several blocks
     several: DataFrame | None = None    # the rows of ``table`` of those words
     own: DataFrame | None = None        # block, own: expected counts of the block's other words
 
@@ -378,9 +378,9 @@ def train(table: DataFrame, counts: Counts, sizes: DataFrame, states: int = STAT
     move = np.full((states, states), 0.1 / max(1, states - 1))  # sticky states
     np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
     first = first_emissions(sizes, counts, states)
-    entries = _entries(table, classes).where("c > 0").join(first.table, "k")
-    shared = materialize((entries if classes else entries.where("size - 1 > c")).select("block", "code", "k", "size", "e"), "shared-words")
-    several = materialize(shared.groupBy("k").agg(F.first("size").alias("size")), "shared-sizes")
+    entries = _entries(table, classes).where("c > 0").join(sizes, "k")
+    shared = materialize((entries if classes else entries.where("size - 1 > c")).select("block", "code", "k"), "shared-words")
+    several = materialize(sizes.join(shared.select("k"), "k", "left_semi"), "shared-sizes")
     emissions, own, paths = None, None, []
     out = pa.schema([("row", pa.int32()), ("k", pa.int64()), ("v", pa.list_(pa.float32())), ("own", pa.binary())])
     # rows: -1 for a block's own words, 0 for shared ones, then one per state (moves), starts,
@@ -424,10 +424,10 @@ def train(table: DataFrame, counts: Counts, sizes: DataFrame, states: int = STAT
             yield rows(out, np.arange(1, states + 5), np.zeros(states + 4, np.int64), list(tail.astype(np.float32)), [None] * (states + 4))
 
         emissions_of_words = own is not None
-        found = shared.drop("e", "size").join(emissions.table, "k") if emissions else shared
+        found = shared.join(now.table, "k")
         texts = table.select("block", "counts", "tokens", "held", "n_tokens", *([] if own else [F.col("noise").alias("own")]))
         joined = (texts.join(own, "block", "left") if own else texts).join(_known(found, "float"), "block", "left")
-        parts, path = written(joined.select("block", "counts", "tokens", "held", "n_tokens", "own", "known")
+        parts, parts_path = written(joined.select("block", "counts", "tokens", "held", "n_tokens", "own", "known")
                               .mapInArrow(estep, "row int, k bigint, v array<float>, own binary"), "expected-parts")
         by_state = [F.sum(F.col("v")[j].cast("double")).alias(f"v{j}") for j in range(states)]
         sums, sums_path = written(parts.where("row = 0").groupBy("k").agg(*by_state), "expected")
@@ -438,13 +438,12 @@ def train(table: DataFrame, counts: Counts, sizes: DataFrame, states: int = STAT
         history.append(tail[states + 1, 0])
         move, start = tail[:states] + 1.0, tail[states] + 1.0
         start, move = start / start.sum(), move / move.sum(axis=1, keepdims=True)
-        own = parts.where("row = -1").select(F.col("k").alias("block"), "own")
+        own, own_path = written(parts.where("row = -1").select(F.col("k").alias("block"), "own"), "own-words")
         emissions = next_emissions(several, counts, sums, totals, tail[states + 3], classes)
-        for old in paths:                # the tables of the iteration before
+        for old in [parts_path, *paths]:     # summed, or of the iteration before
             discard(spark, old)
-        paths = [path, sums_path]
+        paths = [sums_path, own_path]
     table_of_shared = materialize(emissions.table, "emissions")
-    shared = shared.drop("e")
     whole = table_of_shared.union(_own_table(table, shared, own, emissions.weights, total))
     return start, move, Emissions(whole, emissions.unseen, emissions.weights, shared, table_of_shared, own), history
 
@@ -510,7 +509,7 @@ def scores(table: DataFrame, counted: DataFrame, start: np.ndarray, move: np.nda
     elsewhere = materialize(more.groupBy("block").agg(  # at most a block's own vocabulary
         F.collect_list("code").alias("at"), F.collect_list("total").alias("total")), "elsewhere")
     columns = ["block", "code", "k", "size", "e"]
-    trained = emissions.shared.drop("size").join(emissions.several, "k").select(*columns)
+    trained = emissions.shared.join(emissions.several, "k").select(*columns)
     absent = _entries(table, classes).where("c = 0").join(emissions.table, "k").select(*columns)
     known = materialize(_known(trained.union(absent), "double"), "known")
     joined = (table.drop("vocab", "noise").join(known, "block", "left").join(elsewhere, "block", "left")
