@@ -13,14 +13,20 @@ is then a per-row ``array_min`` plus one small per-budget-key aggregate.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import combinations
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderlab.functions.newsvendor import sigmoid, softplus
 from orderlab.session import cut_lineage
 
 COST_DIGITS = 9
-HASH_PREFIX = 3
+HASH_PREFIX = 3    # hex digits of the md5 ranges of one cost
+COST_RANGES = 256  # quantiles of a cost level
 
 
 def joint_items(y1: DataFrame, y2: DataFrame, keys, scen1: DataFrame, scen2: DataFrame,
@@ -111,94 +117,185 @@ def _choose(lam1: Column, lam2: Column) -> Column:
         c["q1"].alias("q1"), c["q2"].alias("q2"), c["cost"].alias("cost"))))
 
 
-def joint_orders(items: DataFrame, budgets: DataFrame, bkey: str, moq: int, rounds: int = 36,
-                 passes: int = 3):
-    """Dual rounds on per-(season) Year-1 and Year-2 budget prices.
-
-    ``budgets``: bkey, budget1, budget2 (one row per budget key, driver-sized).
-    Each round sets every price to the middle of its bracket, chooses every
-    item's best candidate, sums spend per key and period, and halves the
-    brackets (coordinate bisection).  The final plan blends the choices at the
-    two bracket ends so each budget is met exactly.  Returns (plan, duals):
-    plan has the continuous (q1, q2); duals has l1, l2 and the Lagrangian
-    lower bound per key (valid for the feasible-side prices).
+def _corner_points(d1, d2, cu1: float, co2: float, cu2: float, moq: float):
+    """Corners (q1, q2, cost) of the joint cost that can be best at some prices >= 0.
+
+    With q1 fixed the cost is a newsvendor cost of q2 on the demands left over, with q2
+    fixed a sum of hinges of q1; sorted once, prefix sums give it at every kink, so N
+    scenarios cost N^2 log N.  A corner with another one no larger in q1, q2 and cost
+    is left out."""
+    a, b = np.asarray(d1, float), np.asarray(d2, float)
+    n, s = len(a), a + b
+
+    # q1 at a Year-1 kink or the MOQ, q2 at every kink of what is left
+    A = np.unique(np.append(a[a >= moq], moq))
+    left = np.sort(np.where(a >= A[:, None], b, s - A[:, None]), axis=1)
+    before = np.concatenate([np.zeros((len(A), 1)), np.cumsum(left, axis=1)], axis=1)
+    below = (left <= moq).sum(axis=1)[:, None]
+    k = np.concatenate([below, np.maximum(np.arange(1, n + 1), below)], axis=1)
+    q = np.concatenate([np.full((len(A), 1), moq), np.maximum(left, moq)], axis=1)
+    pre = np.take_along_axis(before, k, axis=1)
+    y2 = co2 * (k * q - pre) + cu2 * (before[:, -1:] - pre - (n - k) * q)
+    y1 = cu1 * np.maximum(a - A[:, None], 0).sum(axis=1)[:, None]
+    q1, q2, cost = [np.broadcast_to(A[:, None], q.shape).ravel()], [q.ravel()], [(y1 + y2).ravel()]
+
+    # q2 at a Year-2 kink or the MOQ, q1 where both years' demand is just met
+    order = np.argsort(a, kind="stable")
+    sa, sb, ss = a[order], b[order], np.sort(s)
+    from_a = np.concatenate([[0.0], np.cumsum(sa)])
+    from_s = np.concatenate([[0.0], np.cumsum(ss)])
+    for v in np.unique(np.append(b[b >= moq], moq)):
+        x = ss - v
+        x = np.unique(x[x >= moq])
+        if not len(x):
+            continue
+        w = np.where(sb <= v, co2, -cu2)
+        at = np.searchsorted(sa, x, side="right")
+        w0, w1 = np.concatenate([[0.0], np.cumsum(w)]), np.concatenate([[0.0], np.cumsum(w * sa)])
+        short = sb > v
+        kink = np.sort((sa + sb - v)[short])
+        kat, ksum = np.searchsorted(kink, x, side="right"), np.concatenate([[0.0], np.cumsum(kink)])
+        f = (cu1 * (from_a[-1] - from_a[at] - (n - at) * x) + w0[at] * x - w1[at]
+             + (cu2 + co2) * (kat * x - ksum[kat])
+             + co2 * (v - sb[~short]).sum() + cu2 * (sb[short] - v).sum())
+        q1.append(x)
+        q2.append(np.full(len(x), v))
+        cost.append(f)
+    q1, q2 = np.concatenate(q1), np.concatenate(q2)
+    cost = np.round(np.concatenate(cost) / n, COST_DIGITS)
+
+    # cheapest first; a staircase (q1 up, q2 down) of the kept ones tells what they cover
+    keep, xs, ys = [], [], []
+    for i in np.lexsort((q2, q1, cost)):
+        p, r = q1[i], q2[i]
+        j = bisect_right(xs, p)
+        if j and ys[j - 1] <= r:
+            continue
+        keep.append(i)
+        lo = j - 1 if j and xs[j - 1] == p else j
+        hi = lo
+        while hi < len(xs) and ys[hi] >= r:
+            hi += 1
+        xs[lo:hi], ys[lo:hi] = [p], [r]
+    return q1[keep], q2[keep], cost[keep]
+
+
+def with_corners(items: DataFrame, moq: int) -> DataFrame:
+    """Like ``with_candidates`` for many scenarios a row: only the corners that can be best
+    at some prices.  An item without costs gets the MOQ at unknown cost."""
+    cols = items.columns
+    schema = T.StructType([*items.schema.fields, *[T.StructField(c, T.ArrayType(T.DoubleType()))
+                                                   for c in ("_k", "_x", "_y")]])
+
+    def run(batches):
+        for pdf in batches:
+            out = [_corner_points(r.d1, r.d2, r.cu1, r.co2, r.cu2, float(moq))
+                   if not any(c is None or c != c for c in (r.cu1, r.co2, r.cu2)) else
+                   ([float(moq)], [float(moq)], [None]) for r in pdf.itertuples(index=False)]
+            yield pdf.assign(_k=[list(o[2]) for o in out], _x=[list(o[0]) for o in out], _y=[list(o[1]) for o in out])
+    return (items.mapInPandas(run, schema)
+            .select(*cols, F.arrays_zip(F.col("_k").alias("cost"), F.col("_x").alias("q1"), F.col("_y").alias("q2"))
+                    .alias("cands")))
+
+
+def _best_mix(cuts: list, b1: float, b2: float, top: float):
+    """The mix of evaluated choices of least cost that meets both budgets.
+
+    ``cuts``: (cost, spend1, spend2) of choices seen.  Returns (cost, prices, weights by
+    cut).  Two budgets and the sum of weights allow three parts at most, so all triples
+    of choices, unspent money and (at the top price) missing money are solved at once."""
+    g = np.array([(s1 - b1, s2 - b2) for _, s1, s2 in cuts])
+    scale = max(np.abs(g).max(), 1e-9)
+    cols = np.concatenate([np.column_stack([g / scale, np.ones(len(g))]),
+                           [[1, 0, 0], [0, 1, 0], [-1, 0, 0], [0, -1, 0]]])
+    price = np.array([c for c, _, _ in cuts] + [0, 0, top * scale, top * scale], float)
+    tri = np.array(list(combinations(range(len(cols)), 3)))
+    m = cols[tri].transpose(0, 2, 1)
+    ok = np.abs(np.linalg.det(m)) > 1e-12
+    tri, m = tri[ok], m[ok]
+    w = np.linalg.solve(m, np.broadcast_to(np.array([0, 0, 1.0])[:, None], (len(m), 3, 1)))[:, :, 0]
+    ok = (w >= -1e-9).all(axis=1)
+    tri, m, w = tri[ok], m[ok], np.clip(w[ok], 0, None)
+    cost = (w * price[tri]).sum(axis=1)
+    near = np.flatnonzero(cost <= cost.min() + 1e-9 * max(1.0, abs(cost.min())))
+    y = np.linalg.solve(m[near].transpose(0, 2, 1), price[tri[near]][:, :, None])[:, :, 0]
+    # of equal mixes, the one whose prices no other choice contradicts
+    slack = (price[None, :] - y @ cols.T).min(axis=1)
+    pick = int(slack.argmax())
+    i = near[pick]
+    lam = np.clip(-y[pick, :2] / scale, 0, top)
+    return float(cost[i]), (float(lam[0]), float(lam[1])), {int(t): float(x) for t, x in zip(tri[i], w[i]) if t < len(g) and x > 0}
+
+
+def joint_orders(items: DataFrame, budgets: DataFrame, bkey: str, moq: int, rounds: int = 60, tol: float = 1e-6):
+    """Prices of the Year-1 and Year-2 budgets per key, to a relative tolerance.
+
+    ``budgets``: bkey, budget1, budget2 (one row per budget key, driver-sized).  A round
+    prices every item's corners and sums cost and spend per key: one aggregate, two price
+    pairs a key.  Each gives a bound from below (the priced cost) and one more choice to
+    mix; the best mix that meets the budgets bounds the convexified optimum from above and
+    proposes the next prices.  Rounds end when the two are within ``tol`` (``gap`` in the
+    duals says how near they came).  Returns (plan, duals): plan has the continuous (q1, q2),
+    the mix of at most three choices; duals has the prices l1, l2, ``dual_bound`` and ``gap``.
     """
     spark = items.sparkSession
     # checkpointed (lineage cut, survives executor loss) and kept in memory for the rounds
-    cand = cut_lineage(with_candidates(items, moq)).persist()
+    cand = cut_lineage(with_corners(items, moq)).persist()
     b = {r[bkey]: (float(r["budget1"]), float(r["budget2"])) for r in budgets.collect()}  # one row per key
-    top = cand.agg(F.max((F.col("cu1") + F.col("co2") + F.col("cu2")) / F.col("unit_cost"))).first()[0] or 1.0
-    lo1 = {k: 0.0 for k in b}
-    hi1 = {k: float(top) for k in b}
-    lo2, hi2 = dict(lo1), dict(hi1)
-
-    def lam_df(l1, l2):
-        return spark.createDataFrame([(k, l1[k], l2[k]) for k in b], f"`{bkey}` string, l1 double, l2 double")
-
-    def spend(l1, l2):
-        ch = cand.join(F.broadcast(lam_df(l1, l2)), bkey).withColumn("_c", _choose(F.col("l1"), F.col("l2")))
-        rows = ch.groupBy(bkey).agg(F.sum(F.col("unit_cost") * F.col("_c.q1")).alias("s1"),
-                                    F.sum(F.col("unit_cost") * F.col("_c.q2")).alias("s2")).collect()
-        return {r[bkey]: (r["s1"] or 0.0, r["s2"] or 0.0) for r in rows}
-
-    # prices 0: if the unconstrained choice fits, the budget does not bind
-    s0 = spend(lo1, lo2)
-    for k in b:
-        if s0.get(k, (0, 0))[0] <= b[k][0]:
-            hi1[k] = 0.0
-        if s0.get(k, (0, 0))[1] <= b[k][1]:
-            hi2[k] = 0.0
-    # Coordinate bisection, repeated: Year-2 spend also depends on the Year-1
-    # price (carry-over), so after each pass a bracket whose upper end is no
-    # longer feasible is re-opened upward and bisected again.
-    per_pass = max(rounds // passes, 1)
-    for p in range(passes):
-        for _ in range(per_pass):
-            m1 = {k: (lo1[k] + hi1[k]) / 2 for k in b}
-            m2 = {k: (lo2[k] + hi2[k]) / 2 for k in b}
-            s = spend(m1, m2)
-            for k in b:
-                s1, s2 = s.get(k, (0.0, 0.0))
-                if hi1[k] > lo1[k]:
-                    (lo1 if s1 > b[k][0] else hi1)[k] = m1[k]
-                if hi2[k] > lo2[k]:
-                    (lo2 if s2 > b[k][1] else hi2)[k] = m2[k]
-        s = spend(hi1, hi2)
-        bad = False
+    top = float(cand.agg(F.max((F.col("cu1") + F.col("co2") + F.col("cu2")) / F.col("unit_cost"))).first()[0] or 1.0)
+    uc = F.col("unit_cost")
+
+    def lam_df(pairs):
+        return spark.createDataFrame([(k, v) for k, v in pairs.items()],
+                                     f"`{bkey}` string, _lam array<struct<l1:double,l2:double,w:double>>")
+
+    def chosen(pairs):
+        """Every item with its choice at each of its key's prices."""
+        return (cand.join(F.broadcast(lam_df(pairs)), bkey)
+                .withColumn("_ch", F.transform("_lam", lambda p: _choose(p["l1"], p["l2"]))))
+
+    def evaluate(pairs):
+        x = chosen(pairs).select(bkey, "unit_cost", F.posexplode("_ch").alias("_i", "_c"))
+        rows = x.groupBy(bkey, "_i").agg(F.sum("_c.cost").alias("c"), F.sum(uc * F.col("_c.q1")).alias("s1"),
+                                         F.sum(uc * F.col("_c.q2")).alias("s2")).collect()
+        for r in rows:
+            seen[r[bkey]].append(((r["c"] or 0.0, r["s1"] or 0.0, r["s2"] or 0.0), pairs[r[bkey]][r["_i"]][:2]))
+
+    def bound(k):
+        """Largest priced cost seen and its prices."""
+        return max((c + l1 * (s1 - b[k][0]) + l2 * (s2 - b[k][1]), (l1, l2)) for (c, s1, s2), (l1, l2) in seen[k])
+
+    seen = {k: [] for k in b}
+    evaluate({k: [(x, y, 0.0) for x in (0.0, top) for y in (0.0, top)] for k in b})
+    mixes, gaps = {}, {}
+    for _ in range(max(rounds, 1)):
+        pairs = {}
         for k in b:
-            s1, s2 = s.get(k, (0.0, 0.0))
-            if s1 > b[k][0] + 1e-6:
-                lo1[k], hi1[k], bad = hi1[k], float(top), True
-            if s2 > b[k][1] + 1e-6:
-                lo2[k], hi2[k], bad = hi2[k], float(top), True
-        if not bad:
+            if not seen[k]:  # a key without items
+                continue
+            mixes[k] = _best_mix([c for c, _ in seen[k]], *b[k], top)
+            low, at = bound(k)
+            gaps[k] = max(mixes[k][0] - low, 0.0)
+            if gaps[k] > tol * max(1.0, abs(low)):
+                lam = mixes[k][1]
+                pairs[k] = [(*lam, 0.0), ((lam[0] + at[0]) / 2, (lam[1] + at[1]) / 2, 0.0)]
+        if not pairs:
             break
-    # Blend the vertex choices at the two bracket ends so each budget is met
-    # exactly: spend is linear in the blend weight, one weight per key and year.
-    lam = lam_df(hi1, hi2).join(F.broadcast(lam_df(lo1, lo2).select(
-        bkey, F.col("l1").alias("m1"), F.col("l2").alias("m2"))), bkey)
-    ch = (cand.join(F.broadcast(lam), bkey)
-          .withColumn("_c", _choose(F.col("l1"), F.col("l2")))
-          .withColumn("_d", _choose(F.col("m1"), F.col("m2"))))
-    bud = spark.createDataFrame([(k, v[0], v[1]) for k, v in b.items()], f"`{bkey}` string, budget1 double, budget2 double")
-    uc = F.col("unit_cost")
-    th = (ch.groupBy(bkey).agg(F.sum(uc * F.col("_c.q1")).alias("_h1"), F.sum(uc * F.col("_d.q1")).alias("_l1"),
-                               F.sum(uc * F.col("_c.q2")).alias("_h2"), F.sum(uc * F.col("_d.q2")).alias("_l2"))
-          .join(F.broadcast(bud), bkey)
-          .select(bkey, *[F.when(F.col(f"_l{i}") > F.col(f"_h{i}"),
-                                 F.least(F.greatest((F.col(f"budget{i}") - F.col(f"_h{i}")) /
-                                                    (F.col(f"_l{i}") - F.col(f"_h{i}")), F.lit(0.0)), F.lit(1.0)))
-                          .otherwise(0.0).alias(f"_t{i}") for i in (1, 2)]))
-    ch = ch.join(F.broadcast(th), bkey)
-    q1 = F.col("_c.q1") + F.col("_t1") * (F.col("_d.q1") - F.col("_c.q1"))
-    q2 = F.col("_c.q2") + F.col("_t2") * (F.col("_d.q2") - F.col("_c.q2"))
-    plan = ch.select(*[c for c in items.columns], "l1", "l2", q1.alias("q1"), q2.alias("q2"), F.col("_c.v").alias("_v"))
-    duals = (plan.groupBy(bkey).agg(F.sum("_v").alias("_lag"), F.first("l1").alias("l1"), F.first("l2").alias("l2"))
-             .join(F.broadcast(bud), bkey)
-             .withColumn("dual_bound", F.col("_lag") - F.col("l1") * F.col("budget1") - F.col("l2") * F.col("budget2"))
-             .drop("_lag"))
+        evaluate(pairs)
+
+    mix = {k: [(*seen[k][i][1], w) for i, w in m[2].items()] for k, m in mixes.items()}
+
+    def blend(q):
+        return F.aggregate(F.arrays_zip("_lam", "_ch"), F.lit(0.0),
+                           lambda acc, z: acc + z["_lam"]["w"] * z["_ch"][q])
+    best = {k: bound(k) for k in mixes}
+    duals = spark.createDataFrame([(k, *best[k][1], *b[k], best[k][0], gaps[k]) for k in mixes],
+                                  f"`{bkey}` string, l1 double, l2 double, budget1 double, budget2 double, "
+                                  "dual_bound double, gap double")
+    plan = (chosen(mix).join(F.broadcast(duals.select(bkey, "l1", "l2")), bkey)
+            .select(*items.columns, "l1", "l2", blend("q1").alias("q1"), blend("q2").alias("q2")))
     cand.unpersist()  # later evaluation of the plan reads the checkpoint
-    return plan.drop("_v"), duals
+    return plan, duals
 
 
 def joint_project(plan: DataFrame, budgets: DataFrame, bkey: str, moq: int) -> DataFrame:
@@ -218,28 +315,60 @@ def joint_project(plan: DataFrame, budgets: DataFrame, bkey: str, moq: int) -> D
     return out
 
 
+def _narrow(x: DataFrame, bkey: str) -> DataFrame:
+    """One level of the cut: of the undecided rows (``_st`` 0), those in buckets ``_b`` below
+    the one where the excess is used up are cut whole (-1), those above stay (1)."""
+    sums = x.filter((F.col("_st") == 0) & (F.col("_rem") > 0)).groupBy(bkey, "_b").agg(F.sum("_rem").alias("_s"))
+    w = Window.partitionBy(bkey).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    cum = sums.withColumn("_c", F.sum("_s").over(w))
+    need = x.groupBy(bkey).agg(F.max("_excess").alias("_need"))
+    cut = (cum.join(F.broadcast(need), bkey).filter(F.col("_c") >= F.col("_need"))
+           .groupBy(bkey).agg(F.min(F.struct("_b", F.expr("_c - _s").alias("_used"))).alias("_m"))
+           .select(bkey, F.col("_m._b").alias("_at"), F.col("_m._used").alias("_used")))
+    x = x.join(F.broadcast(cut), bkey, "left")
+    st = (F.when(F.col("_st") != 0, F.col("_st")).when(F.col("_at").isNull() | (F.col("_b") < F.col("_at")), -1)
+          .when(F.col("_b") > F.col("_at"), 1).otherwise(0))
+    return (x.withColumn("_st", st).withColumn("_excess", F.col("_excess") - F.coalesce("_used", F.lit(0.0)))
+             .drop("_b", "_at", "_used"))
+
+
+def _cost_ranges(x: DataFrame, bkey: str) -> DataFrame:
+    """Bucket of every row by unit cost: COST_RANGES quantiles of the undecided rows; an odd
+    bucket is one cost, an even one lies between two."""
+    at = F.lit([i / COST_RANGES for i in range(COST_RANGES + 1)])
+    cuts = (x.filter(F.col("_st") == 0).groupBy(bkey)
+            .agg(F.array_sort(F.array_distinct(F.percentile_approx("unit_cost", at))).alias("_q")))
+    below = F.size(F.filter("_q", lambda v: v < F.col("unit_cost")))
+    return (x.join(F.broadcast(cuts), bkey, "left")
+             .withColumn("_b", 2 * below + F.array_contains("_q", F.col("unit_cost")).cast("int")).drop("_q"))
+
+
 def _repair_one(plan: DataFrame, q: str, bcol: str, budgets: DataFrame, bkey: str, moq: int, keys) -> DataFrame:
     """B6 for one year: ceil, then cut the cheapest units first until each key
-    fits its budget (never below MOQ).  Order: unit cost, then md5(item key);
-    found with a two-level prefix sum (bucket = (unit cost, md5 prefix))."""
+    fits its budget (never below MOQ).  Order: unit cost, then md5(item key).
+    The place where the excess is used up is narrowed by two levels of cost ranges and
+    one of md5 prefixes, so that only the rows of one small range are ranked."""
     x = plan.withColumn(q, F.ceil(F.col(q)).cast("double"))
     ex = (x.groupBy(bkey).agg(F.sum(F.col("unit_cost") * F.col(q)).alias("_sp"))
           .join(budgets.select(bkey, bcol), bkey)
           .select(bkey, (F.col("_sp") - F.col(bcol)).alias("_excess")))
-    h = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
-    x = (x.join(F.broadcast(ex), bkey).withColumn("_h", h).withColumn("_p", F.substring("_h", 1, HASH_PREFIX))
-         .withColumn("_rem", (F.col(q) - moq) * F.col("unit_cost")))
-    bk = x.filter(F.col("_rem") > 0).groupBy(bkey, "unit_cost", "_p").agg(F.sum("_rem").alias("_bs"))
-    w1 = Window.partitionBy(bkey).orderBy("unit_cost", "_p").rowsBetween(Window.unboundedPreceding, 0)
-    bk = bk.withColumn("_bbefore", F.sum("_bs").over(w1) - F.col("_bs"))
-    w2 = Window.partitionBy(bkey, "unit_cost", "_p").orderBy("_h", *keys).rowsBetween(Window.unboundedPreceding, 0)
-    y = (x.join(bk, [bkey, "unit_cost", "_p"], "left")
-         .withColumn("_before", F.coalesce("_bbefore", F.lit(0.0))
-                     + F.when(F.col("_rem") > 0, F.sum("_rem").over(w2) - F.col("_rem")).otherwise(0.0)))
-    cut_units = (F.when((F.col("_excess") <= 1e-9) | (F.col("_rem") <= 0) | (F.col("_before") >= F.col("_excess")), 0.0)
-                 .when(F.col("_before") + F.col("_rem") <= F.col("_excess"), F.col(q) - moq)
-                 .otherwise(F.ceil((F.col("_excess") - F.col("_before")) / F.col("unit_cost") - 1e-9)))
-    return y.withColumn(q, F.col(q) - cut_units).drop("_h", "_p", "_rem", "_bs", "_bbefore", "_before", "_excess")
+    x = (x.join(F.broadcast(ex), bkey)
+          .withColumn("_h", F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])))
+          .withColumn("_rem", F.coalesce((F.col(q) - moq) * F.col("unit_cost"), F.lit(0.0)))
+          .withColumn("_st", F.when((F.col("_excess") <= 1e-9) | (F.col("_rem") <= 0), 1).otherwise(0)))
+    x = cut_lineage(x)
+    x = _narrow(_cost_ranges(x, bkey), bkey)
+    x = _cost_ranges(x, bkey).withColumn("_one", F.col("_b") % 2 == 1)
+    x = _narrow(x, bkey)
+    x = _narrow(x.withColumn("_b", F.when(F.col("_one"), F.conv(F.substring("_h", 1, HASH_PREFIX), 16, 10).cast("int"))
+                             .otherwise(0)), bkey)
+    # only the undecided rows of a key meet in one task
+    w = Window.partitionBy(bkey).orderBy("unit_cost", "_h", *keys).rowsBetween(Window.unboundedPreceding, 0)
+    left = x.filter(F.col("_st") == 0).withColumn("_before", F.sum("_rem").over(w) - F.col("_rem"))
+    units = F.ceil((F.col("_excess") - F.col("_before")) / F.col("unit_cost") - 1e-9).cast("double")
+    left = left.withColumn(q, F.col(q) - F.least(F.greatest(units, F.lit(0.0)), F.col(q) - moq))
+    done = x.filter(F.col("_st") != 0).withColumn(q, F.when(F.col("_st") < 0, F.lit(float(moq))).otherwise(F.col(q)))
+    return done.select(*plan.columns).unionByName(left.select(*plan.columns))
 
 
 def joint_repair(plan: DataFrame, budgets: DataFrame, bkey: str, moq: int, keys) -> DataFrame:
@@ -270,6 +399,22 @@ def joint_spend(plan: DataFrame, budgets: DataFrame, bkey: str, tol: float = 1.0
     return s.withColumn("max_violation", v).withColumn("feasible", v <= tol)
 
 
+def shadow_price(plan: DataFrame, duals: DataFrame, plan_more: DataFrame, duals_more: DataFrame, bkey: str,
+                 step: float) -> DataFrame:
+    """Year-1 budget price at a budget and at ``step`` more.  The convexified optimum is
+    convex in the budget, so ``finite_difference`` lies between the two prices up to
+    ``gap`` / step; ``plan_difference`` compares the exact cost of the two plans."""
+    def total(p, name):
+        return p.groupBy(bkey).agg(F.sum(joint_cost(F.col("q1"), F.col("q2"))).alias(name))
+    d = duals.select(bkey, F.col("l1").alias("y1_dual"), F.col("dual_bound").alias("_v"), F.col("gap").alias("_g"))
+    m = duals_more.select(bkey, F.col("l1").alias("y1_dual_after"), F.col("dual_bound").alias("_vm"),
+                          F.col("gap").alias("_gm"))
+    x = d.join(F.broadcast(m), bkey).join(total(plan, "_o"), bkey).join(total(plan_more, "_om"), bkey)
+    return x.select(bkey, "y1_dual", "y1_dual_after", ((F.col("_v") - F.col("_vm")) / step).alias("finite_difference"),
+                    ((F.col("_o") - F.col("_om")) / step).alias("plan_difference"),
+                    (F.col("_g") + F.col("_gm")).alias("gap"))
+
+
 def formulation_table(a_plan: DataFrame, b_plan: DataFrame, keys, y1: int, y2: int) -> DataFrame:
     """B10 (J4): per item A-Y1, A-Y2, B-Y1, B-Y2 quantities and carry-over,
     from one union + group-by (a full outer join of four inputs in one shuffle)."""

@@ -177,15 +177,16 @@ def q_joint_spend(spark, sf_dir):
     return J.joint_spend(rep, bud, "season").join(duals.select("season", "dual_bound"), "season")
 
 
-@register("joint_shadow_price", "season:string, y1_dual:double, finite_difference:double", None, ops="B9")
+@register("joint_shadow_price", "season:string, y1_dual:double, y1_dual_after:double, finite_difference:double, "
+          "plan_difference:double, gap:double", None, ops="B9")
 def q_joint_shadow_price(spark, sf_dir):
+    """Year-1 price before and after $50 more, the difference a dollar of the convexified
+    optimum (between the two prices, up to the gaps) and that of the plans' exact cost (which
+    is not convex and may lie outside)."""
     it, bud, plan, duals = _orders(spark, sf_dir)
     bud_p = bud.withColumn("budget1", F.col("budget1") + 50.0)
-    _, _, plan_p, _ = _orders(spark, sf_dir, it, bud_p)
-    o = plan.groupBy("season").agg(F.sum(J.joint_cost(F.col("q1"), F.col("q2"))).alias("_o"))
-    op = plan_p.groupBy("season").agg(F.sum(J.joint_cost(F.col("q1"), F.col("q2"))).alias("_op"))
-    return (duals.select("season", F.col("l1").alias("y1_dual")).join(o, "season").join(op, "season")
-            .withColumn("finite_difference", (F.col("_o") - F.col("_op")) / 50.0))
+    _, _, plan_p, duals_p = _orders(spark, sf_dir, it, bud_p)
+    return J.shadow_price(plan, duals, plan_p, duals_p, "season", 50.0)
 
 
 def _a_plan(spark, sf_dir):
