@@ -8,7 +8,7 @@ by date is not applied (it would add a range shuffle for presentation only);
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,6 +148,17 @@ def drop_nonpositive_target(df: DataFrame, target: str) -> DataFrame:
     return df.filter(F.col(target).isNotNull() & (F.col(target) > 0))
 
 
+def drop_and_report(df: DataFrame, target: str) -> tuple[DataFrame, Observation]:
+    """P4 with its count: the filtered rows and an Observation of ``rows``, ``null_target`` and
+    ``nonpositive``.  They are counted in the pass that computes the rows, not in one of their
+    own; the values can be read once an action on the rows has run."""
+    seen = Observation()
+    t = F.col(target)
+    out = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(t.isNull()).alias("null_target"),
+                     F.count_if(t <= 0).alias("nonpositive"))
+    return drop_nonpositive_target(out, target), seen
+
+
 def write_clean_lines(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """S3 + O1: partitioned by year, sorted by (order_date, order_id) inside files.
 

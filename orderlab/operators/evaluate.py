@@ -93,6 +93,16 @@ def sensitivity(scored: DataFrame, qty: str, demand: str, price: str, co_mult: f
                     F.when(base > 0, (cost / base - 1) * 100).otherwise(0.0).alias("pct_change"))
 
 
+def range_ratio(sens: DataFrame) -> DataFrame:
+    """E5: spread of the total cost over the shifts of each multiplier, and overage spread
+    over underage spread (null if the latter is 0)."""
+    def spread(p):
+        c = F.when(F.col("parameter") == p, F.col("total_cost"))
+        return F.max(c) - F.min(c)
+    r = sens.agg(spread("overage").alias("co_range"), spread("underage").alias("cu_range"))
+    return r.select("co_range", "cu_range", F.try_divide("co_range", "cu_range").alias("range_ratio"))
+
+
 def stockout_rates(scored: DataFrame, qty: str = "agent_qty", demand: str = "demand",
                    by: str = "size") -> DataFrame:
     """Share of items short (demand > order) and over (order > demand) per size."""

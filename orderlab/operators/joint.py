@@ -27,6 +27,15 @@ from orderlab.session import cut_lineage
 COST_DIGITS = 9
 HASH_PREFIX = 3    # hex digits of the md5 ranges of one cost
 COST_RANGES = 256  # quantiles of a cost level
+LAST = 2**31 - 1   # beyond every bucket
+
+
+def two_test_years(items: DataFrame, year: str = "year") -> tuple[int, int]:
+    """B1: the first two years of the test items; fewer are an error."""
+    found = sorted(r[0] for r in items.select(year).distinct().collect() if r[0] is not None)  # one row per year
+    if len(found) < 2:
+        raise ValueError(f"two test years are needed, found {found}")
+    return found[0], found[1]
 
 
 def joint_items(y1: DataFrame, y2: DataFrame, keys, scen1: DataFrame, scen2: DataFrame,
@@ -315,60 +324,67 @@ def joint_project(plan: DataFrame, budgets: DataFrame, bkey: str, moq: int) -> D
     return out
 
 
-def _narrow(x: DataFrame, bkey: str) -> DataFrame:
-    """One level of the cut: of the undecided rows (``_st`` 0), those in buckets ``_b`` below
-    the one where the excess is used up are cut whole (-1), those above stay (1)."""
-    sums = x.filter((F.col("_st") == 0) & (F.col("_rem") > 0)).groupBy(bkey, "_b").agg(F.sum("_rem").alias("_s"))
-    w = Window.partitionBy(bkey).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    cum = sums.withColumn("_c", F.sum("_s").over(w))
-    need = x.groupBy(bkey).agg(F.max("_excess").alias("_need"))
-    cut = (cum.join(F.broadcast(need), bkey).filter(F.col("_c") >= F.col("_need"))
-           .groupBy(bkey).agg(F.min(F.struct("_b", F.expr("_c - _s").alias("_used"))).alias("_m"))
-           .select(bkey, F.col("_m._b").alias("_at"), F.col("_m._used").alias("_used")))
-    x = x.join(F.broadcast(cut), bkey, "left")
-    st = (F.when(F.col("_st") != 0, F.col("_st")).when(F.col("_at").isNull() | (F.col("_b") < F.col("_at")), -1)
-          .when(F.col("_b") > F.col("_at"), 1).otherwise(0))
-    return (x.withColumn("_st", st).withColumn("_excess", F.col("_excess") - F.coalesce("_used", F.lit(0.0)))
-             .drop("_b", "_at", "_used"))
-
-
-def _cost_ranges(x: DataFrame, bkey: str) -> DataFrame:
-    """Bucket of every row by unit cost: COST_RANGES quantiles of the undecided rows; an odd
-    bucket is one cost, an even one lies between two."""
+def _cost_cuts(rows: DataFrame, bkey: str, name: str) -> DataFrame:
+    """Quantiles of the unit cost per key (COST_RANGES at most) as array ``name``."""
     at = F.lit([i / COST_RANGES for i in range(COST_RANGES + 1)])
-    cuts = (x.filter(F.col("_st") == 0).groupBy(bkey)
-            .agg(F.array_sort(F.array_distinct(F.percentile_approx("unit_cost", at))).alias("_q")))
-    below = F.size(F.filter("_q", lambda v: v < F.col("unit_cost")))
-    return (x.join(F.broadcast(cuts), bkey, "left")
-             .withColumn("_b", 2 * below + F.array_contains("_q", F.col("unit_cost")).cast("int")).drop("_q"))
+    return rows.groupBy(bkey).agg(F.array_sort(F.array_distinct(F.percentile_approx("unit_cost", at))).alias(name))
+
+
+def _cost_bucket(cuts: str) -> Column:
+    """Bucket of the unit cost: odd ones hold one cost, even ones what lies between two."""
+    uc = F.col("unit_cost")
+    return 2 * F.size(F.filter(cuts, lambda v: v < uc)) + F.array_contains(cuts, uc).cast("int")
+
+
+def _cross(rows: DataFrame, state: DataFrame, bkey: str, bucket: Column, name: str) -> DataFrame:
+    """``state`` with the bucket ``name`` in which ``_need`` is used up, less what the buckets
+    before it give; LAST if all of them give less."""
+    sums = rows.groupBy(bkey, bucket.alias("_b")).agg(F.sum("_rem").alias("_s"))
+    w = Window.partitionBy(bkey).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    cut = (sums.withColumn("_c", F.sum("_s").over(w)).join(F.broadcast(state.select(bkey, "_need")), bkey)
+           .filter(F.col("_c") >= F.col("_need")).groupBy(bkey)
+           .agg(F.min(F.struct("_b", (F.col("_c") - F.col("_s")).alias("_used"))).alias("_m")))
+    out = state.join(F.broadcast(cut), bkey, "left")
+    return cut_lineage(out.withColumn(name, F.coalesce("_m._b", F.lit(LAST)))
+                       .withColumn("_need", F.col("_need") - F.coalesce("_m._used", F.lit(0.0))).drop("_m"))
 
 
 def _repair_one(plan: DataFrame, q: str, bcol: str, budgets: DataFrame, bkey: str, moq: int, keys) -> DataFrame:
-    """B6 for one year: ceil, then cut the cheapest units first until each key
-    fits its budget (never below MOQ).  Order: unit cost, then md5(item key).
-    The place where the excess is used up is narrowed by two levels of cost ranges and
-    one of md5 prefixes, so that only the rows of one small range are ranked."""
-    x = plan.withColumn(q, F.ceil(F.col(q)).cast("double"))
-    ex = (x.groupBy(bkey).agg(F.sum(F.col("unit_cost") * F.col(q)).alias("_sp"))
-          .join(budgets.select(bkey, bcol), bkey)
-          .select(bkey, (F.col("_sp") - F.col(bcol)).alias("_excess")))
-    x = (x.join(F.broadcast(ex), bkey)
-          .withColumn("_h", F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])))
-          .withColumn("_rem", F.coalesce((F.col(q) - moq) * F.col("unit_cost"), F.lit(0.0)))
-          .withColumn("_st", F.when((F.col("_excess") <= 1e-9) | (F.col("_rem") <= 0), 1).otherwise(0)))
-    x = cut_lineage(x)
-    x = _narrow(_cost_ranges(x, bkey), bkey)
-    x = _cost_ranges(x, bkey).withColumn("_one", F.col("_b") % 2 == 1)
-    x = _narrow(x, bkey)
-    x = _narrow(x.withColumn("_b", F.when(F.col("_one"), F.conv(F.substring("_h", 1, HASH_PREFIX), 16, 10).cast("int"))
-                             .otherwise(0)), bkey)
-    # only the undecided rows of a key meet in one task
+    """B6 for one year: ceil (noise of 1e-9 aside), then cut the cheapest units first until
+    each key fits its budget (never below MOQ).  Order: unit cost, then md5(item key).
+    The place where the excess is used up is narrowed by two levels of cost ranges and one
+    of md5 prefixes; between the levels only one row per key is kept, and only the rows of
+    the last small range are ranked."""
+    x = plan.withColumn(q, F.ceil(F.round(q, 9)).cast("double"))
+    x = cut_lineage(x.withColumn("_h", F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])))
+                    .withColumn("_rem", F.coalesce((F.col(q) - moq) * F.col("unit_cost"), F.lit(0.0))))
+    spend = x.groupBy(bkey).agg(F.sum(F.col("unit_cost") * F.col(q)).alias("_sp")).join(budgets.select(bkey, bcol), bkey)
+    can = x.filter(F.col("_rem") > 0)
+    state = cut_lineage(spend.select(bkey, (F.col("_sp") - F.col(bcol)).alias("_need")).filter(F.col("_need") > 1e-9)
+                        .join(_cost_cuts(can, bkey, "_q1"), bkey))
+    b1, b2 = _cost_bucket("_q1"), _cost_bucket("_q2")
+    prefix = F.when(F.col("_a2") % 2 == 1, F.conv(F.substring("_h", 1, HASH_PREFIX), 16, 10).cast("int")).otherwise(0)
+
+    def inside(cond: Column = F.lit(True)):
+        return can.join(F.broadcast(state), bkey).filter(cond)
+    state = _cross(inside(), state, bkey, b1, "_a1")
+    state = state.join(F.broadcast(_cost_cuts(inside(b1 == F.col("_a1")), bkey, "_q2")), bkey, "left")
+    state = cut_lineage(state.withColumn("_q2", F.coalesce("_q2", F.array().cast("array<double>"))))
+    state = _cross(inside(b1 == F.col("_a1")), state, bkey, b2, "_a2")
+    state = _cross(inside((b1 == F.col("_a1")) & (b2 == F.col("_a2"))), state, bkey, prefix, "_a3")
+
+    x = x.join(F.broadcast(state), bkey, "left")
+    x = x.withColumn("_at", F.struct(b1.alias("a"), b2.alias("b"), prefix.alias("c")))
+    cross = F.struct(F.col("_a1").alias("a"), F.col("_a2").alias("b"), F.col("_a3").alias("c"))
+    # -1: below the crossing, cut whole; 0: in the crossing range; 1: stays
+    x = x.withColumn("_st", F.when(F.col("_need").isNull() | (F.col("_rem") <= 0) | (F.col("_at") > cross), 1)
+                     .when(F.col("_at") < cross, -1).otherwise(0))
     w = Window.partitionBy(bkey).orderBy("unit_cost", "_h", *keys).rowsBetween(Window.unboundedPreceding, 0)
-    left = x.filter(F.col("_st") == 0).withColumn("_before", F.sum("_rem").over(w) - F.col("_rem"))
-    units = F.ceil((F.col("_excess") - F.col("_before")) / F.col("unit_cost") - 1e-9).cast("double")
-    left = left.withColumn(q, F.col(q) - F.least(F.greatest(units, F.lit(0.0)), F.col(q) - moq))
+    part = x.filter(F.col("_st") == 0).withColumn("_before", F.sum("_rem").over(w) - F.col("_rem"))
+    units = F.ceil((F.col("_need") - F.col("_before")) / F.col("unit_cost") - 1e-9).cast("double")
+    part = part.withColumn(q, F.col(q) - F.least(F.greatest(units, F.lit(0.0)), F.col(q) - moq))
     done = x.filter(F.col("_st") != 0).withColumn(q, F.when(F.col("_st") < 0, F.lit(float(moq))).otherwise(F.col(q)))
-    return done.select(*plan.columns).unionByName(left.select(*plan.columns))
+    return done.select(*plan.columns).unionByName(part.select(*plan.columns))
 
 
 def joint_repair(plan: DataFrame, budgets: DataFrame, bkey: str, moq: int, keys) -> DataFrame:

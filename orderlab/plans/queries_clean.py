@@ -12,6 +12,7 @@ from orderlab.operators import evaluate as E
 from orderlab.plans.common import (CO_FRAC, CO_MULT, CR, CU_FRAC, CU_MULT, MOQ, TRAIN, Y1, Y2, lines,
                                    with_lines, yrs)
 from orderlab.plans.registry import register
+from orderlab.session import cut_lineage
 from orderlab.sources.tables import CATALOG_RULES, raw_order_lines
 
 ITEM = "season, product_category, gender_age, size"
@@ -249,3 +250,39 @@ def q_demand_groups(spark, sf_dir):
           ops="T8 T9 T10 M3")
 def q_size_features(spark, sf_dir):
     return D.size_features(D.demand_groups(lines(spark, sf_dir)), [Y1])
+
+
+# ---------------------------------------------------------------- E5 ratio, P4 with its count
+
+@register("sensitivity_range_ratio", "co_range:double, cu_range:double, range_ratio:double",
+          lambda: with_lines(backtest_sql_cte(), "sens AS (" + sensitivity_sql(
+              "bt_scored", "agent_qty", "demand", "unit_price", CO_FRAC, CU_FRAC) + ")") + """
+              SELECT co_range, cu_range, co_range / nullif(cu_range, 0) AS range_ratio FROM
+              (SELECT max(total_cost) FILTER (WHERE parameter = 'overage') - min(total_cost) FILTER (WHERE parameter = 'overage')
+                      AS co_range,
+                      max(total_cost) FILTER (WHERE parameter = 'underage') - min(total_cost) FILTER (WHERE parameter = 'underage')
+                      AS cu_range FROM sens)""",
+          ops="E5")
+def q_sensitivity_range_ratio(spark, sf_dir):
+    return E.range_ratio(q_backtest_sensitivity(spark, sf_dir))
+
+
+@register("growth_targets", "season:string, product_category:string, gender_age:string, size:string, growth:long, "
+          "rows:long, null_target:long, nonpositive:long",
+          lambda: with_lines(f"""gt AS (SELECT season, product_category, gender_age, size,
+                  sum(demand) FILTER (WHERE year = {Y2}) - sum(demand) FILTER (WHERE year = {Y1}) AS growth
+                  FROM groups GROUP BY ALL)""") + """
+              SELECT gt.*, r.* FROM gt, (SELECT count(*) AS rows, count_if(growth IS NULL) AS null_target,
+                     count_if(growth <= 0) AS nonpositive FROM gt) r WHERE growth > 0""",
+          ops="P4")
+def q_growth_targets(spark, sf_dir):
+    """Demand growth of every item between the test years as target: rows without a positive
+    one go, and how many is counted in the pass that writes the rest."""
+    g = D.demand_price_groups(lines(spark, sf_dir))
+
+    def in_year(y):
+        return F.sum(F.when(F.col("year") == y, F.col("demand")))
+    x = g.groupBy("season", "product_category", "gender_age", "size").agg((in_year(Y2) - in_year(Y1)).alias("growth"))
+    kept, seen = C.drop_and_report(x, "growth")
+    kept = cut_lineage(kept)
+    return kept.select("*", *[F.lit(v).cast("long").alias(k) for k, v in seen.get.items()])

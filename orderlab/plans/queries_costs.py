@@ -4,6 +4,8 @@ A17, E6, E7, O2, W2, W3)."""
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from orderlab.functions import rules as R
@@ -11,9 +13,11 @@ from orderlab.operators import costs as K
 from orderlab.operators import demand as D
 from orderlab.operators import forecast as FC
 from orderlab.plans.common import MOQ, TRAIN, Y1, Y2, lines, with_lines, yrs
-from orderlab.plans.forecast_inputs import (KEYS, KEYS_SQL, baseline_preds, cost_ctes, cost_table, forecast_ctes,
+from orderlab.plans.forecast_inputs import (CONFIG, KEYS, KEYS_SQL, baseline_preds, cost_ctes, cost_table, forecast_ctes,
                                             scenario_cte, scenarios, train_test)
 from orderlab.plans.registry import register
+from orderlab.session import checkpoint_dir
+from orderlab.sources.config import config_json, read_constraints, read_cost_structure
 
 
 PKEYS = ", ".join("pr." + k for k in KEYS)
@@ -359,3 +363,28 @@ def q_recommended_by_size(spark, sf_dir):
                  F.avg(F.greatest(F.col("pred"), F.lit(float(MOQ)))).alias("mean_recommended"),
                  F.avg("demand").alias("mean_actual"))
             .withColumn("size_rank", R.size_rank_col(F.col("size"))))
+
+
+# ---------------------------------------------------------------- JSON configuration
+
+def _config_path(spark) -> str:
+    """The configuration written as a JSON file in a new folder of the shared checkpoint folder."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/config-{uuid4().hex}"
+    spark.createDataFrame([(config_json(CONFIG),)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+@register("config_item_costs", ITEMY + ", unit_cost:double, overage_cost:double, underage_cost:double, budget:double, "
+          "moq:long",
+          lambda: W() + f""" SELECT te.year, {', '.join('te.' + k for k in KEYS)}, j6.unit_cost, j6.overage_cost,
+                 j6.underage_cost, {float(CONFIG.budget)!r} AS budget, {int(CONFIG.moq)} AS moq
+                 FROM te LEFT JOIN j6 ON te.product_category IS NOT DISTINCT FROM j6.product_category
+                 AND te.lifecycle_year IS NOT DISTINCT FROM j6.period""",
+          ops="S2 J6")
+def q_config_item_costs(spark, sf_dir):
+    """Costs, budget and MOQ of a JSON file on every test item."""
+    path = _config_path(spark)
+    _, te = train_test(spark, sf_dir)
+    items = K.with_costs(te, read_cost_structure(spark, path), "optimizer")
+    return (items.crossJoin(F.broadcast(read_constraints(spark, path)))
+            .select("year", *KEYS, "unit_cost", "overage_cost", "underage_cost", "budget", "moq"))

@@ -21,9 +21,10 @@ ITEM = "season:string, product_category:string, gender_age:string, size:string"
 def _inputs(spark, sf_dir):
     pred, _, _ = baseline_preds(spark, sf_dir)
     scen = normal_scenarios(pred, ["year", *KEYS], MOQ)
-    y1, y2 = pred.filter(F.col("year") == Y1), pred.filter(F.col("year") == Y2)
-    s1 = scen.filter(F.col("year") == Y1).drop("year")
-    s2 = scen.filter(F.col("year") == Y2).drop("year")
+    first, second = J.two_test_years(pred)
+    y1, y2 = pred.filter(F.col("year") == first), pred.filter(F.col("year") == second)
+    s1 = scen.filter(F.col("year") == first).drop("year")
+    s2 = scen.filter(F.col("year") == second).drop("year")
     spark_ = pred.sparkSession
     periods = spark_.createDataFrame([(1,), (2,), (None,)], "period int")
     combos = pred.select("product_category").distinct().crossJoin(F.broadcast(periods))
@@ -213,12 +214,7 @@ def q_largest_size_shift(spark, sf_dir):
     return J.largest_size_shift(t, 5)
 
 
-@register("formulation_summary",
-          "model_a_total_cost:double, model_b_total_cost:double, cost_of_myopia_usd:double, cost_reduction_pct:double, "
-          "y1_order_direction:string, y1_total_qty_diff:long, total_expected_carryover:double, "
-          "a_plan_joint_cost:double, like_for_like_myopia_usd:double", None, ops="B11 B12")
-def q_formulation_summary(spark, sf_dir):
-    t, a, it, rep, _ = _table(spark, sf_dir)
+def _summary(t, a, it, rep):
     a_cost = a.agg(F.sum(PL.saa_cost(F.col("q").cast("double"))).alias("model_a_total_cost"))
     q1, q2 = F.col("q1").cast("double"), F.col("q2").cast("double")
     b_cost = rep.agg(F.sum(J.joint_cost(q1, q2)).alias("model_b_total_cost"),
@@ -240,6 +236,15 @@ def q_formulation_summary(spark, sf_dir):
         (F.col("a_plan_joint_cost") - F.col("model_b_total_cost")).alias("like_for_like_myopia_usd"))
 
 
+@register("formulation_summary",
+          "model_a_total_cost:double, model_b_total_cost:double, cost_of_myopia_usd:double, cost_reduction_pct:double, "
+          "y1_order_direction:string, y1_total_qty_diff:long, total_expected_carryover:double, "
+          "a_plan_joint_cost:double, like_for_like_myopia_usd:double", None, ops="B11 B12")
+def q_formulation_summary(spark, sf_dir):
+    t, a, it, rep, _ = _table(spark, sf_dir)
+    return _summary(t, a, it, rep)
+
+
 @register("myopia_like_for_like", ITEM + ", a_q1:double, a_q2:double, a_joint_cost:double", None, ops="B12")
 def q_myopia_like_for_like(spark, sf_dir):
     a = _a_plan(spark, sf_dir).select(*KEYS, "year", F.col("q").cast("double").alias("q"))
@@ -247,3 +252,153 @@ def q_myopia_like_for_like(spark, sf_dir):
     x = (it.join(a.filter(F.col("year") == Y1).select(*KEYS, F.col("q").alias("a_q1")), KEYS)
          .join(a.filter(F.col("year") == Y2).select(*KEYS, F.col("q").alias("a_q2")), KEYS))
     return x.select(*KEYS, "a_q1", "a_q2", J.joint_cost(F.col("a_q1"), F.col("a_q2")).alias("a_joint_cost"))
+
+
+# ------------------------------------------- a given plan: B3 gradient, B4, B6, B8, B10-B12, A17
+
+def _gradient_sql(k: float = 10.0) -> str:
+    def sg(z):
+        return f"(1.0 / (1.0 + exp(-least(greatest(({z}) * {k}, -60.0), 60.0))))"
+    from orderlab.functions.newsvendor import softplus_sql
+    q1, q2 = f"greatest(pred1, {M})", f"greatest(pred2, {M})"
+    return J_(f"""jg AS (SELECT *, {q1} AS q1, {q2} AS q2, {q2} + {softplus_sql(f'{q1} - d1', k)} AS eff FROM jp),
+    jh AS (SELECT *, co2 * {sg('eff - d2')} - cu2 * {sg('d2 - eff')} AS dobj FROM jg)""") + f"""
+    SELECT {KEYS_SQL}, q1, q2, avg(-cu1 * {sg('d1 - q1')} + dobj * {sg('q1 - d1')}) AS grad_q1, avg(dobj) AS grad_q2
+    FROM jh GROUP BY {KEYS_SQL}, q1, q2"""
+
+
+@register("joint_gradient", ITEM + ", q1:double, q2:double, grad_q1:double, grad_q2:double", _gradient_sql, ops="B3")
+def q_joint_gradient(spark, sf_dir):
+    q1, q2 = F.greatest(F.col("pred1"), F.lit(M)), F.greatest(F.col("pred2"), F.lit(M))
+    _, g1, g2 = J.joint_smooth(q1, q2, 10.0)
+    return _inputs(spark, sf_dir).select(*KEYS, q1.alias("q1"), q2.alias("q2"), g1.alias("grad_q1"), g2.alias("grad_q2"))
+
+
+# A season's budget of a year: the MOQ spend and this share of what the forecast costs above it
+# (no round share: forecasts are fractions, and a projected quantity should not be a whole number).
+SHARES = (0.6180339887, 0.3678794412)
+
+
+def _given(spark, sf_dir):
+    """The forecast taken as plan of both years, and budgets that bind."""
+    it = _inputs(spark, sf_dir).withColumn("q1", F.greatest("pred1", F.lit(M))).withColumn("q2", F.greatest("pred2", F.lit(M)))
+    uc = F.col("unit_cost")
+    base = F.sum(uc * M)
+    bud = cut_lineage(it.groupBy("season").agg(*[
+        F.round(base + share * (F.sum(uc * F.col(q)) - base), 2).alias(b)
+        for q, b, share in (("q1", "budget1", SHARES[0]), ("q2", "budget2", SHARES[1]))]))
+    return it, bud
+
+
+def given_ctes() -> str:
+    """jb (budgets), jproj (projected p1, p2) and jrep (integer q1, q2) of the forecast plan."""
+    def year(i):
+        return f"""
+    jx{i} AS (SELECT k.*, ceil(round(k.p{i}, 9)) AS u, (ceil(round(k.p{i}, 9)) - {M}) * k.unit_cost AS rem,
+                 md5(concat_ws('|', {', '.join('k.' + c for c in KEYS)})) AS h FROM jproj k),
+    je{i} AS (SELECT season, sum(unit_cost * u) - any_value(b{i}) AS excess FROM jx{i} JOIN jb USING (season) GROUP BY 1),
+    jw{i} AS (SELECT *, sum(rem) OVER (PARTITION BY season ORDER BY unit_cost, h, {KEYS_SQL}
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - rem AS before FROM jx{i} JOIN je{i} USING (season)),
+    jr{i} AS (SELECT {KEYS_SQL}, CAST(u - CASE WHEN excess <= 1e-9 THEN 0 ELSE
+                 least(greatest(ceil((excess - before) / unit_cost - 1e-9), 0), u - {M}) END AS BIGINT) AS q{i} FROM jw{i})"""
+
+    def scaled(i):
+        return (f"{M} + (greatest(pred{i}, {M}) - {M}) * CASE WHEN s{i} <= b{i} + 1e-9 THEN 1.0 WHEN s{i} - mn > 0 "
+                f"THEN least(greatest(b{i} - mn, 0.0) / (s{i} - mn), 1.0) ELSE 0.0 END AS p{i}")
+    return f"""js AS (SELECT season, sum(unit_cost * {M}) AS mn, sum(unit_cost * greatest(pred1, {M})) AS s1,
+                  sum(unit_cost * greatest(pred2, {M})) AS s2 FROM jk GROUP BY 1),
+    jb AS (SELECT *, round(mn + {SHARES[0]} * (s1 - mn), 2) AS b1, round(mn + {SHARES[1]} * (s2 - mn), 2) AS b2 FROM js),
+    jproj AS (SELECT jk.*, {scaled(1)}, {scaled(2)} FROM jk JOIN jb USING (season)),{year(1)},{year(2)},
+    jrep AS (SELECT jk.*, q1, q2 FROM jk JOIN jr1 USING ({KEYS_SQL}) JOIN jr2 USING ({KEYS_SQL}))"""
+
+
+def _given_repaired(spark, sf_dir):
+    it, bud = _given(spark, sf_dir)
+    return it, bud, cut_lineage(J.joint_repair(it, bud, "season", MOQ, KEYS))
+
+
+@register("joint_projection", ITEM + ", q1:double, q2:double",
+          lambda: J_(given_ctes()) + f" SELECT {KEYS_SQL}, p1 AS q1, p2 AS q2 FROM jproj", ops="B4")
+def q_joint_projection(spark, sf_dir):
+    it, bud = _given(spark, sf_dir)
+    return J.joint_project(it, bud, "season", MOQ).select(*KEYS, "q1", "q2")
+
+
+@register("joint_forecast_repair", ITEM + ", q1:long, q2:long, joint_cost:double, expected_carryover:double",
+          lambda: J_(given_ctes(), f"jq AS (SELECT jp.*, q1, q2 FROM jp JOIN jrep USING ({KEYS_SQL}))") + f"""
+          SELECT {KEYS_SQL}, q1, q2, {_jcost_sql('q1', 'q2')} AS joint_cost, avg(greatest(q1 - d1, 0)) AS expected_carryover
+          FROM jq GROUP BY {KEYS_SQL}, q1, q2""", ops="B6 B7")
+def q_joint_forecast_repair(spark, sf_dir):
+    _, _, rep = _given_repaired(spark, sf_dir)
+    q1, q2 = F.col("q1").cast("double"), F.col("q2").cast("double")
+    return rep.select(*KEYS, "q1", "q2", J.joint_cost(q1, q2).alias("joint_cost"),
+                      J.expected_carryover(q1).alias("expected_carryover"))
+
+
+@register("joint_forecast_spend", "season:string, y1_spend:double, y2_spend:double, budget1:double, budget2:double, "
+          "max_violation:double, feasible:bool",
+          lambda: J_(given_ctes()) + """ SELECT season, y1_spend, y2_spend, b1 AS budget1, b2 AS budget2,
+              greatest(y1_spend - b1, y2_spend - b2) AS max_violation, greatest(y1_spend - b1, y2_spend - b2) <= 1.0 AS feasible
+              FROM (SELECT season, sum(unit_cost * q1) AS y1_spend, sum(unit_cost * q2) AS y2_spend FROM jrep GROUP BY 1) s
+              JOIN jb USING (season)""", ops="B8")
+def q_joint_forecast_spend(spark, sf_dir):
+    _, bud, rep = _given_repaired(spark, sf_dir)
+    return J.joint_spend(rep, bud, "season")
+
+
+def _compare_sql(*extra: str) -> str:
+    from orderlab.plans.forecast_inputs import model_a_ctes, units_ctes
+    # the scenario table of Model A is that of Model B
+    head = model_a_ctes().split("ai AS (", 1)[1]
+    return J_(given_ctes(), "ai AS (" + head, units_ctes().lstrip().lstrip(",").lstrip(), f"""
+    fq AS (SELECT jp.*, q1, q2 FROM jp JOIN jrep USING ({KEYS_SQL})),
+    fb AS (SELECT {KEYS_SQL}, q1 AS b_y1_qty, q2 AS b_y2_qty, avg(greatest(q1 - d1, 0)) AS carry,
+                  {_jcost_sql('q1', 'q2')} AS b_cost FROM fq GROUP BY {KEYS_SQL}, q1, q2),
+    fa AS (SELECT {KEYS_SQL}, max(q) FILTER (WHERE year = {Y1}) AS a_y1_qty, max(q) FILTER (WHERE year = {Y2}) AS a_y2_qty
+           FROM ualloc GROUP BY {KEYS_SQL}),
+    ft AS (SELECT {KEYS_SQL}, a_y1_qty, a_y2_qty, b_y1_qty, b_y2_qty, round(carry, 1) AS expected_carryover,
+                  b_y1_qty - a_y1_qty AS y1_qty_diff, b_y2_qty - a_y2_qty AS y2_qty_diff
+           FROM fa FULL JOIN fb USING ({KEYS_SQL}))""", *extra)
+
+
+def _given_table(spark, sf_dir):
+    a = _a_plan(spark, sf_dir)
+    it, _, rep = _given_repaired(spark, sf_dir)
+    return J.formulation_table(a, rep, KEYS, Y1, Y2), a, it, rep
+
+
+@register("forecast_formulations", ITEM + ", a_y1_qty:long, a_y2_qty:long, b_y1_qty:long, b_y2_qty:long, "
+          "expected_carryover:double, y1_qty_diff:long, y2_qty_diff:long",
+          lambda: _compare_sql() + " SELECT * FROM ft", ops="B10 J4")
+def q_forecast_formulations(spark, sf_dir):
+    return _given_table(spark, sf_dir)[0]
+
+
+@register("forecast_size_shift", "size:string, abs_y2_shift:long",
+          lambda: _compare_sql() + """ SELECT size, abs(sum(y2_qty_diff)) AS abs_y2_shift FROM ft GROUP BY size
+              ORDER BY abs_y2_shift DESC NULLS LAST, size LIMIT 5""", ops="A17")
+def q_forecast_size_shift(spark, sf_dir):
+    return J.largest_size_shift(_given_table(spark, sf_dir)[0], 5)
+
+
+SUMMARY = ("model_a_total_cost:double, model_b_total_cost:double, cost_of_myopia_usd:double, cost_reduction_pct:double, "
+           "y1_order_direction:string, y1_total_qty_diff:long, total_expected_carryover:double, "
+           "a_plan_joint_cost:double, like_for_like_myopia_usd:double")
+
+
+@register("forecast_formulation_summary", SUMMARY,
+          lambda: _compare_sql(f"""ga AS (SELECT sum(c) AS a FROM (SELECT avg(p.co * greatest(p.q - s.demand, 0)
+                  + p.cu * greatest(s.demand - p.q, 0)) AS c FROM ualloc p JOIN scen s ON s.year = p.year
+                  AND {' AND '.join(f's.{k} = p.{k}' for k in KEYS)} GROUP BY p.year, {', '.join('p.' + k for k in KEYS)})),
+              gb AS (SELECT sum(b_cost) AS b, sum(carry) AS carry FROM fb),
+              gd AS (SELECT CAST(sum(y1_qty_diff) AS BIGINT) AS d FROM ft),
+              gj AS (SELECT sum(c) AS j FROM (SELECT {_jcost_sql('a_y1_qty', 'a_y2_qty')} AS c
+                     FROM jp JOIN fa USING ({KEYS_SQL}) WHERE a_y1_qty IS NOT NULL AND a_y2_qty IS NOT NULL
+                     GROUP BY {KEYS_SQL}))""") + """
+              SELECT a AS model_a_total_cost, b AS model_b_total_cost, a - b AS cost_of_myopia_usd,
+                     CASE WHEN a > 0 THEN (a - b) / a * 100 ELSE 0.0 END AS cost_reduction_pct,
+                     CASE WHEN coalesce(d, 0) >= 0 THEN 'more' ELSE 'less' END AS y1_order_direction,
+                     d AS y1_total_qty_diff, carry AS total_expected_carryover, j AS a_plan_joint_cost,
+                     j - b AS like_for_like_myopia_usd FROM ga, gb, gd, gj""", ops="B11 B12")
+def q_forecast_formulation_summary(spark, sf_dir):
+    return _summary(*_given_table(spark, sf_dir))

@@ -101,6 +101,29 @@ def load_config(path: str) -> ProblemConfig:
         return config_from_dict(json.load(f))
 
 
+def config_json(cfg: ProblemConfig) -> str:
+    """The JSON text that ``load_config`` and ``read_cost_structure`` read back."""
+    items = [{"name": n, "value": float(v), "product_category": c, "lifecycle_year": p} for n, v, c, p in cfg.cost_items]
+    return json.dumps({"cost_structure": items, "constraints": [
+        {"name": "season budget", "parameters": {"budget_usd": cfg.budget}},
+        {"name": "minimum order", "parameters": {"moq_per_size": cfg.moq}}]})
+
+
+def read_constraints(spark: SparkSession, path: str) -> DataFrame:
+    """S2 (Spark side): JSON config(s) -> one row (budget, moq) per file; the first key of the
+    alias lists that a matching constraint holds, else no budget limit and MOQ 0."""
+    par = "map<string,double>"
+    raw = spark.read.schema(f"constraints array<struct<name:string,parameters:{par}>>").option("multiLine", True).json(path)
+
+    def value(match, keys):
+        # per matching constraint the first known key; then the first constraint that has one
+        found = F.transform(F.filter("constraints", lambda c: F.lower(c["name"]).rlike(match)),
+                            lambda c: F.coalesce(*[c["parameters"][k] for k in keys]))
+        return F.get(F.filter(found, lambda v: v.isNotNull()), F.lit(0))
+    return raw.select(F.coalesce(value("budget", BUDGET_KEYS), F.lit(float("inf"))).alias("budget"),
+                      F.coalesce(value("minimum|moq", MOQ_KEYS), F.lit(0.0)).cast("int").alias("moq"))
+
+
 def read_cost_structure(spark: SparkSession, path: str) -> DataFrame:
     """S2 (Spark side): JSON config(s) -> cost rows, ``lifecycle_year`` accepted as ``period``."""
     raw = spark.read.option("multiLine", True).json(path)
