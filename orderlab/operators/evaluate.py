@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlab.functions.newsvendor import nv_cost, order_up, over, under
-from orderlab.operators.demand import ITEM_KEYS
+from orderlab.operators.demand import ITEM_KEYS, complete_groups
 
 
 def quantile_backtest(lines: DataFrame, train_years, test_year: int, co_frac: float = 0.70,
@@ -29,9 +29,8 @@ def quantile_backtest(lines: DataFrame, train_years, test_year: int, co_frac: fl
     keys = item_keys or ITEM_KEYS
     cr = cu_frac / (cu_frac + co_frac)
     years = list(train_years) + [test_year]
-    by_year = (lines.filter(F.col("year").isin(*years)).dropna(subset=keys)
-               .groupBy(*keys, "year")
-               .agg(F.sum("quantity").alias("demand"), F.avg("unit_price").alias("unit_price")))
+    by_year = complete_groups(lines.filter(F.col("year").isin(*years)), [*keys, "year"],
+                              F.sum("quantity").alias("demand"), F.avg("unit_price").alias("unit_price"))
     is_train = F.col("year").isin(*train_years)
     is_test = F.col("year") == test_year
     per_item = by_year.groupBy(*keys).agg(
