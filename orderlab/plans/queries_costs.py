@@ -16,7 +16,7 @@ from orderlab.plans.common import MOQ, TRAIN, Y1, Y2, lines, with_lines, yrs
 from orderlab.plans.forecast_inputs import (CONFIG, KEYS, KEYS_SQL, baseline_preds, cost_ctes, cost_table, forecast_ctes,
                                             scenario_cte, scenarios, train_test)
 from orderlab.plans.registry import register
-from orderlab.session import checkpoint_dir
+from orderlab.session import checkpoint_dir, cut_lineage
 from orderlab.sources.config import config_json, read_constraints, read_cost_structure
 
 
@@ -254,7 +254,9 @@ FEATURES = ["size_rank", "season_num", "lifecycle_year", "year_idx", "is_youth",
 
 
 def features_df(spark, sf_dir):
-    g = D.with_year_index(D.demand_groups(lines(spark, sf_dir)))
+    """Features of the demand groups.  The groups are kept (one row per item and year): the
+    first year, the scaling, the penalty and the fit each read them, not the lines."""
+    g = D.with_year_index(cut_lineage(D.demand_groups(lines(spark, sf_dir))))
     return D.size_features(g, [Y1])
 
 
