@@ -10,11 +10,14 @@ reach the final per-column ranking (at most ``buckets * k`` rows per column).
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderlab.session import checkpoint_dir
+
 TOPK_BUCKETS = 256
 
 _INTS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -193,12 +196,29 @@ def domain_check(df: DataFrame, domains: dict) -> DataFrame:
 
 
 def duplicate_profile(df: DataFrame) -> DataFrame:
-    """Exact duplicate rows (copies beyond the first) and their share, nothing dropped."""
-    g = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    return g.agg(F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("distinct_rows"),
-                 F.sum(F.col("_n") - 1).alias("duplicate_rows")).select(
-        "rows", "distinct_rows", "duplicate_rows",
-        F.when(F.col("rows") > 0, F.col("duplicate_rows") / F.col("rows")).otherwise(0.0).alias("duplicate_share"))
+    """Exact duplicate rows (copies beyond the first) and their share, nothing dropped.
+
+    Rows are written once with a 64-bit hash (positional column names) in the checkpoint
+    folder and grouped by the hash alone; a row whose hash comes once is distinct, and only
+    rows whose hash repeats are compared in full."""
+    spark = df.sparkSession
+    x = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    x = x.select(*[f.name for f in x.schema.fields if not isinstance(f.dataType, T.NullType)])  # a void column tells nothing apart
+    cols = x.columns
+    x = x.withColumn("_h", F.xxhash64(*[f.name for f in x.schema.fields if "map<" not in f.dataType.simpleString()]))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/rows-{uuid4().hex}"
+    x.write.parquet(f"{path}/all")
+    kept = spark.read.schema(x.schema).parquet(f"{path}/all")
+    # written, so that the size of what repeats is known before whole rows would be shuffled
+    kept.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").write.parquet(f"{path}/repeated")
+    repeated = spark.read.schema("_h long, _n long").parquet(f"{path}/repeated")
+    kinds = kept.join(repeated.select("_h"), "_h", "left_semi").groupBy("_h", *cols).agg(F.count(F.lit(1)).alias("_n"))
+    one = (kept.agg(F.nullif(F.count(F.lit(1)), F.lit(0)).alias("rows"))
+           .crossJoin(repeated.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_again")))
+           .crossJoin(kinds.agg(F.count(F.lit(1)).alias("_kinds"))))
+    distinct = F.coalesce(F.col("rows") - F.col("_again") + F.col("_kinds"), F.lit(0))
+    return one.select("rows", distinct.alias("distinct_rows"), (F.col("rows") - distinct).alias("duplicate_rows")).select(
+        "*", F.when(F.col("rows") > 0, F.col("duplicate_rows") / F.col("rows")).otherwise(0.0).alias("duplicate_share"))
 
 
 def key_redundancy(df: DataFrame, keys) -> DataFrame:
