@@ -212,13 +212,13 @@ def q_grouped_forecast(spark, sf_dir):
 @register("file_fingerprint", "table_name:string, bytes:long, sha256:string, rows:long, content_hash:string", None,
           ops="S5")
 def q_file_fingerprint(spark, sf_dir):
-    """SHA-256 of every input table's bytes (binaryFile, one file per row; of several
+    """SHA-256 of every input table's bytes (a long file range by range, see ``file_digests``; of several
     part files, the hash of their hashes in path order) plus an order-insensitive content fingerprint per table: the sum of 64-bit
     row hashes as a decimal (no sort, no single-task pass)."""
+    from orderlab.sources.files import file_digests
     files = None
     for t in TABLES:  # a table is a file or a folder of part files; hashes of its files in path order
-        one = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{sf_dir}/{t}.parquet")
-               .select(F.lit(t).alias("table_name"), "path", "length", F.sha2("content", 256).alias("sha")))
+        one = file_digests(spark, f"{sf_dir}/{t}.parquet").withColumn("table_name", F.lit(t))
         files = one if files is None else files.unionByName(one)
     part = F.array_sort(F.collect_list(F.struct("path", "sha")))
     files = files.groupBy("table_name").agg(F.sum("length").alias("bytes"), part.alias("parts")).select(
