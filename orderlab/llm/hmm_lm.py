@@ -18,17 +18,18 @@ C and V' being the class's training tokens and distinct words.
 2. *Counts.*  Block vocabularies are summed by word (partial aggregation, so a very
    frequent word costs one row per task) and the counts joined back per block.
 3. *Baum-Welch.*  Every block runs the scaled forward and backward recursions over its
-   training texts.  Most words have all their training tokens in one block: that block
-   keeps their expected counts itself, packed in one row an iteration.  The emissions of
-   the words of several blocks are a table (word key, probability per state), joined to
-   the blocks that hold them; their expected counts are summed by word into the next
-   table.  Only ``states`` + 4 rows and totals reach the driver, and an iteration's tables
-   are deleted when the next one's exist.
+   training texts.  A word that only one block holds keeps its expected counts there.  The
+   other words are dealt to buckets by their keys, once: a bucket knows which of its words
+   stand in which block, in a fixed order, so an iteration only moves packed arrays of
+   numbers.  A block sends a bucket the expected counts of their common words; the bucket
+   sums them by word and sends back the numerators of the emissions.  Only a row per task
+   and per bucket reaches the driver, and an iteration's tables are deleted when the next
+   one's exist.
    Long texts are cut into pieces of ``PIECE`` tokens that run side by side; the forward
    and backward vectors at the cuts come from the pieces' transfer matrices, so the
    counts are those of the whole text.
-4. *Scores.*  The scaled forward recursion over each whole text; a block also gets the
-   emissions of words that only other blocks were trained on.  Long texts are cut
+4. *Scores.*  The scaled forward recursion over each whole text; in the last deal a block
+   also gets the emissions of words that only other blocks were trained on.  Long texts are cut
    into segments whose transfer matrices are chained, which gives the same exact
    likelihood.
 
@@ -54,6 +55,8 @@ STATES, ITERATIONS = 6, 6
 BLOCK_BYTES = 10 << 20
 PIECE = 512        # tokens of a long text's segments, in training and scoring
 GROUP = 1 << 18    # tokens whose recursions run side by side
+BUCKETS = 12       # of word keys at least; more blocks have one more for each BUCKET_BLOCKS
+BUCKET_BLOCKS = 3
 PRIOR = 20.0       # weight of the corpus distribution in a state's emissions
 END = ""
 
@@ -90,9 +93,7 @@ class Emissions:
     table: DataFrame       # k, size (numerator of the share), e (probability per state)
     unseen: np.ndarray     # the same of any key that is not in the table
     weights: np.ndarray    # per state: divisor of the first emissions, then expected tokens
-    shared: DataFrame | None = None     # block, code, k: words of several blocks
-    several: DataFrame | None = None    # the rows of ``table`` of those words
-    own: DataFrame | None = None        # block, own: expected counts of the block's other words
+    dealt: DataFrame | None = None      # see ``_gathered``: what each block holds of the table
 
 
 def _kind(word: Column, classes: int | None) -> Column:
@@ -102,8 +103,12 @@ def _kind(word: Column, classes: int | None) -> Column:
 
 def _noise(words: list) -> np.ndarray:
     """Low half of the hash of each word's key, as Spark's xxhash64 gives it."""
+    return _key_noise([xxhash.xxh64_intdigest(w or b"", 42) for w in words])
+
+
+def _key_noise(keys: list) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(digest(w or b"", 42).to_bytes(8, "little"), 42) & 0xFFFFFFFF for w in words], np.uint32)
+    return np.array([digest((k & (1 << 64) - 1).to_bytes(8, "little"), 42) & 0xFFFFFFFF for k in keys], np.uint32)
 
 
 def _shift(state: int) -> int:
@@ -290,65 +295,118 @@ def _varied(noise):
     return 1 + 0.6 * ((2 * noise + 1) / 32 - 1)
 
 
-def _own_first(c: np.ndarray, noise: np.ndarray, norm: np.ndarray, total: float) -> np.ndarray:
-    """``first_emissions`` of words with the training counts ``c``."""
-    bits = noise[:, None] >> np.array([_shift(j) for j in range(len(norm))], np.uint32) & np.uint32(31)
-    return (c[:, None] + 1) / total * _varied(bits.astype(float)) / norm
+def _first(size: np.ndarray, noise: np.ndarray, states: int, total: float) -> np.ndarray:
+    """Numerators of ``first_emissions`` of words with these sizes."""
+    bits = noise[:, None] >> np.array([_shift(j) for j in range(states)], np.uint32) & np.uint32(31)
+    return size[:, None] / total * _varied(bits.astype(float))
 
 
 def _own_next(c: np.ndarray, found: np.ndarray, weights: np.ndarray, total: float) -> np.ndarray:
-    """``next_emissions`` of words with the training counts ``c``, without classes."""
+    """Emissions of a block's own words with the training counts ``c``, smoothed as in ``_deal``."""
     size = c[:, None] + 1.0
     return (found * (size / c[:, None]) + PRIOR * size / total) / (weights + PRIOR)
 
 
-def next_emissions(sizes: DataFrame, counts: Counts, expected: DataFrame, totals: np.ndarray, grown_own: np.ndarray,
-                   classes: int | None) -> Emissions:
-    """Expected counts smoothed by the corpus distribution, for the words in ``sizes``.
-    Without classes a word's counts are raised from c to c + 1 and the unseen symbol gets
-    one count, dealt to the states by their tokens, as in the corpus shares.  ``totals`` are
-    the expected tokens of all words, ``grown_own`` the raised ones of words that are not in
-    ``sizes``."""
-    states = len(totals)
-    grown = F.lit(1.0) if classes else F.col("size") / (F.col("size") - 1)
-    mass = sizes.join(expected, "k", "left").select(
-        "k", "size", *[(F.coalesce(f"v{j}", F.lit(0.0)) * grown).alias(f"v{j}") for j in range(states)])
-    rest = np.zeros(states) if classes else totals / max(1, counts.tokens)
-    if not classes:
-        totals = np.array([x or 0.0 for x in mass.agg(*[F.sum(f"v{j}") for j in range(states)]).first()]) + grown_own + rest
-    e = F.array(*[(F.col(f"v{j}") + PRIOR * F.col("size") / counts.total) / (float(t) + PRIOR) for j, t in enumerate(totals)])
-    return Emissions(mass.select("k", "size", e.alias("e")), (rest + PRIOR / counts.total) / (totals + PRIOR), totals)
-
-
 def _entries(table: DataFrame, classes: int | None) -> DataFrame:
     """(block, code, k, c) of the vocabularies."""
     return table.select("block", F.posexplode("vocab").alias("code", "v")).select(
         "block", "code", _kind(F.col("v.w"), classes).alias("k"), "v.c")
 
 
-def _known(found: DataFrame, kind: str) -> DataFrame:
-    """(block, known): the rows (block, code, k, size, e) of each block."""
-    return found.groupBy("block").agg(F.collect_list(F.struct(  # at most a block's own vocabulary
-        "code", "k", "size", F.col("e").cast(f"array<{kind}>").alias("e"))).alias("known"))
-
-
-def _own_codes(c: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Codes of the training words that no other block was trained on, rising."""
-    own = c > 0
-    own[code] = False
-    return np.flatnonzero(own)
-
-
-def _local(known: pa.Scalar, codes: int, unseen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, keys) of the known words, then emissions and sizes of all codes of a block."""
-    emit, size = np.tile(unseen, (codes, 1)), np.ones(codes)
-    values = known.values
-    if values is None or not len(values):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), emit, size
-    code, key = values.field("code").to_numpy(), values.field("k").to_numpy()
-    emit[code] = values.field("e").flatten().to_numpy().reshape(len(code), -1)
-    size[code] = values.field("size").to_numpy()
-    return code, key, emit, size
+def _bucket_rows(table: DataFrame, sizes: DataFrame, classes: int | None) -> DataFrame:
+    """Words by bucket of their keys.  A row with ``keys`` holds the bucket's words that more than
+    one block holds (with classes, all) and their sizes; a row with a block says which of them stand in
+    the block (``at``) under which ``code``: first the ``n`` words that it trains on, then the others."""
+    buckets = max(BUCKETS, table.count() // BUCKET_BLOCKS)
+    entries = _entries(table, classes)
+    entries = entries.join(sizes, "k") if classes else entries
+    schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("at", pa.binary()),
+                        ("code", pa.binary()), ("keys", pa.binary()), ("size", pa.binary())])
+
+    def run(group):
+        block, code, k, c = (group.column(x).to_numpy() for x in ("block", "code", "k", "c"))
+        keys, first, word, times = np.unique(k, return_index=True, return_inverse=True, return_counts=True)
+        size = group.column("size").to_numpy()[first] if classes else np.bincount(word, c) + 1.0
+        keep = np.ones(len(keys), bool) if classes else (times > 1) & (size > 1)
+        use = keep[word]
+        block, code, c, word = block[use], code[use], c[use], (np.cumsum(keep) - 1)[word[use]]
+        order = np.lexsort((code, c == 0, block))
+        block, code, c, word = block[order], code[order], c[order], word[order]
+        limits = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
+        bucket = group.column("bucket")[0].as_py()
+        out = [(bucket, int(block[lo]), int((c[lo:hi] > 0).sum()), pack(word[lo:hi]), pack(code[lo:hi]), None, None)
+               for lo, hi in zip(limits[:-1], limits[1:], strict=True)]
+        out.append((bucket, None, None, None, None, keys[keep].tobytes(), size[keep].tobytes()))
+        return pa.Table.from_batches([rows(schema, *map(list, zip(*out, strict=True)))])
+
+    return materialize(entries.withColumn("bucket", F.pmod(F.hash("k"), F.lit(buckets)).cast("long")).groupBy("bucket").applyInArrow(
+        run, "bucket long, block long, n long, at binary, code binary, keys binary, size binary"), "buckets")
+
+
+def _deal(buckets: DataFrame, parts: DataFrame | None, counts: Counts, states: int, classes: int | None, last: bool) -> DataFrame:
+    """The numerators of the emissions: first ones without ``parts``, else expected counts of the
+    parts (bucket, block, v) summed by word and smoothed.  Without classes a word's counts are raised from
+    c to c + 1.  A row with a block holds the numerators ``m`` of the words that the block trains on (in
+    the last deal, of all its words); the other row of a bucket holds the sums of its expected counts, as
+    found and raised.  Own words of a block (bucket -1) pass through."""
+    columns = ["bucket", "block", "n", "at", "code", "keys", "size", "v"]
+    both = buckets.withColumn("v", F.lit(None).cast("binary"))
+    if parts is not None:
+        both = both.unionByName(parts.where("bucket >= 0"), allowMissingColumns=True)
+    out = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("code", pa.binary()), ("m", pa.binary()), ("size", pa.binary())])
+    total, summed = counts.total, parts is not None
+
+    def run(group):
+        lines = group.to_pylist()  # at most the words of one bucket
+        bucket, cells = lines[0]["bucket"], [x for x in lines if x["at"] is not None]
+        (words,) = (x for x in lines if x["keys"] is not None)
+        size, places = np.frombuffer(words["size"]), [unpack(x["at"]) for x in cells]
+        sums = raised = np.zeros((len(size), states))
+        if summed:
+            found = {x["block"]: x["v"] for x in lines if x["v"] is not None}
+            at = np.concatenate([p[:x["n"]] for p, x in zip(places, cells, strict=True)] or [np.zeros(0, np.int64)])
+            v = np.frombuffer(b"".join(found.get(x["block"], b"") for x in cells), np.float32).reshape(-1, states)
+            sums = np.stack([np.bincount(at, v[:, j], minlength=len(size)) for j in range(states)], axis=1)
+            raised = sums if classes else sums * (size / (size - 1))[:, None]
+            value = raised + PRIOR * (size / total)[:, None]
+        else:
+            value = _first(size, _key_noise(np.frombuffer(words["keys"], np.int64).tolist()), states, total)
+        value, res = value.astype(np.float32), []
+        for p, x in zip(places, cells, strict=True):
+            n = len(p) if last else x["n"]
+            res.append((bucket, x["block"], pack(unpack(x["code"])[:n]), value[p[:n]].tobytes(),
+                        size[p[:n]].tobytes() if last and classes else None))
+        res.append((bucket, None, None, np.stack([sums.sum(axis=0), raised.sum(axis=0)]).tobytes(), None))
+        return pa.Table.from_batches([rows(out, *map(list, zip(*res, strict=True)))])
+
+    dealt = both.select(columns).groupBy("bucket").applyInArrow(run, "bucket long, block long, code binary, m binary, size binary")
+    if parts is None:
+        return dealt
+    return dealt.unionByName(parts.where("bucket = -1").select("bucket", "block", F.col("v").alias("m")), allowMissingColumns=True)
+
+
+def _gathered(dealt: DataFrame) -> DataFrame:
+    """(block, dealt): the rows of ``_deal`` of each block, at most a block's own vocabulary."""
+    return dealt.where("block IS NOT NULL").groupBy("block").agg(
+        F.collect_list(F.struct("bucket", "code", "m", "size")).alias("dealt"))
+
+
+def _local(dealt: list | None, c: np.ndarray, divisor: np.ndarray, unseen: np.ndarray):
+    """Of a block's row of ``_gathered``: the parts (bucket, codes) in the order of the buckets, emissions and
+    sizes of all codes, the own codes, and the expected counts of these."""
+    parts, own, k = [], b"", len(unseen)
+    emit, size, mine = np.tile(unseen, (len(c), 1)), np.ones(len(c)), c > 0
+    for x in sorted(dealt or [], key=lambda x: x["bucket"]):
+        if x["bucket"] < 0:
+            own = x["m"]
+            continue
+        code = unpack(x["code"])
+        emit[code] = np.frombuffer(x["m"], np.float32).reshape(-1, k) / divisor
+        if x["size"] is not None:
+            size[code] = np.frombuffer(x["size"])
+        mine[code] = False
+        parts.append((x["bucket"], code))
+    return parts, emit, size, np.flatnonzero(mine), np.frombuffer(own, np.float32).reshape(-1, k)
 
 
 def _codes(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -378,96 +436,80 @@ def train(table: DataFrame, counts: Counts, sizes: DataFrame, states: int = STAT
     move = np.full((states, states), 0.1 / max(1, states - 1))  # sticky states
     np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
     first = first_emissions(sizes, counts, states)
-    entries = _entries(table, classes).where("c > 0").join(sizes, "k")
-    shared = materialize((entries if classes else entries.where("size - 1 > c")).select("block", "code", "k"), "shared-words")
-    several = materialize(sizes.join(shared.select("k"), "k", "left_semi"), "shared-sizes")
-    emissions, own, paths = None, None, []
-    out = pa.schema([("row", pa.int32()), ("k", pa.int64()), ("v", pa.list_(pa.float32())), ("own", pa.binary())])
-    # rows: -1 for a block's own words, 0 for shared ones, then one per state (moves), starts,
-    # likelihood, own tokens, own tokens raised by one count a word
-    for _ in range(iterations):
-        now = emissions or first
-
-        def estep(batches, start=start, move=move, unseen=now.unseen, weights=now.weights):
+    unseen, weights = first.unseen, first.weights
+    buckets = _bucket_rows(table, sizes, classes)
+    dealt, dealt_path = written(_deal(buckets, None, counts, states, classes, False), "dealt")
+    out = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("v", pa.binary())])
+    # bucket -1: a block's own words; -2: moves by state, starts, likelihood, own tokens, own tokens raised by one count a word
+    for i in range(iterations):
+
+        def estep(batches, start=start, move=move, unseen=unseen, weights=weights, begun=i > 0):
             tail = np.zeros((states + 4, states))
             for batch in batches:
-                for i in range(batch.num_rows):  # one block in memory at a time
-                    row = batch.slice(i, 1)
-                    one = row.select(["block", "counts", "tokens", "held", "n_tokens", "own"]).to_pylist()[0]
-                    tokens, first, n = _codes(one)
+                for n in range(batch.num_rows):  # one block in memory at a time
+                    one = batch.slice(n, 1).to_pylist()[0]
+                    tokens, first, sizes = _codes(one)
                     c = unpack(one["counts"])
-                    code, key, emit, _ = _local(row.column("known")[0], len(c), unseen)
-                    mine = _own_codes(c, code)
-                    if emissions_of_words:
-                        v = np.frombuffer(one["own"] or b"", np.float32).reshape(-1, states)
+                    parts, emit, _, mine, v = _local(one["dealt"], c, weights + PRIOR if begun else weights, unseen)
+                    if begun:
                         emit[mine] = _own_next(c[mine], v, weights, total)
                     else:
-                        emit[mine] = _own_first(c[mine], np.frombuffer(one["own"], np.uint32)[mine], weights, total)
+                        emit[mine] = _first(c[mine] + 1.0, np.frombuffer(one["noise"], np.uint32)[mine], states, total) / weights
                     hmm, found = Hmm(start, move, emit).single(), np.zeros(emit.shape)
                     use = ~np.array(one["held"], bool)
-                    at, n = first[use], n[use]
-                    for part in _groups(n):
-                        s, m, e, ll = expected_counts(hmm, tokens, at[part], n[part])
+                    at, sizes = first[use], sizes[use]
+                    for part in _groups(sizes):
+                        s, m, e, ll = expected_counts(hmm, tokens, at[part], sizes[part])
                         found += e
                         tail[:states] += m
                         tail[states] += s
                         tail[states + 1, 0] += ll
                     tail[states + 2] += found[mine].sum(axis=0)
                     tail[states + 3] += (found[mine] * (1 + 1 / c[mine][:, None])).sum(axis=0)
-                    yield rows(out, [-1], [one["block"]], [None], [found[mine].astype(np.float32).tobytes()])
-                    some = found[code].any(axis=1)
-                    v = found[code[some]].astype(np.float32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.zeros(len(v), np.int32)), pa.array(key[some]),
-                         pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * states, v.reshape(-1)),
-                         pa.nulls(len(v), pa.binary())], schema=out)
-            yield rows(out, np.arange(1, states + 5), np.zeros(states + 4, np.int64), list(tail.astype(np.float32)), [None] * (states + 4))
-
-        emissions_of_words = own is not None
-        found = shared.join(now.table, "k")
-        texts = table.select("block", "counts", "tokens", "held", "n_tokens", *([] if own else [F.col("noise").alias("own")]))
-        joined = (texts.join(own, "block", "left") if own else texts).join(_known(found, "float"), "block", "left")
-        parts, parts_path = written(joined.select("block", "counts", "tokens", "held", "n_tokens", "own", "known")
-                              .mapInArrow(estep, "row int, k bigint, v array<float>, own binary"), "expected-parts")
-        by_state = [F.sum(F.col("v")[j].cast("double")).alias(f"v{j}") for j in range(states)]
-        sums, sums_path = written(parts.where("row = 0").groupBy("k").agg(*by_state), "expected")
-        tail = np.zeros((states + 4, states))
-        for r, *v in parts.where("row > 0").groupBy("row").agg(*by_state).collect():  # states + 4 rows
-            tail[r - 1] = v
-        totals = np.array([x or 0.0 for x in sums.agg(*[F.sum(f"v{j}") for j in range(states)]).first()]) + tail[states + 2]
+                    found = found.astype(np.float32)
+                    parts.append((-1, mine))
+                    yield rows(out, [b for b, _ in parts], [one["block"]] * len(parts), [found[code].tobytes() for _, code in parts])
+            yield rows(out, [-2], [None], [tail.tobytes()])
+
+        texts = table.select("block", "counts", "tokens", "held", "n_tokens", *(["noise"] if i == 0 else []))
+        joined = texts.join(_gathered(dealt), "block", "left")
+        parts, parts_path = written(joined.mapInArrow(estep, "bucket long, block long, v binary"), "expected-parts")
+        discard(spark, dealt_path)
+        tail = sum((np.frombuffer(r.v).reshape(-1, states) for r in parts.where("bucket = -2").select("v").collect()),  # one a task
+                   np.zeros((states + 4, states)))
         history.append(tail[states + 1, 0])
         move, start = tail[:states] + 1.0, tail[states] + 1.0
         start, move = start / start.sum(), move / move.sum(axis=1, keepdims=True)
-        own, own_path = written(parts.where("row = -1").select(F.col("k").alias("block"), "own"), "own-words")
-        emissions = next_emissions(several, counts, sums, totals, tail[states + 3], classes)
-        for old in [parts_path, *paths]:     # summed, or of the iteration before
-            discard(spark, old)
-        paths = [sums_path, own_path]
-    table_of_shared = materialize(emissions.table, "emissions")
-    whole = table_of_shared.union(_own_table(table, shared, own, emissions.weights, total))
-    return start, move, Emissions(whole, emissions.unseen, emissions.weights, shared, table_of_shared, own), history
-
-
-def _own_table(table: DataFrame, shared: DataFrame, own: DataFrame, weights: np.ndarray, total: float) -> DataFrame:
-    """(k, size, e) of the words that only one block was trained on."""
-    schema = pa.schema([("k", pa.int64()), ("size", pa.float64()), ("e", pa.list_(pa.float64()))])
-    codes = shared.groupBy("block").agg(F.collect_list("code").alias("codes"))  # at most a block's own vocabulary
-    keys = table.select("block", "counts", F.transform("vocab", lambda v: F.xxhash64(v["w"])).alias("keys"))
+        dealt, dealt_path = written(_deal(buckets, parts, counts, states, classes, i == iterations - 1), "dealt")
+        discard(spark, parts_path)
+        sums = sum((np.frombuffer(r.m).reshape(2, states) for r in dealt.where("block IS NULL").select("m").collect()),  # one a bucket
+                   np.zeros((2, states))) + tail[states + 2:]
+        # the unseen symbol gets one count, dealt to the states by their tokens, as in the corpus shares
+        rest = np.zeros(states) if classes else sums[0] / max(1, counts.tokens)
+        weights = sums[0] if classes else sums[1] + rest
+        unseen = (rest + PRIOR / total) / (weights + PRIOR)
+    gathered = _gathered(dealt)
+    return start, move, Emissions(_learned(table, gathered, sizes, unseen, weights, total, classes), unseen, weights, gathered), history
+
+
+def _learned(table: DataFrame, gathered: DataFrame, sizes: DataFrame, unseen: np.ndarray, weights: np.ndarray, total: float,
+             classes: int | None) -> DataFrame:
+    """(k, size, e) of the whole training vocabulary."""
+    schema = pa.schema([("k", pa.int64()), ("e", pa.list_(pa.float64()))])
+    keys = table.select("block", "counts", F.transform("vocab", lambda v: _kind(v["w"], classes)).alias("keys"))
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                c, code = unpack(one.column("counts")[0].as_py()), one.column("codes")[0].values
-                mine = _own_codes(c, code.to_numpy() if code is not None else np.zeros(0, np.int64))
-                v = np.frombuffer(one.column("own")[0].as_py() or b"", np.float32).reshape(-1, len(weights))
-                e = _own_next(c[mine], v, weights, total)
-                yield pa.RecordBatch.from_arrays(
-                    [one.column("keys")[0].values.take(pa.array(mine)), pa.array(c[mine] + 1.0),
-                     pa.ListArray.from_arrays(np.arange(len(e) + 1, dtype=np.int32) * len(weights), e.reshape(-1))], schema=schema)
+                one = batch.slice(i, 1).to_pylist()[0]
+                c = unpack(one["counts"])
+                _, emit, _, mine, v = _local(one["dealt"], c, weights + PRIOR, unseen)
+                emit[mine] = _own_next(c[mine], v, weights, total)
+                use = np.flatnonzero(c > 0)
+                yield rows(schema, np.array(one["keys"], np.int64)[use], list(emit[use]))
 
-    return keys.join(codes, "block", "left").join(own, "block").select("counts", "keys", "codes", "own").mapInArrow(
-        run, "k bigint, size double, e array<double>")
+    found = keys.join(gathered, "block", "left").select("counts", "keys", "dealt").mapInArrow(run, "k long, e array<double>")
+    return found.groupBy("k").agg(F.first("e").alias("e")).join(sizes, "k").select("k", "size", "e")
 
 
 def log10_forward(model: Hmm, seen: np.ndarray, starts: np.ndarray, sizes: np.ndarray, piece: int = PIECE) -> np.ndarray:
@@ -508,12 +550,7 @@ def scores(table: DataFrame, counted: DataFrame, start: np.ndarray, move: np.nda
     more = word.join(counted.withColumnRenamed("c", "total"), "w").where("total > c")
     elsewhere = materialize(more.groupBy("block").agg(  # at most a block's own vocabulary
         F.collect_list("code").alias("at"), F.collect_list("total").alias("total")), "elsewhere")
-    columns = ["block", "code", "k", "size", "e"]
-    trained = emissions.shared.join(emissions.several, "k").select(*columns)
-    absent = _entries(table, classes).where("c = 0").join(emissions.table, "k").select(*columns)
-    known = materialize(_known(trained.union(absent), "double"), "known")
-    joined = (table.drop("vocab", "noise").join(known, "block", "left").join(elsewhere, "block", "left")
-              .join(emissions.own, "block", "left"))
+    joined = (table.drop("vocab", "noise").join(emissions.dealt, "block", "left").join(elsewhere, "block", "left"))
     unseen, weights = emissions.unseen, emissions.weights
 
     def run(batches):
@@ -521,15 +558,15 @@ def scores(table: DataFrame, counted: DataFrame, start: np.ndarray, move: np.nda
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 at, there = row.column("at")[0].values, row.column("total")[0].values
-                one = row.select(["tokens", "counts", "doc_ids", "held", "n_tokens", "own"]).to_pylist()[0]
+                one = row.select(["tokens", "counts", "doc_ids", "held", "n_tokens", "dealt"]).to_pylist()[0]
                 tokens, first, sizes = _codes(one)
                 c = unpack(one["counts"])
-                code, _, emit, size = _local(row.column("known")[0], len(c), unseen)
-                mine = _own_codes(c, code)
-                emit[mine] = _own_next(c[mine], np.frombuffer(one["own"] or b"", np.float32).reshape(-1, len(weights)), weights, total)
-                size[mine] = c[mine] + 1
+                _, emit, size, mine, v = _local(one["dealt"], c, weights + PRIOR, unseen)
+                emit[mine] = _own_next(c[mine], v, weights, total)
                 if at is not None:
                     c[at.to_numpy()] = there.to_numpy()
+                if not classes:
+                    size = c + 1.0
                 hmm, logs = Hmm(start, move, emit), np.log10(c + 1)
                 sums = np.add.reduceat(logs[tokens], first)
                 # words within their class; without classes only the unseen symbol's one
@@ -540,7 +577,7 @@ def scores(table: DataFrame, counted: DataFrame, start: np.ndarray, move: np.nda
                     own[part] = log10_forward(hmm, tokens, first[part], sizes[part])
                 yield rows(SCORES, one["doc_ids"], one["held"], sizes, known_, sums, rest + own)
 
-    return joined.select("counts", "tokens", "doc_ids", "held", "n_tokens", "known", "at", "total", "own").mapInArrow(run, SCORES_DDL)
+    return joined.select("counts", "tokens", "doc_ids", "held", "n_tokens", "dealt", "at", "total").mapInArrow(run, SCORES_DDL)
 
 
 def score(docs: DataFrame, states: int = STATES, classes: int | None = None, iterations: int = ITERATIONS) -> DataFrame:
