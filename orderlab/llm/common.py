@@ -57,14 +57,14 @@ def shuffles_deleted(spark: SparkSession):
         spark.conf.set(CLEANUP, before)
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """Write ``df`` as a Parquet table in the shared checkpoint folder: (the table read
     back, its path).  Lineage ends there, columns can be pruned, and a lost executor only
     costs a re-read."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     with shuffles_deleted(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
