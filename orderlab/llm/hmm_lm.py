@@ -40,6 +40,7 @@ N = V = 0 and every token's base probability is 1; extra columns are left alone.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -47,7 +48,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlab.llm.common import WORDS_LOWER, Words, discard, materialize, rows, shuffles_deleted, steps
@@ -55,7 +56,8 @@ from orderlab.llm.common import written as _written
 from orderlab.session import checkpoint_dir
 
 STATES, ITERATIONS = 6, 6
-BLOCK_BYTES = 14 << 20
+BLOCK_BYTES = 13 << 20   # of text a block has at least, but for a task's last one
+BATCH_BYTES = 2 << 20
 PIECE = 1024       # tokens of a long text's segments, in training and scoring
 GROUP = 3 << 18    # tokens whose recursions run side by side
 BUCKETS = 12       # of word keys at least; more blocks have one more for each BUCKET_BLOCKS
@@ -105,6 +107,18 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return _written(df, name, "snappy")
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Rows go to Python in batches of a few MB of text, however many rows that is."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _kind(word: Column, classes: int | None) -> Column:
     """Key of the word, or its class."""
     return F.crc32(word.cast("binary")) % classes if classes else F.xxhash64(word)
@@ -147,32 +161,38 @@ def blocks(docs: DataFrame, classes: int | None = None) -> DataFrame:
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                            F.spark_partition_id().cast("long").alias("part"))
 
+    def block(number, coded, lengths, ids):
+        coded, lengths = pa.chunked_array(coded).unify_dictionaries(), np.concatenate(lengths)
+        words, code = coded.chunk(0).dictionary, np.concatenate([x.indices.to_numpy() for x in coded.chunks])
+        held = np.array([_held(i) for i in ids], bool)
+        end = len(words)
+        counts = np.bincount(code[~np.repeat(held, lengths)], minlength=end + 1)
+        counts[end] = int((~held).sum())
+        tokens = np.insert(code, np.cumsum(lengths), end)
+        vocab = pa.concat_arrays([words.cast(pa.string()), pa.array([END], pa.string())])
+        item = pa.StructArray.from_arrays([vocab, pa.array(counts, pa.int64())], names=["w", "c"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), pa.ListArray.from_arrays([0, end + 1], item),
+             pa.array([pack(counts)], pa.binary()), pa.array([_noise([*words.to_pylist(), b""]).tobytes()], pa.binary()),
+             pa.array([pack(tokens)], pa.binary()), pa.array([ids], pa.list_(pa.int64())),
+             pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([(lengths + 1).tolist()], pa.list_(pa.int32()))],
+            schema=_BLOCK)
+
     def run(batches):
-        n = 0
-        for batch in steps(batches, max_bytes=BLOCK_BYTES):
-            coded, lengths = [], []
-            for part in steps([batch]):  # less memory than the block at once
-                w = Words(part.column("text"), WORDS_LOWER)
-                coded.append(pa.DictionaryArray.from_arrays(pa.array(w.code, pa.int32()), w.vocab))
-                lengths.append(w.counts)
-                del w
-            coded, lengths = pa.chunked_array(coded).unify_dictionaries(), np.concatenate(lengths)
-            words, code = coded.chunk(0).dictionary, np.concatenate([x.indices.to_numpy() for x in coded.chunks])
-            ids = batch.column("doc_id").to_pylist()
-            held = np.array([_held(i) for i in ids], bool)
-            end = len(words)
-            counts = np.bincount(code[~np.repeat(held, lengths)], minlength=end + 1)
-            counts[end] = int((~held).sum())
-            tokens = np.insert(code, np.cumsum(lengths), end)
-            vocab = pa.concat_arrays([words.cast(pa.string()), pa.array([END], pa.string())])
-            item = pa.StructArray.from_arrays([vocab, pa.array(counts, pa.int64())], names=["w", "c"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([(batch.column("part")[0].as_py() << 32) + n], pa.int64()), pa.ListArray.from_arrays([0, end + 1], item),
-                 pa.array([pack(counts)], pa.binary()), pa.array([_noise([*words.to_pylist(), b""]).tobytes()], pa.binary()),
-                 pa.array([pack(tokens)], pa.binary()), pa.array([ids], pa.list_(pa.int64())),
-                 pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([(lengths + 1).tolist()], pa.list_(pa.int32()))],
-                schema=_BLOCK)
-            n += 1
+        number, size, coded, lengths, ids = None, 0, [], [], []
+        for batch in steps(batches):
+            number = batch.column("part")[0].as_py() << 32 if number is None else number
+            w = Words(batch.column("text"), WORDS_LOWER)
+            coded.append(pa.DictionaryArray.from_arrays(pa.array(w.code, pa.int32()), w.vocab))
+            lengths.append(w.counts)
+            ids += batch.column("doc_id").to_pylist()
+            size += len(w.raw)
+            del w
+            if size >= BLOCK_BYTES:
+                yield block(number, coded, lengths, ids)
+                number, size, coded, lengths, ids = number + 1, 0, [], [], []
+        if ids:
+            yield block(number, coded, lengths, ids)
 
     return numbered.mapInArrow(run, _BLOCK_DDL)
 
@@ -696,7 +716,8 @@ def scores(table: DataFrame, counted: DataFrame, start: np.ndarray, move: np.nda
 def score(docs: DataFrame, states: int = STATES, classes: int | None = None, iterations: int = ITERATIONS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every
     document; learns from the documents that are not held out."""
-    table, path = _written(blocks(docs), "blocks")
+    with _small_batches(docs.sparkSession):
+        table, path = _written(blocks(docs), "blocks")
     counted, counts, sizes = word_counts(table, classes)
     if not classes:
         table = _by_block(table.drop("vocab"))
